@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from listwright.llm.near import op8_near_dedup
+from listwright.llm.packing import op9_packing
 from listwright.llm.substring import op5_substring_dedup
 
 QUERIES = {
     "op5_substring_dedup": op5_substring_dedup,
+    "op8_near_dedup": op8_near_dedup,
+    "op9_packing": op9_packing,
 }
 
 ORACLES: dict[str, str] = {}

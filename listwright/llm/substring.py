@@ -240,7 +240,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ident, text = F.col(new[id_col]), new[text_col]
     keyed = keyed.withColumns({"k1": F.coalesce(ident.cast("long"), F.lit(0)), "k2": F.xxhash64(ident, F.col(text))})
     picks = written(keyed.select("k1", "k2", F.col(text).alias("text")).mapInArrow(_pick_batches(window), PICKS), "picks")
-    shared = picks.groupBy("symbol").agg(F.sum("n").alias("total")).filter("total > 1")
+    # Written, so that the join below reads plain shuffles on both sides, of which Spark splits the large partitions.
+    shared = written(picks.groupBy("symbol").agg(F.sum("n").alias("total")).filter("total > 1"), "shared")
     shared_picks = picks.join(shared, "symbol").groupBy("k1", "k2").agg(F.collect_set(F.struct("symbol", "begin", "last", "total")).alias("picks"))
     candidates = keyed.join(shared_picks, ["k1", "k2"]).mapInArrow(_candidate_batches(window, text), CANDIDATES)
     repeats = candidates.repartition("symbol", "salt").sortWithinPartitions("symbol", "salt").mapInArrow(_verify, REPEATS)
