@@ -2,14 +2,29 @@
 
 from __future__ import annotations
 
+from listwright.llm.language import op6_language_id
+from listwright.llm.licenses import op1_licenses
+from listwright.llm.mpeg import op7_media
 from listwright.llm.near import op8_near_dedup
 from listwright.llm.packing import op9_packing
+from listwright.llm.privacy import op2_pii
+from listwright.llm.secrets import op3_secrets
 from listwright.llm.substring import op5_substring_dedup
+from listwright.llm.topk import OP10_SQL, op10_topk
 
 QUERIES = {
+    "op1_licenses": op1_licenses,
+    "op2_pii": op2_pii,
+    "op3_secrets": op3_secrets,
     "op5_substring_dedup": op5_substring_dedup,
+    "op6_language_id": op6_language_id,
+    "op7_media": op7_media,
     "op8_near_dedup": op8_near_dedup,
     "op9_packing": op9_packing,
+    "op10_topk": op10_topk,
 }
 
-ORACLES: dict[str, str] = {}
+#: SQL for the operators that it can express.
+ORACLES: dict[str, str] = {
+    "op10_topk": OP10_SQL,
+}
