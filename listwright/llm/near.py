@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
@@ -100,7 +100,7 @@ def estimate(first: np.ndarray, second: np.ndarray, n1: np.ndarray, n2: np.ndarr
     return best
 
 
-SKETCHES = "id long, node binary, n long, sketch binary"
+SKETCHES = "id long, h long, node binary, n long, sketch binary"
 
 
 def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,7 +111,7 @@ def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             n.append(len(s))
             node.append(hashlib.md5(b" ".join(t.translate(_LOWER).split())).digest() if len(s) else None)
             sketch.append(registers(s).tobytes() if len(s) else None)
-        yield pa.RecordBatch.from_arrays([batch["id"], pa.array(node, pa.binary()), pa.array(n, pa.int64()), pa.array(sketch, pa.binary())], names=["id", "node", "n", "sketch"])
+        yield pa.RecordBatch.from_arrays([batch["id"], batch["h"], pa.array(node, pa.binary()), pa.array(n, pa.int64()), pa.array(sketch, pa.binary())], names=["id", "h", "node", "n", "sketch"])
 
 
 def _set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,35 +146,72 @@ def _confirmed(s1: pd.Series, s2: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=bool)
 
 
-def _block_pairs(_: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of a pair of blocks, from different components, that are likely to be similar."""
-    left, right = rows[rows.side == 0], rows[rows.side == 1]
-    if not len(right):
-        right = left
+def _likely_pairs(sketch: np.ndarray, n: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of pairs of rows, those whose estimate comes near the threshold."""
+    keep = []
+    for a in range(0, len(left), 16384):
+        i, j = left[a : a + 16384], right[a : a + 16384]
+        x, y = sketch[i], sketch[j]
+        near = np.flatnonzero((x == y).mean(1) >= PERCENT / 100 - SLACK - 0.05)
+        near = near[estimate(x[near], y[near], n[i[near]], n[j[near]]) >= PERCENT / 100 - SLACK]
+        keep.append(a + near)
+    keep = np.concatenate(keep) if keep else np.empty(0, np.int64)
+    return left[keep], right[keep]
+
+
+def _cell_pairs(rows: pa.Table) -> pa.RecordBatch | None:
+    """Likely pairs, from different components, within whole cells; a cell is a block of a bucket, or two."""
+    cell = np.stack([np.asarray(rows[c], np.int64) for c in ("bucket", "low", "high")])
+    head = np.flatnonzero(np.concatenate([[True], (cell[:, 1:] != cell[:, :-1]).any(0)]))
+    size = np.diff(np.append(head, rows.num_rows))
+    sketch = np.frombuffer(b"".join(rows["sketch"].to_pylist()), np.uint16).reshape(-1, REGISTERS)
+    n, side, two = np.asarray(rows["n"], float), np.asarray(rows["side"]), cell[1] != cell[2]
+    root = np.unique(np.array(rows["root"].to_pylist(), "S16"), return_inverse=True)[1]
     out = []
-    sketch = [np.frombuffer(b"".join(x.sketch), np.uint16).reshape(-1, REGISTERS) for x in (left, right)]
-    code, _names = pd.factorize(pd.concat([left.root, right.root]))
-    root = [code[: len(left)], code[len(left) :]]
-    for i in range(len(left)):
-        other = np.flatnonzero(root[1] != root[0][i])
-        if right is left:
-            other = other[other > i]
-        if not len(other):
+
+    def look(left: np.ndarray, right: np.ndarray) -> None:
+        fit = (root[left] != root[right]) & (~two[left] | (side[left] != side[right]))
+        if fit.any():
+            out.append(_likely_pairs(sketch, n, left[fit], right[fit]))
+
+    for g in np.unique(size[size <= 64]):  # small cells of one size at once
+        if g < 2:
+            continue
+        i, j = np.triu_indices(g, 1)
+        heads = head[size == g]
+        for a in range(0, len(heads), max(1, 200_000 // len(i))):
+            at = heads[a : a + max(1, 200_000 // len(i)), None]
+            look((at + i).ravel(), (at + j).ravel())
+    for h, g in zip(head[size > 64], size[size > 64]):
+        for i in range(h, h + g - 1):
+            look(np.full(h + g - 1 - i, i), np.arange(i + 1, h + g))
+    if not out:
+        return None
+    left, right = (np.concatenate(x) for x in zip(*out))
+    node = rows["node"].combine_chunks()
+    return pa.RecordBatch.from_arrays([node.take(pa.array(left)), node.take(pa.array(right))], names=["a", "b"])
+
+
+def _cell_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches come sorted by cell; the last cell of a batch waits for the next batch."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
             continue
-        same = (sketch[1][other] == sketch[0][i]).mean(1)
-        other = other[same >= PERCENT / 100 - SLACK - 0.05]
-        if len(other):
-            first = np.repeat(sketch[0][i : i + 1], len(other), 0)
-            near = estimate(first, sketch[1][other], np.full(len(other), float(left.n.iloc[i])), right.n.to_numpy(float)[other])
-            other = other[near >= PERCENT / 100 - SLACK]
-            out.append(pd.DataFrame({"a": left.node.iloc[i], "b": right.node.to_numpy()[other]}, columns=["a", "b"]))
-    return pd.concat(out) if out else pd.DataFrame({"a": [], "b": []})
+        whole = pa.Table.from_batches([*held, batch]).combine_chunks()
+        cell = np.stack([np.asarray(whole[c], np.int64) for c in ("bucket", "low", "high")])
+        cut = int(np.flatnonzero((cell != cell[:, -1:]).any(0))[-1]) + 1 if (cell != cell[:, -1:]).any() else 0
+        if cut and (out := _cell_pairs(whole.slice(0, cut).combine_chunks())) is not None:
+            yield out
+        held = whole.slice(cut).to_batches()
+    if held and (out := _cell_pairs(pa.Table.from_batches(held).combine_chunks())) is not None:
+        yield out
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, node, n, component) for each row; node: its class (null: empty set), component: smallest id reachable."""
+    """(id, h, node, n, component) for each row; h: hash of the text, node: its class (null: empty set), component: smallest id reachable."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    rows = written(texts.mapInArrow(_sketch_batches, SKETCHES), "sketches")
+    rows = written(texts.withColumn("h", F.xxhash64("text")).mapInArrow(_sketch_batches, SKETCHES), "sketches")
     classes = rows.filter("n > 0").groupBy("node").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     classes = written(classes, "classes")
     width = 2 * ROWS
@@ -199,7 +236,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             cells = placed.join(open_.select("bucket", "members"), "bucket").join(sketches, "node").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
             cells = cells.select("bucket", "node", "root", "n", "sketch", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
             cells = cells.select("bucket", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "node", "root", "n", "sketch")
-            pairs = cells.groupBy("bucket", "low", "high").applyInPandas(_block_pairs, "a binary, b binary").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            cell = ["bucket", "low", "high"]
+            pairs = cells.repartition(*cell).sortWithinPartitions(*cell).mapInArrow(_cell_batches, "a binary, b binary").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         pairs = written(pairs, "pairs")
         need = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         if sets is not None:
@@ -218,9 +256,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = classes.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = members.groupBy("root").agg(F.min("least").alias("component"))
     by_node = members.join(smallest, "root").select("node", "component")
-    return rows.select("id", "node", "n").join(by_node, "node", "left").withColumn("component", F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component")))
+    return rows.select("id", "h", "node", "n").join(by_node, "node", "left").withColumn("component", F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component")))
+
+
+def is_kept() -> Column:
+    return F.coalesce(F.col("id") == F.col("component"), F.col("component").isNull())
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without those that a near-duplicate of smaller id stands for."""
+    gone = near_duplicates(docs, id_col, text_col).filter(~is_kept()).select("id", "h").distinct()
+    same = F.col(id_col).cast("long").eqNullSafe(gone["id"]) & (F.xxhash64(text_col) == gone["h"])
+    return docs.join(gone, same, "left_anti")
 
 
 def op8_near_dedup(spark, sf_dir: str) -> DataFrame:
     out = near_duplicates(documents(spark, sf_dir))
-    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.col("component").isNull()).alias("kept"))
+    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), is_kept().alias("kept"))

@@ -7,6 +7,7 @@ from listwright.llm.licenses import op1_licenses
 from listwright.llm.mpeg import op7_media
 from listwright.llm.near import op8_near_dedup
 from listwright.llm.packing import op9_packing
+from listwright.llm.pieces import op4_sentencepiece
 from listwright.llm.privacy import op2_pii
 from listwright.llm.secrets import op3_secrets
 from listwright.llm.substring import op5_substring_dedup
@@ -16,6 +17,7 @@ QUERIES = {
     "op1_licenses": op1_licenses,
     "op2_pii": op2_pii,
     "op3_secrets": op3_secrets,
+    "op4_sentencepiece": op4_sentencepiece,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_language_id": op6_language_id,
     "op7_media": op7_media,
