@@ -13,6 +13,8 @@ A null text is empty and holds the end token alone.
 
 from __future__ import annotations
 
+import json
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,35 +29,121 @@ from listwright.llm.frames import documents
 WINDOW, END = 2048, 1
 VOCABULARY = "word_bpe_49k.json"
 #: Distinct words whose ids a task remembers; then it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 600_000
+#: Bytes of a word that is merged here at most.
+LONGEST = 64
+
+
+class Merges:
+    """The vocabulary's merges, applied to many words at once: in each round, every word merges its pair of lowest rank."""
+
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        vocab = model["vocab"]
+        pairs = [p.split(" ") if isinstance(p, str) else p for p in model["merges"]]
+        key = np.array([vocab[a] << 32 | vocab[b] for a, b in pairs], np.int64)
+        order = np.argsort(key)
+        self.key, self.rank = key[order], order.astype(np.int64)
+        self.into = np.array([vocab[a + b] for a, b in pairs], np.int64)[order]
+        # Byte-level vocabularies write a byte as its own character where it is printable, else as one from 256 on.
+        shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+        hidden_ = [b for b in range(256) if b not in set(shown)]
+        chars = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden_)}
+        suffix = model.get("end_of_word_suffix") or ""
+        self.byte, self.last = (np.array([vocab[chars[b] + x] for b in range(256)], np.int64) for x in ("", suffix))
+
+    def __call__(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words, their number for each word)."""
+        data = np.frombuffer(b"".join(words), np.uint8)
+        ids = self.byte[data]
+        lengths = np.array([len(w) for w in words], np.int64)
+        ends = (np.cumsum(lengths) - 1)[lengths > 0]
+        ids[ends] = self.last[data[ends]]
+        own, place = np.repeat(np.arange(len(words)), lengths), np.arange(len(ids))
+        none = len(self.key)
+        done = []
+        while len(ids):
+            wanted = ids[:-1] << 32 | ids[1:]
+            at = np.minimum(np.searchsorted(self.key, wanted), none - 1)
+            rank = np.append(np.where((self.key[at] == wanted) & (own[1:] == own[:-1]), self.rank[at], none), none)
+            head = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+            best = np.repeat(np.minimum.reduceat(rank, head), np.diff(np.append(head, len(ids))))
+            hit = np.flatnonzero((rank == best) & (best < none))
+            first = hit[np.concatenate([[True], own[hit][1:] != own[hit][:-1]])] if len(hit) else hit
+            ids[first] = self.into[at[first]]
+            over, stay = best == none, np.ones(len(ids), bool)
+            stay[first + 1] = False
+            done.append((place[over], ids[over], own[over]))
+            stay &= ~over
+            ids, own, place = ids[stay], own[stay], place[stay]
+        place, ids, own = (np.concatenate(x) for x in zip(*done)) if done else (np.empty(0, np.int64),) * 3
+        order = np.argsort(place)
+        return ids[order], np.bincount(own, minlength=len(words))
 
 
 class Encoder:
-    """Token ids of texts.  White space separates words before all else in this vocabulary, so words are encoded once."""
+    """Token ids of texts.
+
+    White space separates words before all else in this vocabulary, and A-Z are lower-cased, so each
+    distinct word is encoded once.  Words of letters, with stops or commas after them, are merged here, many
+    at a time; all others go through the library.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.ids: dict[str, list[int]] = {}
+        self.merges = Merges(path)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[bytes, int] = {}
+        self.flat, self.begin, self.count = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
+
+    @staticmethod
+    def _parts(word: bytes) -> tuple[bytes, bytes] | None:
+        """(letters, stops) of a plain word as the vocabulary's normaliser leaves them; null for all other words."""
+        letters = word.rstrip(b".,;:!?")
+        if not letters.isalpha():  # not ASCII letters alone
+            text = letters.decode()
+            if not text.isalpha() or "Σ" in text or "İ" in text or not unicodedata.is_normalized("NFC", text):
+                return None
+            letters = text.lower().encode()
+        if len(word) > LONGEST:
+            return None
+        return letters, word[len(word.rstrip(b".,;:!?")) :]
+
+    def _learn(self, words: list[bytes]) -> None:
+        plain, odd, parts = [], [], []
+        for w in words:
+            if (p := self._parts(w)) is None:
+                odd.append(w)
+            else:
+                plain.append(w)
+                parts += p
+        ids, count = self.merges(parts)
+        count = count.reshape(-1, 2).sum(1)
+        more = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast([w.decode() for w in odd], add_special_tokens=False)]
+        count = np.concatenate([count, [len(x) for x in more]]).astype(np.int64)
+        first = len(self.begin)
+        self.begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(count) - count])
+        self.count = np.concatenate([self.count, count])
+        self.flat = np.concatenate([self.flat, ids.astype(np.uint32), *more])
+        self.known.update(zip(plain + odd, range(first, first + len(words))))
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.ids) > REMEMBERED:
-            self.ids = {}
-        known, split = self.ids, [t.replace("\n", " ").split(" ") for t in texts]
-        new = {w for words in split for w in words if w not in known}
-        if new:
-            order = list(new)
-            for w, e in zip(order, self.tokenizer.encode_batch_fast(order, add_special_tokens=False)):
-                known[w] = e.ids
-        out = []
-        for words in split:
-            ids: list[int] = []
-            for w in words:
-                ids += known[w]
-            ids.append(END)
-            out.append(np.array(ids, np.uint32))
-        return out
+        if len(self.known) > REMEMBERED:
+            self._forget()
+        known, split = self.known, [t.encode().lower().replace(b"\n", b" ").split(b" ") for t in texts]
+        if new := list({w for words in split for w in words if w not in known}):
+            self._learn(new)
+        at = np.fromiter((known[w] for words in split for w in words), np.int64)
+        count = self.count[at]
+        ends = np.cumsum(count)
+        flat = self.flat[np.repeat(self.begin[at] - ends + count, count) + np.arange(ends[-1] if len(ends) else 0)]
+        cut = np.concatenate([[0], ends])[np.cumsum([0, *map(len, split)])]
+        return [np.append(flat[a:b], np.uint32(END)) for a, b in zip(cut[:-1], cut[1:])]
 
 
 class SumOfSquares:
