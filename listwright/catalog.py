@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from listwright.queries import incremental, pages, projections, readers, relational, resolution  # noqa: F401
+from listwright.queries.registry import QUERIES, SQL
+
 FLAGSHIP = "dedup_greedy"
 
 
 def queries() -> dict[str, Callable]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
