@@ -15,15 +15,14 @@ def components(links: DataFrame) -> DataFrame:
     nothing is gathered on a hub.  Steps are written, so that a lost executor costs one step.
     """
     edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
-    while True:
-        both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    mark = F.struct(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")))
+    before = None
+    while (now := edges.select(mark).first()) != before:
+        before = now
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         floor = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(floor, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        new = written(small, "edges")
-        if new.exceptAll(edges).isEmpty() and edges.exceptAll(new).isEmpty():
-            break
-        edges = new
-    nodes = new.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return written(nodes, "roots")
+        small = large.join(floor, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        edges = written(small.filter("u <> v").distinct(), "edges")
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))

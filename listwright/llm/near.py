@@ -7,12 +7,15 @@ truncated to the exponentially spaced values b**-k, so that sketches of parts ca
 be merged by maximum and two sketches agree the more, the more similar the sets.
 
 Classes that agree in all registers of a band share a bucket.  All pairs of a bucket
-are candidates, but they aren't formed: rounds of hubs (one class of each bucket
-against its others) first join most classes into components; then, in blocks inside the
-tasks, only pairs from different components whose similarity, estimated by likelihood
-from both sketches and sizes, comes near the threshold are written.  Links are
-confirmed on full sets.  A pair at the threshold 0.75 shares no bucket with a
-probability of about (1 - 0.75**4)**40 = 3e-7; there are no other losses.
+are candidates, but they aren't formed as rows.  First a hub of each bucket (the class with
+the most company) meets the others, which joins most classes into components.  Then buckets
+with classes of several components are searched in blocks, inside the tasks: a pair is looked
+at in the first band that it shares, its similarity is estimated by likelihood from both
+sketches and sizes, and if it comes near the threshold and the two aren't connected yet, it is
+confirmed on full sets.  A block gives at most as many links as it has classes.
+
+A pair at the threshold 0.75 shares no bucket with a probability of about
+(1 - 0.75**4)**40 = 3e-7; there are no other losses.
 
 Nulls and texts without words have empty sets and link with nothing.  Rows that
 repeat an id are rows of their own.  A null id takes part; it is never the smallest.
@@ -40,8 +43,8 @@ BANDS, ROWS, BASE, LARGEST = 40, 4, 1.001, 65534
 REGISTERS = BANDS * ROWS
 #: Candidates whose estimate lies this far below the threshold (five standard errors) aren't confirmed.
 SLACK = 0.2
-#: Rounds of hubs before the rest of the pairs is searched, and classes in a block of that search.
-HUB_ROUNDS, BLOCK = 2, 1024
+#: Classes in a block of the search.
+BLOCK = 1024
 
 _SEP, _TO = byte_table(SPACES, lower=True)
 _LOWER = bytes(_TO.tolist())
@@ -146,66 +149,111 @@ def _confirmed(s1: pd.Series, s2: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=bool)
 
 
-def _likely_pairs(sketch: np.ndarray, n: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of pairs of rows, those whose estimate comes near the threshold."""
-    keep = []
-    for a in range(0, len(left), 16384):
-        i, j = left[a : a + 16384], right[a : a + 16384]
-        x, y = sketch[i], sketch[j]
-        near = np.flatnonzero((x == y).mean(1) >= PERCENT / 100 - SLACK - 0.05)
-        near = near[estimate(x[near], y[near], n[i[near]], n[j[near]]) >= PERCENT / 100 - SLACK]
-        keep.append(a + near)
-    keep = np.concatenate(keep) if keep else np.empty(0, np.int64)
-    return left[keep], right[keep]
-
-
-def _cell_pairs(rows: pa.Table) -> pa.RecordBatch | None:
-    """Likely pairs, from different components, within whole cells; a cell is a block of a bucket, or two."""
-    cell = np.stack([np.asarray(rows[c], np.int64) for c in ("bucket", "low", "high")])
-    head = np.flatnonzero(np.concatenate([[True], (cell[:, 1:] != cell[:, :-1]).any(0)]))
-    size = np.diff(np.append(head, rows.num_rows))
-    sketch = np.frombuffer(b"".join(rows["sketch"].to_pylist()), np.uint16).reshape(-1, REGISTERS)
-    n, side, two = np.asarray(rows["n"], float), np.asarray(rows["side"]), cell[1] != cell[2]
-    root = np.unique(np.array(rows["root"].to_pylist(), "S16"), return_inverse=True)[1]
-    out = []
-
-    def look(left: np.ndarray, right: np.ndarray) -> None:
-        fit = (root[left] != root[right]) & (~two[left] | (side[left] != side[right]))
-        if fit.any():
-            out.append(_likely_pairs(sketch, n, left[fit], right[fit]))
-
-    for g in np.unique(size[size <= 64]):  # small cells of one size at once
-        if g < 2:
-            continue
+class _Cells:
+    """Rows of whole cells (a cell: a block of a bucket, or two), with what is needed to look at pairs of them."""
+
+    def __init__(self, rows: pa.Table):
+        cell = np.stack([np.asarray(rows[c], np.int64) for c in ("bucket", "low", "high")])
+        self.head = np.flatnonzero(np.concatenate([[True], (cell[:, 1:] != cell[:, :-1]).any(0)]))
+        self.size = np.diff(np.append(self.head, rows.num_rows))
+        self.sketch = np.frombuffer(b"".join(rows["sketch"].to_pylist()), np.uint16).reshape(-1, REGISTERS)
+        self.bands = self.sketch.view(np.uint64)  # a band of four registers is one number
+        self.band = np.asarray(rows["band"])
+        self.n, self.side, self.two = np.asarray(rows["n"], float), np.asarray(rows["side"]), cell[1] != cell[2]
+        self.root = np.unique(np.array(rows["root"].to_pylist(), "S16"), return_inverse=True)[1]
+
+    def likely(self, left: np.ndarray, right: np.ndarray, root: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Of pairs of rows of one cell, those of different components that this cell has to look at and that may be links."""
+        root = self.root if root is None else root
+        fit = (root[left] != root[right]) & (~self.two[left] | (self.side[left] != self.side[right]))
+        left, right = left[fit], right[fit]
+        keep = [np.empty(0, np.int64)]
+        for a in range(0, len(left), 16384):
+            i, j = left[a : a + 16384], right[a : a + 16384]
+            first = (self.bands[i] == self.bands[j]).argmax(1) == self.band[i]
+            near = np.flatnonzero(first)
+            near = near[(self.sketch[i[near]] == self.sketch[j[near]]).mean(1) >= PERCENT / 100 - SLACK - 0.05]
+            near = near[estimate(self.sketch[i[near]], self.sketch[j[near]], self.n[i[near]], self.n[j[near]]) >= PERCENT / 100 - SLACK]
+            keep.append(a + near)
+        keep = np.concatenate(keep)
+        return left[keep], right[keep]
+
+
+def _likely_rows(rows: pa.Table) -> pa.RecordBatch | None:
+    """The rows that are part of a likely pair."""
+    cells, found = _Cells(rows), [np.empty(0, np.int64)]
+    for g in np.unique(cells.size[cells.size <= 64]):  # small cells of one size at once
         i, j = np.triu_indices(g, 1)
-        heads = head[size == g]
-        for a in range(0, len(heads), max(1, 200_000 // len(i))):
-            at = heads[a : a + max(1, 200_000 // len(i)), None]
-            look((at + i).ravel(), (at + j).ravel())
-    for h, g in zip(head[size > 64], size[size > 64]):
+        heads = cells.head[cells.size == g]
+        step = max(1, 100_000 // max(1, len(i)))
+        for a in range(0, len(heads), step):
+            at = heads[a : a + step, None]
+            found += cells.likely((at + i).ravel(), (at + j).ravel())
+    for h, g in zip(cells.head[cells.size > 64], cells.size[cells.size > 64]):
         for i in range(h, h + g - 1):
-            look(np.full(h + g - 1 - i, i), np.arange(i + 1, h + g))
+            found += cells.likely(np.full(h + g - 1 - i, i), np.arange(i + 1, h + g))
+    keep = np.unique(np.concatenate(found))
+    return rows.take(pa.array(keep)).combine_chunks().to_batches()[0] if len(keep) else None
+
+
+def _links(rows: pa.Table) -> pa.RecordBatch | None:
+    """Confirmed links that connect different components of a cell."""
+    cells = _Cells(rows)
+    sets = [np.frombuffer(x, np.uint64) for x in rows["set"].to_pylist()]
+    out: list[tuple[int, int]] = []
+    for h, g in zip(cells.head, cells.size):
+        root = cells.root.copy() if g == len(cells.root) else cells.root
+        for i in range(h, h + g - 1):
+            _, others = cells.likely(np.full(h + g - 1 - i, i), np.arange(i + 1, h + g), root)
+            if not len(others):
+                continue
+            lengths = np.array([len(sets[j]) for j in others])
+            together = np.concatenate([sets[j] for j in others])
+            at = np.minimum(np.searchsorted(sets[i], together), len(sets[i]) - 1)
+            common = np.add.reduceat(sets[i][at] == together, np.cumsum(lengths) - lengths, dtype=np.int64)
+            for j in others[100 * common >= PERCENT * (len(sets[i]) + lengths - common)]:
+                if root[j] != root[i]:
+                    out.append((i, int(j)))
+                    part = root[h : h + g]
+                    part[part == root[j]] = root[i]
     if not out:
         return None
-    left, right = (np.concatenate(x) for x in zip(*out))
     node = rows["node"].combine_chunks()
+    left, right = zip(*out)
     return pa.RecordBatch.from_arrays([node.take(pa.array(left)), node.take(pa.array(right))], names=["a", "b"])
 
 
-def _cell_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _by_cells(of):
     """Batches come sorted by cell; the last cell of a batch waits for the next batch."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        whole = pa.Table.from_batches([*held, batch]).combine_chunks()
-        cell = np.stack([np.asarray(whole[c], np.int64) for c in ("bucket", "low", "high")])
-        cut = int(np.flatnonzero((cell != cell[:, -1:]).any(0))[-1]) + 1 if (cell != cell[:, -1:]).any() else 0
-        if cut and (out := _cell_pairs(whole.slice(0, cut).combine_chunks())) is not None:
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            whole = pa.Table.from_batches([*held, batch]).combine_chunks()
+            cell = np.stack([np.asarray(whole[c], np.int64) for c in ("bucket", "low", "high")])
+            other = np.flatnonzero((cell != cell[:, -1:]).any(0))
+            cut = int(other[-1]) + 1 if len(other) else 0
+            if cut and (out := of(whole.slice(0, cut).combine_chunks())) is not None:
+                yield out
+            held = whole.slice(cut).to_batches()
+        if held and (out := of(pa.Table.from_batches(held).combine_chunks())) is not None:
             yield out
-        held = whole.slice(cut).to_batches()
-    if held and (out := _cell_pairs(pa.Table.from_batches(held).combine_chunks())) is not None:
-        yield out
+
+    return run
+
+
+CELLS = "bucket long, low int, high int, side int, band int, node binary, root binary, n long, sketch binary"
+_CELL = ["bucket", "low", "high"]
+
+
+def _sets_of(texts: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, set) of classes, from the text of the row that stands for each."""
+    chosen = nodes.join(classes.select("node", F.col("least").alias("id")), "node")
+    named = texts.mapInArrow(_node_batches, "id long, node binary, text string")
+    text = named.join(chosen, (named.node == chosen.node) & named.id.eqNullSafe(chosen.id), "left_semi").select("node", "text")
+    return written(text.dropDuplicates(["node"]).mapInArrow(_set_batches, "node binary, set binary"), "sets")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -215,44 +263,35 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = rows.filter("n > 0").groupBy("node").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     classes = written(classes, "classes")
     width = 2 * ROWS
-    bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring(F.col("sketch"), i * width + 1, F.lit(width))))
-    banded = classes.select("node", F.explode(bands).alias("bucket"))
+    bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.struct(i.alias("band"), F.xxhash64(i, F.substring(F.col("sketch"), i * width + 1, F.lit(width))).alias("bucket")))
+    banded = classes.select("node", F.explode(bands).alias("b")).select("node", "b.*")
     several = banded.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
     buckets = written(banded.join(several, "bucket"), "buckets")
     sketches = classes.select("node", "n", "sketch")
-    sets: DataFrame | None = None
-    links: DataFrame | None = None
-    roots = None
-    for turn in range(HUB_ROUNDS + 1):
-        placed = buckets.join(buckets.groupBy("node").agg(F.sum("size").alias("degree")), "node")
-        placed = placed.withColumn("root", F.col("node")) if roots is None else placed.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        open_ = placed.groupBy("bucket").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.max_by(F.struct("node", "root"), F.struct("degree" if turn == 0 else F.xxhash64("node", F.lit(turn)), "node")).alias("hub"), F.count("*").alias("members")).filter("r1 <> r2")
-        if turn < HUB_ROUNDS:
-            pairs = placed.join(open_, "bucket").filter("root <> hub.root").select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
-            s = [sketches.toDF(x, f"n{x}", f"s{x}") for x in "ab"]
-            pairs = pairs.join(s[0], "a").join(s[1], "b").filter(_likely("sa", "sb", "na", "nb")).select("a", "b")
-        else:
-            blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-            cells = placed.join(open_.select("bucket", "members"), "bucket").join(sketches, "node").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-            cells = cells.select("bucket", "node", "root", "n", "sketch", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-            cells = cells.select("bucket", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "node", "root", "n", "sketch")
-            cell = ["bucket", "low", "high"]
-            pairs = cells.repartition(*cell).sortWithinPartitions(*cell).mapInArrow(_cell_batches, "a binary, b binary").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        pairs = written(pairs, "pairs")
-        need = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        if sets is not None:
-            need = need.join(sets.select("node"), "node", "left_anti")
-        least = classes.select("node", F.col("least").alias("id"))
-        chosen = need.join(least, "node")
-        named = texts.mapInArrow(_node_batches, "id long, node binary, text string")
-        chosen_text = named.join(chosen, (named.node == chosen.node) & named.id.eqNullSafe(chosen.id), "left_semi").select("node", "text")
-        more = written(chosen_text.dropDuplicates(["node"]).mapInArrow(_set_batches, "node binary, set binary"), "sets")
-        sets = more if sets is None else sets.unionByName(more)
-        x, y = (sets.toDF(k, f"set_{k}") for k in "ab")
-        found = pairs.join(x, "a").join(y, "b").filter(_confirmed("set_a", "set_b")).select("a", "b")
-        found = written(found, "links")
-        links = found if links is None else links.unionByName(found)
-        roots = components(links)
+
+    # Hubs: of each bucket, the class with the largest buckets.
+    company = buckets.join(buckets.groupBy("node").agg(F.sum("size").alias("company")), "node")
+    hubs = company.groupBy("bucket").agg(F.max_by("node", F.struct("company", "node")).alias("hub"))
+    pairs = buckets.join(hubs, "bucket").filter("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+    s = [sketches.toDF(x, f"n{x}", f"s{x}") for x in "ab"]
+    pairs = written(pairs.join(s[0], "a").join(s[1], "b").filter(_likely("sa", "sb", "na", "nb")).select("a", "b"), "pairs")
+    sets = _sets_of(texts, classes, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    x, y = (sets.toDF(k, f"set_{k}") for k in "ab")
+    links = written(pairs.join(x, "a").join(y, "b").filter(_confirmed("set_a", "set_b")).select("a", "b"), "links")
+    roots = components(links)
+
+    # The rest: pairs of different components.
+    placed = buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    open_ = placed.groupBy("bucket").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.count("*").alias("members")).filter("r1 <> r2").select("bucket", "members")
+    cells = placed.join(open_, "bucket").join(sketches, "node").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    cells = cells.select("bucket", "band", "node", "root", "n", "sketch", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    side = F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side")
+    cells = cells.select("bucket", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), side, "band", "node", "root", "n", "sketch")
+    likely = written(cells.repartition(*_CELL).sortWithinPartitions(*_CELL).mapInArrow(_by_cells(_likely_rows), CELLS), "likely")
+    more = _sets_of(texts, classes, likely.select("node").distinct().join(sets.select("node"), "node", "left_anti"))
+    whole = likely.join(sets.unionByName(more), "node").select(*likely.columns, "set")
+    found = whole.repartition(*_CELL).sortWithinPartitions(*_CELL).mapInArrow(_by_cells(_links), "a binary, b binary")
+    roots = components(links.unionByName(written(found, "links")))
     members = classes.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = members.groupBy("root").agg(F.min("least").alias("component"))
     by_node = members.join(smallest, "root").select("node", "component")
