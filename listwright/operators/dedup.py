@@ -24,7 +24,7 @@ PRIORITY = {
     "ticketmaster": 5, "seatgeek": 5, "eventbrite": 5, "libcal": 4, "kidsguide": 3, "yelp": 3, "venue-kidspace": 4, "venue-southcoastplaza": 4,
     "venue-academy": 4, "venue-nhm": 4, "venue-skirball": 4, "venue-discoverycube": 4, "venue-underwood": 4, "venue-autry": 4, "themeparks": 4,
     "venue-expopark": 4, "pretend-city": 4, "la-parent": 3, "church-mariners": 4, "church-saddleback": 4, "church-rockharbor": 4, "church-oceans": 4,
-    "church-mosaic": 4, "church-realityla": 4, "mommypoppins": 1, "oc-parent-guide": 0, "macaronikid": 0,
+    "church-mosaic": 4, "church-realityla": 4, "mommypoppins": 1,
 }
 SHORTEST, COMPARED = 10, 200
 
