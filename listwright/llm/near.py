@@ -312,3 +312,22 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def op8_near_dedup(spark, sf_dir: str) -> DataFrame:
     out = near_duplicates(documents(spark, sf_dir))
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), is_kept().alias("kept"))
+
+
+OP8_SQL = r"""
+with recursive d as (
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents
+), s as (
+  select doc_id, list_distinct(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) end) as s from d
+), x as (
+  select doc_id, len(s) as n, hash(unnest(s)) as h from s
+), links as (
+  select a.doc_id as a, b.doc_id as b from x a join x b on a.h = b.h and a.doc_id <> b.doc_id
+  group by a.doc_id, b.doc_id having 100 * count(*) >= 75 * (any_value(a.n) + any_value(b.n) - count(*))
+), reach as (
+  select doc_id as a, doc_id as b from s union select r.a, l.b from reach r join links l on r.b = l.a
+), least as (
+  select a, min(b) as component_id from reach group by a
+)
+select doc_id, len(s)::bigint as n_shingles, component_id, doc_id = component_id as kept from s join least on doc_id = a
+"""

@@ -5,12 +5,12 @@ from __future__ import annotations
 from listwright.llm.language import op6_language_id
 from listwright.llm.licenses import op1_licenses
 from listwright.llm.mpeg import op7_media
-from listwright.llm.near import op8_near_dedup
+from listwright.llm.near import OP8_SQL, op8_near_dedup
 from listwright.llm.packing import op9_packing
 from listwright.llm.pieces import op4_sentencepiece
 from listwright.llm.privacy import op2_pii
 from listwright.llm.secrets import op3_secrets
-from listwright.llm.substring import op5_substring_dedup
+from listwright.llm.substring import OP5_SQL, op5_substring_dedup
 from listwright.llm.topk import OP10_SQL, op10_topk
 
 QUERIES = {
@@ -28,5 +28,7 @@ QUERIES = {
 
 #: SQL for the operators that it can express.
 ORACLES: dict[str, str] = {
+    "op5_substring_dedup": OP5_SQL,
+    "op8_near_dedup": OP8_SQL,
     "op10_topk": OP10_SQL,
 }

@@ -27,8 +27,10 @@ ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"(?<![0-9a-f])[0-9a-f]{24,}+"
 
 #: Tokens that the models judge, and how much likelier a random string must be (natural logarithms).
-TOKEN, LEAST_SUM, LEAST_MEAN = r"[A-Za-z0-9+/_=-]{16,}+", 12.0, 0.5
-SAMPLE, STRINGS = 2000, 3000
+TOKEN, LEAST_SUM, LEAST_MEAN = r"[A-Za-z0-9+/_-]{16,}+={0,2}", 12.0, 0.5
+#: Lengths of the words that train the model of ordinary identifiers.
+SHORTEST, LONGEST = 4, 15
+SAMPLE, STRINGS, LEAN = 2000, 3000, 20.0
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 _SIZE = len(ALPHABET) + 1  # index 0: any other character
 
@@ -63,14 +65,19 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> li
     text = F.col(text_col)
     sample = docs.filter(text.isNotNull()).orderBy(F.xxhash64(id_col, text_col), text_col).limit(SAMPLE).select(text.alias("text"))
     clean = sample.withColumn("hits", F.concat(*rule_spans(F.col("text")))).filter(F.size("hits") == 0)
-    ordinary = clean.select(F.explode(F.split("text", r"[^A-Za-z0-9+/_=-]+")).alias("s")).filter(F.length("s") >= 4)
-    logs = []
-    for strings in (random, ordinary):
-        counts = [[0.5] * _SIZE for _ in range(_SIZE)]
-        for r in _transitions(strings).collect():  # at most _SIZE ** 2 rows
-            counts[r.at // _SIZE][r.at % _SIZE] += r["count"]
-        logs.append([[c / sum(row) for c in row] for row in counts])
-    return [math.log(a / b) for x, y in zip(*logs) for a, b in zip(x, y)]
+    ordinary = clean.select(F.explode(F.split("text", r"[^A-Za-z0-9+/_=-]+")).alias("s")).filter(F.length("s").between(SHORTEST, LONGEST))
+    p, q = (_conditional(_transitions(strings).collect()) for strings in (random, ordinary))  # at most _SIZE ** 2 rows each
+    return [math.log(a / b) for x, y in zip(p, q) for a, b in zip(x, y)]
+
+
+def _conditional(rows: list) -> list[list[float]]:
+    """Probability of each character after each other; rare ones lean on how frequent a character is at all."""
+    pair, single = [[0.0] * _SIZE for _ in range(_SIZE)], [0.5] * _SIZE
+    for r in rows:
+        pair[r.at // _SIZE][r.at % _SIZE] = r["count"]
+        single[r.at % _SIZE] += r["count"]
+    total = sum(single)
+    return [[(n + LEAN * s / total) / (sum(row) + LEAN) for n, s in zip(row, single)] for row in pair]
 
 
 def find(docs: DataFrame, model: list[float], text_col: str = "text") -> DataFrame:

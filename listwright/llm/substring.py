@@ -255,3 +255,25 @@ def op5_substring_dedup(spark, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     out = remove_repeats(docs)
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP5_SQL = r"""
+with d as (
+  select row_number() over () as row_id, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents
+), words as (
+  select row_id, unnest(w) as word, generate_subscripts(w, 1) as i from d
+), windows as (
+  select row_id, i, case when i + 34 <= len(w) then md5(array_to_string(w[i : i + 34], ' ')) end as h
+  from d, lateral (select unnest(range(1, len(w) + 1)) as i)
+), repeated as (
+  select h from windows where h is not null group by h having count(*) > 1
+), marked as (
+  select w.row_id, w.i, max(case when r.h is not null then 1 else 0 end) over (partition by w.row_id order by w.i rows between 34 preceding and current row) as gone
+  from windows w left join repeated r on w.h = r.h
+), kept as (
+  select m.row_id, sum(gone) as n_removed, coalesce(string_agg(word, ' ' order by m.i) filter (gone = 0), '') as kept
+  from marked m join words x on m.row_id = x.row_id and m.i = x.i group by m.row_id
+)
+select doc_id, len(w)::bigint as n_words, coalesce(n_removed, 0)::bigint as n_removed, sha256(coalesce(kept, '')) as kept_sha256
+from d left join kept on d.row_id = kept.row_id
+"""
