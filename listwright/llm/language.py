@@ -159,7 +159,8 @@ def fit(docs: DataFrame, id_col: str, text_col: str, lang_col: str, vocabulary:
     rows = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(2**31)).alias("h")).filter("lang is not null and text is not null")
     # Hashes below a bound that leaves about twice the sample of each language; the sample is then exact.
     bounds = docs.filter(F.col(lang_col).isNotNull()).groupBy(F.col(lang_col).alias("lang")).agg((2**31 * 2.0 * SAMPLE / F.count("*")).alias("bound"))
-    rows = rows.join(bounds, "lang").filter("h < bound").drop("bound")
+    # One row for each language, of which the driver holds a column of the model anyway: broadcast, so that texts beyond the bound aren't shuffled.
+    rows = rows.join(F.broadcast(bounds), "lang").filter("h < bound").drop("bound")
     rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).filter(F.col("rank") <= SAMPLE).select("lang", "text")
 
     def words_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
