@@ -62,17 +62,28 @@ def _best(queries: pd.DataFrame, candidates: pd.DataFrame, pivots: np.ndarray, n
     more = lambda m: np.sqrt(np.maximum(norm2 - (m**2).sum(1), 0))  # noqa: E731  the added coordinate
     to_x = np.sqrt(np.maximum(2 * norm2 - 2 * (x @ pivots.T + np.outer(more(x), more(pivots))), 0))
     to_q = np.sqrt(np.maximum((q**2).sum(1)[:, None] + norm2 - 2 * q @ pivots.T, 0))
+    to_x = np.ascontiguousarray(to_x.T)
     for i in range(len(q)):
-        gap = np.abs(to_x - to_q[i]).max(1)
+        gap = np.abs(to_x - to_q[i][:, None]).max(0)
         bound = (float(q[i] @ q[i]) + norm2 - gap**2) / 2  # of the inner product, from above
-        order = np.argsort(-bound, kind="stable")
-        order = order[ids[order] != names[i]]
-        score, at = np.empty(0), np.empty(0, np.int64)
-        for a in range(0, len(order), STEP):
-            if len(score) == k and bound[order[a]] < score[-1] - 1e-6 * (1 + norm2):
-                break
-            part = order[a : a + STEP]
-            score, at = np.concatenate([score, x[part] @ q[i]]), np.concatenate([at, part])
+        bound[ids == names[i]] = -np.inf
+        head = np.argpartition(-bound, STEP)[:STEP] if len(bound) > STEP else np.arange(len(bound))
+        at = head[bound[head] > -np.inf]
+        score = x[at] @ q[i]
+        top = np.lexsort((ids[at], -score))[:k]
+        score, at = score[top], at[top]
+        enough = lambda: score[-1] - 1e-6 * (1 + norm2) if len(score) == k else -np.inf
+        bound[head] = -np.inf
+        order = np.flatnonzero((bound >= enough()) & (bound > -np.inf))  # what the first step leaves open
+        order = order[np.argsort(-bound[order])]
+        a, step = 0, STEP
+        while a < len(order) and bound[order[a]] >= enough():
+            part = order[a : a + step]
+            more_ = x[part] @ q[i]
+            a, step = a + step, 2 * step
+            if len(score) == k:
+                part, more_ = part[more_ >= score[-1]], more_[more_ >= score[-1]]
+            score, at = np.concatenate([score, more_]), np.concatenate([at, part])
             top = np.lexsort((ids[at], -score))[:k]
             score, at = score[top], at[top]
         yield pd.DataFrame({"query_id": names[i], "vec_id": ids[at], "score": np.rint(score).astype(np.int64)})
