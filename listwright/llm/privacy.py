@@ -1,11 +1,12 @@
 """Sanitisation of personal data by rules and by information about protected entities.
 
-Rules find entities of four kinds.  The corpus tells how strongly a term near an entity
-reveals that an entity of that kind was there: over distinct texts, the pointwise mutual
-information of the term and the kind, as a share of the kind's information content
--log p(kind).  A share of 1 means that the term never occurs without the entity.  Terms
-at or above DISCLOSURE that stand near SUPPORT different entities are removed near entities of that kind, while
-entities are generalised to their kind.
+Rules find entities of four kinds.  The corpus tells how strongly a term reveals an entity that
+stands in the same text: over all texts, the pointwise mutual information of the term and the
+entity, as a share of the entity's information content -log p(entity).  A share of 1 means that
+the term never occurs without the entity.  Protected are single entities (one address, one
+number) and the kinds as such.  Terms at or above DISCLOSURE that share SUPPORT texts with what
+they reveal are removed wherever they stand in texts of that entity or kind, while entities are
+generalised to their kind.  Parts of an address are no terms.
 
 All is done with built-in functions.  A null text is empty.  Rows that repeat id and text
 are rows of their own.
@@ -13,8 +14,6 @@ are rows of their own.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,9 +29,7 @@ CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 _PART = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 
-#: Words on each side of an entity that count as near, and characters in which they are looked for.
-NEAR, REACH = 4, 80
-#: Least share of information, and least number of different entities, for a term that discloses.
+#: Least share of information, and least number of texts with both, for a term that discloses.
 DISCLOSURE, SUPPORT = 0.9, 10
 TERM = r"\p{L}{3,}+"
 
@@ -57,47 +54,52 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, dict
     return rows.withColumn("k2", F.xxhash64(new[id_col], "t")), names
 
 
-def _near_terms(rows: DataFrame) -> DataFrame:
-    """(k1, k2, h, kind, term, start, end) of each term near a rule's span; v: hash of the entity."""
-    span = F.explode(F.concat("r0", "r1", "r2", "r3")).alias("s")
-    s = rows.select("k1", "k2", "t", span).select("k1", "k2", "t", "s.*").withColumn("v", F.xxhash64(F.substr(F.col("t"), F.col("start") + 1, F.col("end") - F.col("start"))))
-    begin = F.greatest(F.lit(0), F.col("start") - REACH)
-    sides = s.select(
-        "k1", "k2", "v", "kind",
-        F.explode(F.array(
-            F.struct(begin.alias("at"), F.lit(-NEAR).alias("which"), F.substr(F.col("t"), begin + 1, F.col("start") - begin).alias("part")),
-            F.struct(F.col("end").alias("at"), F.lit(1).alias("which"), F.substr(F.col("t"), F.col("end") + 1, F.lit(REACH)).alias("part")),
-        )).alias("side"),
-    ).select("k1", "k2", "v", "kind", "side.*")
-    found = F.coalesce(places(F.col("part"), TERM), F.array().cast("array<struct<start:int,end:int,value:string>>"))
-    closest = F.when(F.col("which") > 0, F.slice("found", 1, NEAR)).otherwise(F.slice(F.reverse("found"), 1, NEAR))
-    terms = sides.withColumn("found", found).select("k1", "k2", "v", "kind", "at", F.explode(closest).alias("m"))
-    return terms.select("k1", "k2", "v", "kind", F.lower("m.value").alias("term"), (F.col("at") + F.col("m.start")).alias("start"), (F.col("at") + F.col("m.end")).alias("end"))
-
-
-def disclosing_terms(rows: DataFrame, near: DataFrame) -> DataFrame:
-    """(kind, term, share) of the terms that disclose a kind; rows has the texts, as t."""
-    by_term = near.groupBy("kind", "term")
-    together = by_term.agg(F.countDistinct("k1", "k2").alias("both"), F.countDistinct("v").alias("values")).filter(F.col("values") >= SUPPORT)
-    words = rows.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("t"), F.lit(TERM), F.lit(0)))).alias("term"))
-    texts = words.groupBy("term").agg(F.count("*").alias("texts"))
-    kinds = near.groupBy("kind").agg(F.countDistinct("k1", "k2").alias("entities"))
+def _terms(text: Column) -> Column:
+    """Different terms of a text, in lower case, without those inside addresses; only addresses hold letters."""
+    outside = F.when(text.contains("@"), F.regexp_replace(text, EMAIL, " ")).otherwise(text)
+    return F.array_distinct(F.transform(F.regexp_extract_all(outside, F.lit(TERM), F.lit(0)), F.lower))
+
+
+def _protected(text: Column) -> Column:
+    """(kind, v) of the different entities of a text, v their hashes, and of their kinds, with 0."""
+
+    def entity(s: Column) -> Column:
+        value = F.substr(text, s["start"] + 1, s["end"] - s["start"])
+        same = F.when(s["kind"].isin("card", "phone"), digits(value)).otherwise(F.lower(value))
+        return F.struct(s["kind"].alias("kind"), F.xxhash64(same).alias("v"))
+
+    spans = F.concat("r0", "r1", "r2", "r3")
+    kinds = F.transform(spans, lambda s: F.struct(s["kind"].alias("kind"), F.lit(0).cast("long").alias("v")))
+    return F.array_distinct(F.concat(F.transform(spans, entity), kinds))
+
+
+def disclosing_terms(rows: DataFrame, pairs: DataFrame, entities: DataFrame) -> DataFrame:
+    """(kind, v, term, share) of the terms that disclose; rows has the texts, as t; pairs: (kind, v, term) of each text; entities: (kind, v, n)."""
+    together = pairs.groupBy("kind", "v", "term").agg(F.count("*").alias("both")).filter(F.col("both") >= SUPPORT)
+    texts = rows.select(F.explode(_terms(F.col("t"))).alias("term")).groupBy("term").agg(F.count("*").alias("texts"))
     total = rows.agg(F.count("*").alias("total"))
-    pairs = together.join(texts, "term").join(kinds, "kind").join(F.broadcast(total))
-    information = -F.log(F.col("entities") / F.col("total"))
-    mutual = F.log(F.col("both") * F.col("total") / (F.col("texts") * F.col("entities")))
-    return pairs.select("kind", "term", (mutual / information).alias("share")).filter((information > 0) & (F.col("share") >= DISCLOSURE))
+    found = together.join(texts.filter(F.col("texts") >= SUPPORT), "term").join(entities, ["kind", "v"]).join(F.broadcast(total))
+    information = -F.log(F.col("n") / F.col("total"))
+    mutual = F.log(F.col("both") * F.col("total") / (F.col("texts") * F.col("n")))
+    return found.select("kind", "v", "term", (mutual / information).alias("share")).filter((information > 0) & (F.col("share") >= DISCLOSURE))
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with rules (array by kind: spans of each rule) and personal (all spans, by kind and start)."""
     rows, names = _keyed(docs, id_col, text_col)
     found = rows.withColumns({f"r{i}": s for i, s in enumerate(rule_spans(F.col("t")))})
-    near = _near_terms(found.filter(F.size("r0") + F.size("r1") + F.size("r2") + F.size("r3") > 0))
-    terms = near.join(disclosing_terms(rows, near), ["kind", "term"])
-    span = F.struct("start", F.lit(len(KINDS)).alias("number"), "end", F.lit("term").alias("kind"))
-    by_text = terms.groupBy("k1", "k2").agg(F.array_sort(F.collect_set(span)).alias("more"))
-    out = found.join(by_text, ["k1", "k2"], "left").withColumn("more", F.coalesce("more", F.array().cast("array<struct<start:int,number:int,end:int,kind:string>>")))
+    some = found.filter(F.size("r0") + F.size("r1") + F.size("r2") + F.size("r3") > 0)
+    each = some.select("k1", "k2", F.explode(_protected(F.col("t"))).alias("e")).select("k1", "k2", "e.*")
+    # Entities in fewer texts than SUPPORT can't reach it with any term, so their pairs needn't be made.
+    entities = each.groupBy("kind", "v").agg(F.count("*").alias("n")).filter(F.col("n") >= SUPPORT)
+    of_text = each.join(entities.select("kind", "v"), ["kind", "v"]).groupBy("k1", "k2").agg(F.collect_set(F.struct("kind", "v")).alias("of"))
+    terms = some.withColumn("terms", _terms(F.col("t"))).select("k1", "k2", "terms").join(of_text, ["k1", "k2"])
+    pairs = terms.select("k1", "k2", "terms", F.explode("of").alias("e")).select("k1", "k2", "e.*", F.explode("terms").alias("term"))
+    told = pairs.join(disclosing_terms(rows, pairs, entities).drop("share"), ["kind", "v", "term"])
+    by_text = told.groupBy("k1", "k2").agg(F.collect_set("term").alias("told"))
+    blank = F.when(F.size("r0") > 0, replaced(F.col("t"), F.col("r0"), lambda s: F.repeat(F.lit(" "), s["end"] - s["start"]))).otherwise(F.col("t"))
+    marked = kept(F.when(F.col("told").isNotNull(), F.filter(places(blank, TERM), lambda m: F.array_contains("told", F.lower(m["value"])))), "term", len(KINDS), lambda v: F.lit(True))
+    out = found.join(by_text, ["k1", "k2"], "left").withColumn("more", marked)
     return restored(out, names, rules=F.array("r0", "r1", "r2", "r3"), personal=F.concat("r0", "r1", "r2", "r3", "more"))
 
 

@@ -189,6 +189,18 @@ def test_disclosing_terms_go(spark):
     assert all(out[i] == data[i][1] for i in range(120) if i % 3)
 
 
+def test_terms_of_one_entity_go(spark):
+    rng = random.Random(5)
+    data = [(i, f"{prose(rng, 12)} {'Zelmira writes. ' + prose(rng, 30) + ' bo@mail.example.com ' + prose(rng, 30) + ' by zelmira' if i % 4 == 0 else 'x%d@mail.example.com' % i} {prose(rng, 12)}") for i in range(120)]
+    data.append((120, "zelmira elsewhere"))
+    out = {r.doc_id: r.text for r in privacy.sanitise(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert all("zelmira" not in out[i].lower() and out[i].count("[EMAIL]") == 1 for i in range(0, 120, 4))
+    assert out[120] == data[120][1]
+    found = {r.doc_id: r.personal for r in privacy.find(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert all({data[i][1][s.start : s.end].lower() for s in found[i] if s.kind == "term"} >= {"zelmira"} for i in range(0, 120, 4))
+    assert not any("@" in data[i][1][max(0, s.start - 1) : s.end + 1] for i in range(120) for s in found[i] if s.kind == "term")
+
+
 def test_secrets(docs, none, rows):
     want = []
     for r in rows:
