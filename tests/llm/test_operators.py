@@ -160,6 +160,51 @@ def test_covered_templates(spark):
     assert [(c.label, c.start) for c in row.covered] == [("cc-by-nc", 2)] and row.covered[0].end == 9
 
 
+def scanned(text):
+    scanner = licenses.Scanner(licenses.PHRASES, licenses.TEMPLATES, licenses.NOTICES)
+    return scanner.scan([scanner.ids.get(w) for w in licenses.words_of(text.encode())])[1]
+
+
+def test_words_of_several_templates_count_for_each():
+    found = scanned("x under the terms of the GNU Lesser General Public License version 2.1 as published by the Free Software Foundation x")
+    assert [(c[0], c[1], c[2]) for c in found] == [(1, 21, "lgpl")]
+    for it, version in (("library", "2.1"), ("program", "3")):
+        notice = licenses._GNU.format(it=it, name="GNU Lesser General Public License", version=version)
+        assert {c[2] for c in scanned(f"a {notice} b {notice.replace('either', 'x either')}")} == {"lgpl"}
+    assert {c[2] for c in scanned(licenses.NOTICES["gpl"][0])} == {"gpl"}
+    assert {c[2] for c in scanned("This work is licensed under a Creative Commons Attribution NonCommercial x 4.0 International License")} == {"cc-by-nc"}
+    assert {c[2] for c in scanned("This work is licensed under a Creative Commons x Attribution 4.0 International License")} == {"cc-by"}
+
+
+def test_whole_notices():
+    for label, notices in licenses.NOTICES.items():
+        for notice in notices:
+            n = len(licenses.words_of(notice.encode()))
+            found = scanned(f"{notice} {notice}")
+            assert {(0, n, label, 1.0), (n, 2 * n, label, 1.0)} <= set(found) and {c[2] for c in found} == {label}
+    end = " ".join(licenses._MIT.split()[20:])  # without the opening, which the short template has
+    assert {c[2] for c in scanned(end)} == {"mit"}
+
+
+def test_matches_are_all_that_templates_share():
+    rng = random.Random(2)
+    a = licenses.Automaton()
+    lines = [[rng.randrange(3) for _ in range(rng.randint(1, 12))] for _ in range(6)]
+    for t, x in enumerate(lines):
+        a.add(x, t)
+    places = a.occurrences(2)
+    text = [rng.randrange(3) for _ in range(200)]
+    state = run = 0
+    for i, w in enumerate(text):
+        while state and w not in a.next[state]:
+            state = a.link[state]
+            run = a.length[state]
+        if w in a.next[state]:
+            state, run = a.next[state][w], run + 1
+        want = {(t, end, max(n for n in range(end + 1) if x[end - n : end] == text[i + 1 - n : i + 1])) for t, x in enumerate(lines) for end in range(1, len(x) + 1)}
+        assert {(t, end, run if n is None else n) for t, end, n in places[state] if run >= 2} == {x for x in want if x[2] >= 2}
+
+
 def test_pii(docs, none, rows):
     def luhn(x):
         return sum(int(c) if i % 2 == 0 else int(c) * 2 - 9 * (int(c) > 4) for i, c in enumerate(reversed(x))) % 10 == 0
