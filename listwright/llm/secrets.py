@@ -3,8 +3,9 @@
 Both models are tables of transitions between characters.  The one of random strings is
 trained on labelled strings made from hashes in the usual alphabets (hexadecimal, base64,
 capitals with digits); the one of ordinary identifiers on the words of a bounded sample of
-texts (SAMPLE texts with the smallest hashes) in which no rule finds a secret.  A token that
-no rule has found is a secret if its log-likelihood ratio is large enough, as a sum and by
+texts (SAMPLE texts with the smallest hashes) in which no rule finds a secret, and on their
+numbers and runs of one character, of any length.  Any token that no rule has found, whatever
+characters it holds, is a secret if its log-likelihood ratio is large enough, as a sum and by
 character.  All is done with built-in functions.
 
 A null text is empty.  Spans of kind `random` that touch a rule's span are not reported.
@@ -28,6 +29,8 @@ HEX = r"(?<![0-9a-f])[0-9a-f]{24,}+"
 
 #: Tokens that the models judge, and how much likelier a random string must be (natural logarithms).
 TOKEN, LEAST_SUM, LEAST_MEAN = r"[A-Za-z0-9+/_-]{16,}+={0,2}", 12.0, 0.5
+#: Numbers and runs of one character, which train the model of ordinary identifiers as well.
+PLAIN = r"^(?:[^A-Za-z]+|(.)\1+)$"
 #: Lengths of the words that train the model of ordinary identifiers.
 SHORTEST, LONGEST = 4, 15
 SAMPLE, STRINGS, LEAN = 2000, 3000, 20.0
@@ -68,7 +71,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> li
     bound = int(2**31 * 2.0 * SAMPLE / max(1, whole.count())) + 1
     sample = whole.filter(F.col("h") < bound).orderBy("h", "text").limit(SAMPLE).select("text")
     clean = sample.withColumn("hits", F.concat(*rule_spans(F.col("text")))).filter(F.size("hits") == 0)
-    ordinary = clean.select(F.explode(F.split("text", r"[^A-Za-z0-9+/_=-]+")).alias("s")).filter(F.length("s").between(SHORTEST, LONGEST))
+    ordinary = clean.select(F.explode(F.split("text", r"[^A-Za-z0-9+/_=-]+")).alias("s")).filter(F.length("s").between(SHORTEST, LONGEST) | ((F.length("s") > LONGEST) & F.col("s").rlike(PLAIN)))
     p, q = (_conditional(_transitions(strings).collect()) for strings in (random, ordinary))  # at most _SIZE ** 2 rows each
     return [math.log(a / b) for x, y in zip(p, q) for a, b in zip(x, y)]
 
@@ -97,10 +100,9 @@ def find(docs: DataFrame, model: list[float], text_col: str = "text") -> DataFra
         return F.aggregate(F.sequence(F.lit(2), F.length(v)), F.lit(0.0), lambda s, i: s + F.element_at(table, _index(F.substr(v, i - 1, F.lit(1))) * _SIZE + _index(F.substr(v, i, F.lit(1))) + 1))
 
     def secret(m: Column) -> Column:
-        mixed = m["value"].rlike("[0-9]") & m["value"].rlike("[A-Za-z]")
         r = ratio(m["value"])
         touched = F.exists("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))
-        return mixed & ~touched & (r >= LEAST_SUM) & (r >= LEAST_MEAN * (F.length(m["value"]) - 1))
+        return ~touched & (r >= LEAST_SUM) & (r >= LEAST_MEAN * (F.length(m["value"]) - 1))
 
     rows = rows.withColumn("more", kept(F.filter("tokens", secret), "random", 3, lambda v: F.lit(True)))
     rows = rows.withColumn("all", F.array_sort(F.concat("base", "more")))

@@ -267,6 +267,17 @@ def test_secrets(docs, none, rows):
     assert secrets.redact(none, secrets.train(none)).count() == 0
 
 
+def test_secrets_of_any_characters(spark):
+    rng = random.Random(9)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    keys = ["".join(rng.choice(a) for _ in range(n)) for a, n in ((letters, 16), (letters, 32), (letters[:26], 32), (letters + "+/", 40))]
+    data = [(i, f"{prose(rng, 60)} Order {rng.randrange(10**15, 10**16)} {'-' * 40} {'=' * 30} {prose(rng, 20).replace(' ', '')} end") for i in range(200)]
+    data += [(200 + i, f"{prose(rng, 20)} {k} {prose(rng, 20)}") for i, k in enumerate(keys)]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    found = sorted((r.doc_id, r.text[s.start : s.end]) for r in secrets.find(df, secrets.train(df)).collect() for s in r.secrets)
+    assert found == [(200 + i, k) for i, k in enumerate(keys)]
+
+
 def test_sentencepiece(docs, none, rows):
     from sentencepiece import SentencePieceProcessor
 
