@@ -124,22 +124,33 @@ def score_words(pieces: Pieces, p: np.ndarray, words: list[str]) -> np.ndarray:
 def expected_counts(pieces: Pieces, p: np.ndarray, words: list[str], weight: np.ndarray) -> np.ndarray:
     """Expected occurrences of each piece in the words, under the probabilities of one language."""
     total = np.zeros(len(p))
-    short = [i for i, w in enumerate(words) if len(w) <= 40]
-    words, weight = [words[i] for i in short], weight[short]
     starts, ends, found = pieces.lattice(words)
     p = p[:, None]
+
+    def rescale(values: dict[int, np.ndarray], scale: dict[int, np.ndarray], at: int, window: range) -> None:
+        top = np.maximum(values[at], 1e-300)
+        for j in window:
+            values[j], scale[j] = values[j] / top, scale[j] + np.log(top)
+
     for n, group in _by_length(starts, ends):
         at = starts[group]
-        alpha = [np.ones((len(group), 1))]
+        none = np.zeros((len(group), 1))
+        alpha, up = {0: np.ones((len(group), 1))}, {0: none}
         for i in range(1, n + 1):
-            alpha.append(sum(alpha[i - k] * _chances(found, k, at + i - k, p) for k in range(1, min(i, LONGEST) + 1)))
-        beta = {n: np.ones((len(group), 1))}
+            alpha[i] = sum(alpha[i - k] * _chances(found, k, at + i - k, p) for k in range(1, min(i, LONGEST) + 1))
+            up[i] = up[i - 1]
+            if i % 16 == 0:  # long words: keep the numbers in range; what is still needed has one scale
+                rescale(alpha, up, i, range(max(0, i + 1 - LONGEST), i + 1))
+        beta, down = {n: np.ones((len(group), 1))}, {n: none}
         for i in range(n - 1, -1, -1):
             beta[i] = sum(beta[i + k] * _chances(found, k, at + i, p) for k in range(1, min(n - i, LONGEST) + 1))
+            down[i] = down[i + 1]
+            if (n - i) % 16 == 0:
+                rescale(beta, down, i, range(i, min(n, i + LONGEST - 1) + 1))
         share = weight[group][:, None] / np.maximum(alpha[n], 1e-300)
         for i in range(n):
             for k in range(1, min(n - i, LONGEST) + 1):
-                value = alpha[i] * _chances(found, k, at + i, p) * beta[i + k] * share
+                value = alpha[i] * _chances(found, k, at + i, p) * beta[i + k] * np.exp(up[i] + down[i + k] - up[n]) * share
                 np.add.at(total, found[k][at + i], value[:, 0])
     total[-1] = 0
     return total

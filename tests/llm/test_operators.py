@@ -311,6 +311,17 @@ def test_language(spark):
     assert {r.lang_pred for r in language.predict(df, empty).collect()} == {"und"}
 
 
+def test_long_words_count():
+    v = language.Pieces(public_tokenizers.path(language.VOCABULARY))
+    p = np.random.default_rng(2).random(len(v.names) + 1) * 1e-3
+    p[-1] = 0
+    sizes = np.array([len(x) for x in v.names] + [0])
+    for n in (1, 15, 16, 17, 40, 41, 700, 3000):
+        word = ("thingandtion" * 300)[:n]
+        counts = language.expected_counts(v, p, [word], np.array([2.0]))
+        assert np.isfinite(counts).all() and abs((counts * sizes).sum() - 2 * (n + 1)) < 1e-3 * n  # with the mark of the beginning
+
+
 def test_forward_sums_all_segmentations():
     v = language.Pieces(public_tokenizers.path(language.VOCABULARY))
     rng = np.random.default_rng(1)
