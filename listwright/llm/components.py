@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from listwright.llm.frames import written
+from listwright.llm.frames import erase, written
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -24,5 +24,6 @@ def components(links: DataFrame) -> DataFrame:
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         floor = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(floor, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        edges = written(small.filter("u <> v").distinct(), "edges")
+        last, edges = edges, written(small.filter("u <> v").distinct(), "edges")
+        erase(last)
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -34,17 +34,22 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
 from listwright.llm.components import components
-from listwright.llm.frames import documents, erase, hidden, restored, written
+from listwright.llm.frames import batches_of, documents, erase, written
 from listwright.llm.words import SPACES, as_bytes, byte_table, mix, noise, steps, tokenize
 
 SHINGLE, PERCENT = 5, 75
 #: Registers: BANDS bands of ROWS registers; their base and largest value.
 BANDS, ROWS, BASE, LARGEST = 40, 4, 1.001, 65534
 REGISTERS = BANDS * ROWS
-#: Candidates whose estimate lies this far below the threshold (five standard errors) aren't confirmed.
-SLACK = 0.2
-#: Classes in a block of the search.
-BLOCK = 1024
+#: Candidates whose estimate lies this far below the threshold (more than five standard errors) aren't confirmed.
+SLACK = 0.18
+LIKELY = PERCENT / 100 - SLACK
+#: Classes in a block of the search, and shingles of its classes together.
+BLOCK, BLOCK_SHINGLES = 512, 1 << 20
+#: Cells that are looked at together with others of their size, and pairs that one vectorised step handles.
+SMALL, PAIRS = 64, 16384
+#: Rows of texts, sets or sketches that a task's Python side holds at once.
+BATCH = 1000
 
 _SEP, _TO = byte_table(SPACES, lower=True)
 _LOWER = bytes(_TO.tolist())
@@ -88,19 +93,25 @@ def registers(values: np.ndarray) -> np.ndarray:
     return np.clip(np.floor(20 - np.log(rate) / np.log(BASE)), 0, LARGEST).astype(np.uint16)
 
 
-def estimate(first: np.ndarray, second: np.ndarray, n1: np.ndarray, n2: np.ndarray) -> np.ndarray:
-    """Jaccard similarity that makes both sketches likeliest; rows of registers, and set sizes."""
+def _chance(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Chance that a register is larger by a share x of the elements, and its slope."""
+    y = x * (BASE - 1) / BASE
+    return np.clip(-np.log1p(-y) / np.log(BASE), 1e-9, 1), (BASE - 1) / BASE / (1 - y) / np.log(BASE)
+
+
+def reaches(first: np.ndarray, second: np.ndarray, n1: np.ndarray, n2: np.ndarray, least: float) -> np.ndarray:
+    """Whether the Jaccard similarity that makes both sketches likeliest is `least` or more; rows of registers, and set sizes.
+
+    The likelihood of a pair's larger, smaller and equal registers has one maximum, so its slope at
+    `least` tells on which side the maximum lies.  Sizes too different for `least` never reach it.
+    """
     more, less = (first > second).sum(1), (first < second).sum(1)
     same = REGISTERS - more - less
     u, v = n1 / (n1 + n2), n2 / (n1 + n2)
-    best, top = np.zeros(len(u)), np.full(len(u), -np.inf)
-    chance = lambda x: -np.log1p(-np.clip(x, 0, 1) * (BASE - 1) / BASE) / np.log(BASE)
-    for step in np.linspace(0, 1, 101):
-        j = step * np.minimum(u / v, v / u)
-        p, q = np.clip(chance(u - v * j), 1e-9, 1), np.clip(chance(v - u * j), 1e-9, 1)
-        value = more * np.log(p) + less * np.log(q) + same * np.log(np.clip(1 - p - q, 1e-9, 1))
-        best, top = np.where(value > top, j, best), np.maximum(value, top)
-    return best
+    fit = np.minimum(u, v) > least * np.maximum(u, v)
+    (p, dp), (q, dq) = _chance(np.where(fit, u - v * least, 0.5)), _chance(np.where(fit, v - u * least, 0.5))
+    slope = same * (v * dp + u * dq) / np.clip(1 - p - q, 1e-9, 1) - more * v * dp / p - less * u * dq / q
+    return fit & (slope >= 0)
 
 
 SKETCHES = "id long, h long, node binary, n long, sketch binary"
@@ -134,7 +145,7 @@ def _likely(s1: pd.Series, s2: pd.Series, n1: pd.Series, n2: pd.Series) -> pd.Se
     if not len(s1):
         return pd.Series([], dtype=bool)
     first, second = (np.frombuffer(b"".join(s), np.uint16).reshape(-1, REGISTERS) for s in (s1, s2))
-    return pd.Series(estimate(first, second, n1.to_numpy(float), n2.to_numpy(float)) >= PERCENT / 100 - SLACK)
+    return pd.Series(reaches(first, second, n1.to_numpy(float), n2.to_numpy(float), LIKELY))
 
 
 @F.pandas_udf(BooleanType())
@@ -150,7 +161,7 @@ def _confirmed(s1: pd.Series, s2: pd.Series) -> pd.Series:
 
 
 class _Cells:
-    """Rows of whole cells (a cell: a block of a bucket, or two), with what is needed to look at pairs of them."""
+    """Rows of whole cells (a cell: a block of a bucket, or two), and the pairs that they have to look at."""
 
     def __init__(self, rows: pa.Table):
         cell = np.stack([np.asarray(rows[c], np.int64) for c in ("bucket", "low", "high")])
@@ -162,65 +173,84 @@ class _Cells:
         self.n, self.side, self.two = np.asarray(rows["n"], float), np.asarray(rows["side"]), cell[1] != cell[2]
         self.root = np.unique(np.array(rows["root"].to_pylist(), "S16"), return_inverse=True)[1]
 
-    def likely(self, left: np.ndarray, right: np.ndarray, root: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Of pairs of rows of one cell, those of different components that this cell has to look at and that may be links."""
-        root = self.root if root is None else root
-        fit = (root[left] != root[right]) & (~self.two[left] | (self.side[left] != self.side[right]))
-        left, right = left[fit], right[fit]
-        keep = [np.empty(0, np.int64)]
-        for a in range(0, len(left), 16384):
-            i, j = left[a : a + 16384], right[a : a + 16384]
-            first = (self.bands[i] == self.bands[j]).argmax(1) == self.band[i]
-            near = np.flatnonzero(first)
-            near = near[(self.sketch[i[near]] == self.sketch[j[near]]).mean(1) >= PERCENT / 100 - SLACK - 0.05]
-            near = near[estimate(self.sketch[i[near]], self.sketch[j[near]], self.n[i[near]], self.n[j[near]]) >= PERCENT / 100 - SLACK]
-            keep.append(a + near)
+    def likely(self) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of rows of one cell, in different components, that share no earlier band and that may be links; by the first row."""
+        found = [(np.empty(0, np.int64), np.empty(0, np.int64))]
+        for g in np.unique(self.size[self.size <= SMALL]):  # small cells of one size at once
+            i, j = np.triu_indices(g, 1)
+            heads = self.head[self.size == g]
+            step = max(1, PAIRS // max(1, len(i)))
+            for a in range(0, len(heads), step):
+                at = heads[a : a + step, None]
+                left, right = (at + i).ravel(), (at + j).ravel()
+                fit = self._fit(left, right)
+                left, right = left[fit], right[fit]
+                first = (self.bands[left] == self.bands[right]).argmax(1) == self.band[left]
+                found.append(self._reaching(left[first], right[first]))
+        for h, g in zip(self.head[self.size > SMALL], self.size[self.size > SMALL]):
+            right = np.arange(h, h + g)
+            step = max(1, PAIRS // g)
+            for a in range(h, h + g, step):
+                left = np.arange(a, min(a + step, h + g))[:, None]
+                fit = self._fit(left, right) & (left < right)
+                for k in range(self.band[h]):
+                    fit &= self.bands[left, k] != self.bands[right, k]
+                i, j = np.nonzero(fit)
+                found.append(self._reaching(a + i, h + j))
+        left, right = (np.concatenate(x) for x in zip(*found))
+        order = np.argsort(left, kind="stable")
+        return left[order], right[order]
+
+    def _fit(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        few, many = np.minimum(self.n[left], self.n[right]), np.maximum(self.n[left], self.n[right])
+        return (self.root[left] != self.root[right]) & (~self.two[left] | (self.side[left] != self.side[right])) & (100 * few >= PERCENT * many)
+
+    def _reaching(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        keep = [np.empty(0, bool)]
+        for a in range(0, len(left), PAIRS):
+            i, j = left[a : a + PAIRS], right[a : a + PAIRS]
+            keep.append(reaches(self.sketch[i], self.sketch[j], self.n[i], self.n[j], LIKELY))
         keep = np.concatenate(keep)
         return left[keep], right[keep]
 
 
 def _likely_rows(rows: pa.Table) -> pa.RecordBatch | None:
     """The rows that are part of a likely pair."""
-    cells, found = _Cells(rows), [np.empty(0, np.int64)]
-    for g in np.unique(cells.size[cells.size <= 64]):  # small cells of one size at once
-        i, j = np.triu_indices(g, 1)
-        heads = cells.head[cells.size == g]
-        step = max(1, 100_000 // max(1, len(i)))
-        for a in range(0, len(heads), step):
-            at = heads[a : a + step, None]
-            found += cells.likely((at + i).ravel(), (at + j).ravel())
-    for h, g in zip(cells.head[cells.size > 64], cells.size[cells.size > 64]):
-        for i in range(h, h + g - 1):
-            found += cells.likely(np.full(h + g - 1 - i, i), np.arange(i + 1, h + g))
-    keep = np.unique(np.concatenate(found))
+    keep = np.unique(np.concatenate(_Cells(rows).likely()))
     return rows.take(pa.array(keep)).combine_chunks().to_batches()[0] if len(keep) else None
 
 
 def _links(rows: pa.Table) -> pa.RecordBatch | None:
-    """Confirmed links that connect different components of a cell."""
+    """Confirmed links that connect different components."""
     cells = _Cells(rows)
+    left, right = cells.likely()
+    if not len(left):
+        return None
     sets = [np.frombuffer(x, np.uint64) for x in rows["set"].to_pylist()]
+    ends = np.cumsum([len(x) for x in sets])
+    values, codes = np.unique(np.concatenate(sets), return_inverse=True)
+    code, root = np.split(codes, ends[:-1]), cells.root
+    mine = np.zeros(len(values), bool)
     out: list[tuple[int, int]] = []
-    for h, g in zip(cells.head, cells.size):
-        root = cells.root.copy() if g == len(cells.root) else cells.root
-        for i in range(h, h + g - 1):
-            _, others = cells.likely(np.full(h + g - 1 - i, i), np.arange(i + 1, h + g), root)
-            if not len(others):
-                continue
-            lengths = np.array([len(sets[j]) for j in others])
-            together = np.concatenate([sets[j] for j in others])
-            at = np.minimum(np.searchsorted(sets[i], together), len(sets[i]) - 1)
-            common = np.add.reduceat(sets[i][at] == together, np.cumsum(lengths) - lengths, dtype=np.int64)
-            for j in others[100 * common >= PERCENT * (len(sets[i]) + lengths - common)]:
-                if root[j] != root[i]:
-                    out.append((i, int(j)))
-                    part = root[h : h + g]
-                    part[part == root[j]] = root[i]
+    heads = np.flatnonzero(np.concatenate([[True], left[1:] != left[:-1]]))
+    for a, b in zip(heads, np.append(heads[1:], len(left))):
+        i = int(left[a])
+        others = right[a:b][root[right[a:b]] != root[i]]
+        if not len(others):
+            continue
+        mine[code[i]] = True
+        lengths = np.array([len(code[j]) for j in others])
+        common = np.add.reduceat(mine[np.concatenate([code[j] for j in others])], np.cumsum(lengths) - lengths, dtype=np.int64)
+        mine[code[i]] = False
+        for j in others[100 * common >= PERCENT * (len(code[i]) + lengths - common)]:
+            if root[j] != root[i]:
+                out.append((i, int(j)))
+                root[root == root[j]] = root[i]
     if not out:
         return None
     node = rows["node"].combine_chunks()
-    left, right = zip(*out)
-    return pa.RecordBatch.from_arrays([node.take(pa.array(left)), node.take(pa.array(right))], names=["a", "b"])
+    first, second = zip(*out)
+    return pa.RecordBatch.from_arrays([node.take(pa.array(first)), node.take(pa.array(second))], names=["a", "b"])
 
 
 def _by_cells(of):
@@ -256,45 +286,61 @@ def _sets_of(texts: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFram
     return written(text.dropDuplicates(["node"]).mapInArrow(_set_batches, "node binary, set binary"), "sets")
 
 
+def _cells_of(open_: DataFrame, parts: int) -> DataFrame:
+    """Blocks of open buckets, and pairs of blocks, whole and sorted within partitions.
+
+    A bucket has as many blocks as its classes and their shingles need, so that no cell outgrows a task.
+    """
+    facts = open_.groupBy("bucket").agg(F.count("*").alias("members"), F.sum("n").alias("shingles"))
+    blocks = F.ceil(F.greatest(F.col("members") / BLOCK, F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("own")
+    cells = open_.join(facts.select("bucket", blocks.alias("blocks")), "bucket").select("*", own)
+    cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    side = F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side")
+    cells = cells.select("bucket", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), side, "band", "node", "root", "n", "sketch")
+    return cells.repartition(parts, *_CELL).sortWithinPartitions(*_CELL)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, h, node, n, component) for each row; h: hash of the text, node: its class (null: empty set), component: smallest id reachable."""
+    spark = docs.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    rows = written(texts.withColumn("h", F.xxhash64("text")).mapInArrow(_sketch_batches, SKETCHES), "sketches")
-    classes = rows.filter("n > 0").groupBy("node").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    classes = written(classes, "classes")
-    width = 2 * ROWS
-    bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.struct(i.alias("band"), F.xxhash64(i, F.substring(F.col("sketch"), i * width + 1, F.lit(width))).alias("bucket")))
-    banded = classes.select("node", F.explode(bands).alias("b")).select("node", "b.*")
-    several = banded.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
-    buckets = written(banded.join(several, "bucket"), "buckets")
-    sketches = classes.select("node", "n", "sketch")
-
-    # Hubs: of each bucket, the class with the largest buckets.
-    company = buckets.join(buckets.groupBy("node").agg(F.sum("size").alias("company")), "node")
-    hubs = company.groupBy("bucket").agg(F.max_by("node", F.struct("company", "node")).alias("hub"))
-    pairs = buckets.join(hubs, "bucket").filter("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-    s = [sketches.toDF(x, f"n{x}", f"s{x}") for x in "ab"]
-    pairs = written(pairs.join(s[0], "a").join(s[1], "b").filter(_likely("sa", "sb", "na", "nb")).select("a", "b"), "pairs")
-    sets = _sets_of(texts, classes, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    x, y = (sets.toDF(k, f"set_{k}") for k in "ab")
-    links = written(pairs.join(x, "a").join(y, "b").filter(_confirmed("set_a", "set_b")).select("a", "b"), "links")
-    roots = components(links)
-
-    # The rest: pairs of different components.
-    placed = buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    open_ = placed.groupBy("bucket").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.count("*").alias("members")).filter("r1 <> r2").select("bucket", "members")
-    cells = placed.join(open_, "bucket").join(sketches, "node").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    cells = cells.select("bucket", "band", "node", "root", "n", "sketch", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    side = F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side")
-    cells = cells.select("bucket", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), side, "band", "node", "root", "n", "sketch")
-    likely = written(cells.repartition(*_CELL).sortWithinPartitions(*_CELL).mapInArrow(_by_cells(_likely_rows), CELLS), "likely")
-    more = _sets_of(texts, classes, likely.select("node").distinct().join(sets.select("node"), "node", "left_anti"))
-    whole = likely.join(sets.unionByName(more), "node").select(*likely.columns, "set")
-    found = whole.repartition(*_CELL).sortWithinPartitions(*_CELL).mapInArrow(_by_cells(_links), "a binary, b binary")
-    roots = components(links.unionByName(written(found, "links")))
-    members = classes.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    smallest = members.groupBy("root").agg(F.min("least").alias("component"))
-    by_node = members.join(smallest, "root").select("node", "component")
+    with batches_of(spark, BATCH):
+        rows = written(texts.withColumn("h", F.xxhash64("text")).mapInArrow(_sketch_batches, SKETCHES), "sketches")
+        classes = rows.filter("n > 0").groupBy("node").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+        classes = written(classes, "classes")
+        width = 2 * ROWS
+        bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.struct(i.alias("band"), F.xxhash64(i, F.substring(F.col("sketch"), i * width + 1, F.lit(width))).alias("bucket")))
+        banded = classes.select("node", F.explode(bands).alias("b")).select("node", "b.*")
+        several = banded.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
+        buckets = written(banded.join(several, "bucket"), "buckets")
+        sketches = classes.select("node", "n", "sketch")
+
+        # Hubs: of each bucket, the class with the largest buckets.
+        company = buckets.join(buckets.groupBy("node").agg(F.sum("size").alias("company")), "node")
+        hubs = company.groupBy("bucket").agg(F.max_by("node", F.struct("company", "node")).alias("hub"))
+        pairs = buckets.join(hubs, "bucket").filter("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+        s = [sketches.toDF(x, f"n{x}", f"s{x}") for x in "ab"]
+        pairs = written(pairs.join(s[0], "a").join(s[1], "b").filter(_likely("sa", "sb", "na", "nb")).select("a", "b"), "pairs")
+        sets = _sets_of(texts, classes, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+        x, y = (sets.toDF(k, f"set_{k}") for k in "ab")
+        links = written(pairs.join(x, "a").join(y, "b").filter(_confirmed("set_a", "set_b")).select("a", "b"), "links")
+        roots = components(links)
+
+        # The rest: pairs of different components.
+        placed = buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        mixed = placed.groupBy("bucket").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).filter("r1 <> r2").select("bucket")
+        cells = _cells_of(placed.join(mixed, "bucket").join(sketches, "node"), parts)
+        likely = written(cells.mapInArrow(_by_cells(_likely_rows), CELLS), "likely")
+        more = _sets_of(texts, classes, likely.select("node").distinct().join(sets.select("node"), "node", "left_anti"))
+        whole = likely.join(sets.unionByName(more), "node").select(*likely.columns, "set")
+        rest = written(whole.repartition(parts, *_CELL).sortWithinPartitions(*_CELL).mapInArrow(_by_cells(_links), "a binary, b binary"), "links")
+        last, roots = roots, components(links.unionByName(rest))
+        members = classes.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        smallest = members.groupBy("root").agg(F.min("least").alias("component"))
+        by_node = written(members.join(smallest, "root").select("node", "component"), "members")
+    erase(classes, buckets, pairs, sets, more, links, likely, rest, last, roots)
     return rows.select("id", "h", "node", "n").join(by_node, "node", "left").withColumn("component", F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component")))
 
 

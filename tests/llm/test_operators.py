@@ -121,8 +121,65 @@ def test_sketches_merge():
     a, b = np.arange(1, 400, dtype=np.uint64), np.arange(200, 700, dtype=np.uint64)
     a, b = near.mix(a), near.mix(b)
     assert (np.maximum(near.registers(a), near.registers(b)) == near.registers(np.union1d(a, b))).all()
-    j = near.estimate(near.registers(a)[None], near.registers(b)[None], np.array([399.0]), np.array([500.0]))[0]
-    assert abs(j - 200 / 699) < 0.15
+    reaches = lambda t: bool(near.reaches(near.registers(a)[None], near.registers(b)[None], np.array([399.0]), np.array([500.0]), t)[0])
+    assert reaches(200 / 699 - 0.15) and not reaches(200 / 699 + 0.15)
+
+
+def likelihood(first, second, n1, n2, j):
+    """Log-likelihood of the larger, smaller and equal registers of two sketches at similarity j."""
+    u, v = n1 / (n1 + n2), n2 / (n1 + n2)
+    chance = lambda x: -math.log1p(-x * (near.BASE - 1) / near.BASE) / math.log(near.BASE)
+    p, q = max(chance(u - v * j), 1e-9), max(chance(v - u * j), 1e-9)
+    more, less = int((first > second).sum()), int((first < second).sum())
+    return more * math.log(p) + less * math.log(q) + (len(first) - more - less) * math.log(max(1 - p - q, 1e-9))
+
+
+def test_slope_of_the_likelihood_tells_where_its_maximum_lies():
+    rng = np.random.default_rng(5)
+    for n1, n2, both in ((300, 300, 250), (300, 260, 240), (100, 140, 90), (50, 50, 20), (200, 400, 100)):
+        values = near.mix(rng.integers(1, 2**60, n1 + n2 - both).astype(np.uint64))
+        a, b = near.registers(values[:n1]), near.registers(values[n1 - both :])
+        top = max(np.linspace(0, min(n1, n2) / max(n1, n2), 2001), key=lambda j: likelihood(a, b, n1, n2, j))
+        for least in (0.3, 0.45, 0.57, 0.7):
+            if abs(top - least) > 0.002:
+                assert near.reaches(a[None], b[None], np.array([n1 * 1.0]), np.array([n2 * 1.0]), least)[0] == (top > least)
+
+
+def test_sketches_estimate_without_bias():
+    rng, same = np.random.default_rng(9), []
+    for _ in range(150):
+        values = near.mix(rng.integers(1, 2**60, 350).astype(np.uint64))
+        same.append((near.registers(values[:300]) == near.registers(values[50:])).mean())
+    assert abs(np.mean(same) - 250 / 350) < 0.012 and np.std(same) < 1.4 * math.sqrt(5 / 7 * 2 / 7 / near.REGISTERS)
+
+
+def test_large_groups_of_near_copies(spark, monkeypatch):
+    """2000 copies around one text, pairs of which lie on both sides of the threshold, and a chain; blocks are small, so that buckets split."""
+    rng = random.Random(11)
+    base, data = prose(rng, 120).split(), []
+    for i in range(2000):
+        w = list(base)
+        for _ in range(rng.choice([1, 2, 3, 5, 8])):
+            w[rng.randrange(len(w))] = f"w{rng.randrange(10**6)}"
+        data.append((i, " ".join(w)))
+    link = prose(rng, 80).split()
+    for i in range(60):
+        link[(i * 7) % 80] = f"x{i}"
+        data.append((3000 + i, " ".join(link)))
+    sets = [shingles(t) for _, t in data]
+    holders = defaultdict(list)
+    for i, s in enumerate(sets):
+        for x in s:
+            holders[x].append(i)
+    root = list(range(len(data)))
+    for i, s in enumerate(sets):
+        for j, both in Counter(j for x in s for j in holders[x] if j < i).items():
+            if root[i] != root[j] and 100 * both >= 75 * (len(s) + len(sets[j]) - both):
+                root = [root[j] if r == root[i] else r for r in root]
+    least = {r: min(data[k][0] for k in range(len(data)) if root[k] == r) for r in set(root)}
+    monkeypatch.setattr(near, "BLOCK", 100)
+    out = {r.id: r.component for r in near.near_duplicates(spark.createDataFrame(data, "doc_id long, text string").repartition(4)).collect()}
+    assert out == {d[0]: least[root[k]] for k, d in enumerate(data)}
 
 
 def test_licenses(docs, none, rows):
