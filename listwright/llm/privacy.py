@@ -8,8 +8,10 @@ number) and the kinds as such.  Terms at or above DISCLOSURE that share SUPPORT
 they reveal are removed wherever they stand in texts of that entity or kind, while entities are
 generalised to their kind.  Parts of an address are no terms.
 
-All is done with built-in functions.  A null text is empty.  Rows that repeat id and text
-are rows of their own.
+All is done with built-in functions.  A null text is empty and stays null when sanitised; a null
+id is an id like others.  Rows that repeat id and text are rows of their own, an empty table gives an
+empty one, and columns of docs keep their names (of `rules` and `personal`, the result's own replace
+them).  Work grows with the length of a text, however long it is and however much is found in it.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from listwright.llm.frames import documents, hidden, restored
+from listwright.llm.frames import documents, hidden, restored, written
 from listwright.llm.spans import digits, kept, luhn, named, places, replaced
 
 KINDS = ("email", "ip", "card", "phone")
@@ -60,17 +62,18 @@ def _terms(text: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(outside, F.lit(TERM), F.lit(0)), F.lower))
 
 
-def _protected(text: Column) -> Column:
-    """(kind, v) of the different entities of a text, v their hashes, and of their kinds, with 0."""
+def _protected() -> Column:
+    """kind:v of the different entities of a text with r0 to r3, v their hashes, and of their kinds, with 0.
+
+    Strings, as Spark finds equal strings of an array by hashes, but equal structs by comparing all pairs.
+    """
 
     def entity(s: Column) -> Column:
-        value = F.substr(text, s["start"] + 1, s["end"] - s["start"])
-        same = F.when(s["kind"].isin("card", "phone"), digits(value)).otherwise(F.lower(value))
-        return F.struct(s["kind"].alias("kind"), F.xxhash64(same).alias("v"))
+        same = F.when(s["kind"].isin("card", "phone"), digits(s["value"])).otherwise(F.lower(s["value"]))
+        return F.concat_ws(":", s["kind"], F.xxhash64(same).cast("string"))
 
     spans = F.concat("r0", "r1", "r2", "r3")
-    kinds = F.transform(spans, lambda s: F.struct(s["kind"].alias("kind"), F.lit(0).cast("long").alias("v")))
-    return F.array_distinct(F.concat(F.transform(spans, entity), kinds))
+    return F.array_distinct(F.concat(F.transform(spans, entity), F.transform(spans, lambda s: F.concat(s["kind"], F.lit(":0")))))
 
 
 def disclosing_terms(rows: DataFrame, pairs: DataFrame, entities: DataFrame) -> DataFrame:
@@ -89,26 +92,30 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     rows, names = _keyed(docs, id_col, text_col)
     found = rows.withColumns({f"r{i}": s for i, s in enumerate(rule_spans(F.col("t")))})
     some = found.filter(F.size("r0") + F.size("r1") + F.size("r2") + F.size("r3") > 0)
-    each = some.select("k1", "k2", F.explode(_protected(F.col("t"))).alias("e")).select("k1", "k2", "e.*")
+    # Written, so that what several statistics need of the texts with entities is found once.
+    some = written(some.select("k1", "k2", _protected().alias("of"), _terms(F.col("t")).alias("terms")), "entities")
+    each = some.select("k1", "k2", F.explode("of").alias("e")).select("k1", "k2", F.split_part("e", F.lit(":"), F.lit(1)).alias("kind"), F.split_part("e", F.lit(":"), F.lit(2)).cast("long").alias("v"))
     # Entities in fewer texts than SUPPORT can't reach it with any term, so their pairs needn't be made.
     entities = each.groupBy("kind", "v").agg(F.count("*").alias("n")).filter(F.col("n") >= SUPPORT)
     of_text = each.join(entities.select("kind", "v"), ["kind", "v"]).groupBy("k1", "k2").agg(F.collect_set(F.struct("kind", "v")).alias("of"))
-    terms = some.withColumn("terms", _terms(F.col("t"))).select("k1", "k2", "terms").join(of_text, ["k1", "k2"])
+    terms = some.select("k1", "k2", "terms").join(of_text, ["k1", "k2"])
     pairs = terms.select("k1", "k2", "terms", F.explode("of").alias("e")).select("k1", "k2", "e.*", F.explode("terms").alias("term"))
     told = pairs.join(disclosing_terms(rows, pairs, entities).drop("share"), ["kind", "v", "term"])
     by_text = told.groupBy("k1", "k2").agg(F.collect_set("term").alias("told"))
-    blank = F.when(F.size("r0") > 0, replaced(F.col("t"), F.col("r0"), lambda s: F.repeat(F.lit(" "), s["end"] - s["start"]))).otherwise(F.col("t"))
-    marked = kept(F.when(F.col("told").isNotNull(), F.filter(places(blank, TERM), lambda m: F.array_contains("told", F.lower(m["value"])))), "term", len(KINDS), lambda v: F.lit(True))
-    out = found.join(by_text, ["k1", "k2"], "left").withColumn("more", marked)
+    out = found.join(by_text, ["k1", "k2"], "left").withColumn("blank", F.when(F.col("told").isNotNull(), F.col("t")))
+    out = replaced(out, "blank", "r0", lambda _, n: F.repeat(F.lit(" "), n))
+    marked = F.filter(places(F.col("blank"), TERM), lambda m: F.array_contains("told", F.lower(m["value"])))
+    out = out.withColumn("more", kept(marked, "term", len(KINDS), lambda v: F.lit(True)))
     return restored(out, names, rules=F.array("r0", "r1", "r2", "r3"), personal=F.concat("r0", "r1", "r2", "r3", "more"))
 
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with entities generalised to their kind and disclosing terms removed."""
-    found = find(docs, id_col, text_col)
-    label = lambda s: F.when(s["kind"] == "term", "").otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
-    clean = F.when(F.col(text_col).isNotNull(), replaced(F.col(text_col), F.array_sort("personal"), label))
-    return found.withColumn(text_col, clean).select(*docs.columns)
+    rows, names = hidden(docs)
+    new = {n: c for c, n in names.items()}
+    found = find(rows, new[id_col], new[text_col]).withColumn("personal", F.array_sort("personal"))
+    label = lambda kind, _: F.when(kind == "term", "").otherwise(F.concat(F.lit("["), F.upper(kind), F.lit("]")))
+    return restored(replaced(found, new[text_col], "personal", label), names)
 
 
 def op2_pii(spark, sf_dir: str) -> DataFrame:

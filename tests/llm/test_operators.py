@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -12,7 +13,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from listwright.llm import language, licenses, mpeg, near, packing, pieces, privacy, secrets, substring, topk
+from listwright.llm import language, licenses, mpeg, near, packing, pieces, privacy, secrets, spans, substring, topk
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n_words string, score string, c0 string, kept string"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -303,6 +304,105 @@ def test_terms_of_one_entity_go(spark):
     assert not any("@" in data[i][1][max(0, s.start - 1) : s.end + 1] for i in range(120) for s in found[i] if s.kind == "term")
 
 
+def test_places_and_replacement(spark):
+    rng = random.Random(8)
+    texts = ["", "a1", "1", "11 22", "é1🎉22" * 40] + ["".join(rng.choice(["ab", "é", "🎉", " ", "7", "42", "\n"]) for _ in range(n)) for n in (30, 700, 9000, 30000)]
+    kinds = [("number", r"[0-9]+"), ("letter", r"[b-zé]+[0-9]"), ("wide", "\U0001f389[^7]{0,3}")]
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, t string")
+    t = F.col("t")
+    found = F.array_sort(F.concat(*[spans.kept(spans.places(t, p), k, i, lambda v: F.length(v) > 1) for i, (k, p) in enumerate(kinds)]))
+    out = spans.replaced(df.withColumn("s", found).withColumn("r", t), "r", "s", lambda kind, n: F.concat(F.lit("<"), kind, n.cast("string"), F.lit(">"))).orderBy("i").collect()
+    for text, row in zip(texts, out):
+        want = sorted((m.start(), i, m.end(), k, m[0]) for i, (k, p) in enumerate(kinds) for m in re.finditer(p, text) if len(m[0]) > 1)
+        assert [tuple(x) for x in row.s] == want
+        groups = []
+        for start, _, end, kind, _ in want:
+            if groups and start < groups[-1][1]:
+                groups[-1][1] = max(end, groups[-1][1])
+            else:
+                groups.append([start, end, kind])
+        made, at = "", 0
+        for start, end, kind in groups:
+            made, at = f"{made}{text[at:start]}<{kind}{end - start}>", end
+        assert row.r == made + text[at:]
+
+
+def test_running_values(spark):
+    rng = random.Random(1)
+    data = [([rng.randrange(50) for _ in range(n)],) for n in (0, 1, 63, 64, 65, 128, 4096, 4097, 20000)]
+    df = spark.createDataFrame(data, "x array<int>").select("x", spans.running(F.col("x"), lambda a, b: a + b).alias("s"), spans.running(F.col("x"), F.greatest).alias("m"))
+    for r in df.collect():
+        assert r.s == np.cumsum(r.x, dtype=int).tolist() and r.m == (np.maximum.accumulate(r.x).tolist() if r.x else [])
+
+
+def test_many_matches_and_long_tokens(spark):
+    """A hundred thousand addresses in a text and a token of a million characters: in linear time, so within seconds."""
+    rng = random.Random(6)
+    many = " ".join(f"u{i}@mail.example.com" for i in range(100_000))
+    token = "".join(rng.choice("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz0123456789") for _ in range(1_000_000))
+    df = spark.createDataFrame([(1, many), (2, f"x {token} y")], "doc_id long, text string")
+    begin = time.time()
+    clean = {r.doc_id: r.text for r in privacy.sanitise(df).collect()}
+    assert clean[1] == " ".join(["[EMAIL]"] * 100_000) and clean[2] == f"x {token} y"
+    clean = {r.doc_id: r.text for r in secrets.redact(df, secrets.train(df.filter("false"))).collect()}
+    assert clean[2] == "x [SECRET:RANDOM] y"
+    assert time.time() - begin < 120
+
+
+def test_disclosed_shares(spark):
+    """Shares against a plain count over texts."""
+    rng = random.Random(12)
+    data = [(i, f"{rng.choice(['anna', 'bert', 'carl'])} {prose(rng, 6)} {rng.choice(['', 'mails 10.0.0.1', 'mails 10.0.0.2', 'a@mail.example.com anna'])}") for i in range(300)]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    rows, _ = privacy._keyed(df, "doc_id", "text")
+    entity = lambda t: {w for w in t.split() if "@" in w or "." in w}
+    terms = lambda t: {w for w in re.findall(r"[a-z]{3,}", re.sub(r"\S+@\S+", " ", t))}
+    n, both, held = Counter(), Counter(), Counter()
+    for _, t in data:
+        held.update(terms(t))
+        n.update(entity(t))
+        both.update((e, w) for e in entity(t) for w in terms(t))
+    want = {}
+    for (e, w), k in both.items():
+        share = math.log(k * 300 / (held[w] * n[e])) / -math.log(n[e] / 300)
+        if k >= privacy.SUPPORT and held[w] >= privacy.SUPPORT and share >= privacy.DISCLOSURE:
+            want[e, w] = share
+    of = F.filter(F.split("t", " "), lambda w: w.contains("@") | w.contains("."))
+    pairs = rows.select(F.explode(F.array_distinct(of)).alias("e"), privacy._terms(F.col("t")).alias("terms")).select(F.lit("x").alias("kind"), F.xxhash64("e").alias("v"), F.explode("terms").alias("term"))
+    entities = rows.select(F.explode(F.array_distinct(of)).alias("e")).groupBy(F.lit("x").alias("kind"), F.xxhash64("e").alias("v")).agg(F.count("*").alias("n"))
+    names = {r.v: r.e for r in spark.createDataFrame([(e,) for e in n], "e string").select("e", F.xxhash64("e").alias("v")).collect()}
+    got = {(names[r.v], r.term): r.share for r in privacy.disclosing_terms(rows, pairs, entities).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in got)
+
+
+def test_ratios(spark):
+    """Transition tables and ratios against a plain loop."""
+    strings = ["abcabc", "Zk3/9", "a", "é-x", "", "AAAA"]
+    got = {r["at"]: r["count"] for r in secrets._transitions(spark.createDataFrame([(x,) for x in strings], "s string")).collect()}
+    index = lambda c: secrets.ALPHABET.find(c) + 1
+    assert got == Counter(index(a) * secrets._SIZE + index(b) for x in strings for a, b in zip(x, x[1:]))
+    model = secrets.train(spark.createDataFrame([(1, "plain words stand here")], "doc_id long, text string"))
+    tokens = ["Zk3hR8vQm2Tx9LwPf5sYb7Nc", "getUserAccountName", "a_b-c/d+e==", "1111"]
+    out = spark.createDataFrame([(x,) for x in tokens], "s string").select("s", secrets.ratio(F.col("s"), model).alias("r")).collect()
+    for r in out:
+        assert abs(r.r - sum(round(model[index(a) * secrets._SIZE + index(b)], 5) for a, b in zip(r.s, r.s[1:]))) < 1e-6
+
+
+def test_identifiers_are_no_secrets(spark):
+    """Precision and recall on labelled samples that the models haven't seen."""
+    rng = random.Random(21)
+    rest = "anchor banner basket bridge bundle circle cluster credit detail empty finish garden holder island jacket kernel ladder mirror needle orange pencil rocket shadow tunnel valley winter".split()
+    styles = [lambda w: "".join(x.title() for x in w), lambda w: "_".join(w), lambda w: "-".join(w), lambda w: "/" + "/".join(w), lambda w: "_".join(w).upper(), lambda w: "-".join(w) + "-2023"]
+    names = [f(rng.sample(rest, 4)) for f in styles for _ in range(50)]
+    keys = ["".join(rng.choice(a) for _ in range(32)) for a in ("0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "0123456789abcdefghijklmnopqrstuvwxyz") for _ in range(100)]
+    prose_ = spark.createDataFrame([(i, prose(rng, 60)) for i in range(200)], "doc_id long, text string")
+    model = secrets.train(prose_)
+    df = spark.createDataFrame([(x, i < len(names)) for i, x in enumerate(names + keys)], "s string, name boolean")
+    found = df.withColumn("hit", secrets.ratio(F.col("s"), model) >= F.greatest(F.lit(secrets.LEAST_SUM), secrets.LEAST_MEAN * (F.length("s") - 1))).groupBy("name").agg(F.avg(F.col("hit").cast("int")).alias("share")).collect()
+    share = {r.name: r.share for r in found}
+    assert share[True] <= 0.03 and share[False] >= 0.97, share
+
+
 def test_secrets(docs, none, rows):
     want = []
     for r in rows:
