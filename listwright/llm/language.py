@@ -8,7 +8,10 @@ at most SAMPLE rows for each language, those with the smallest hashes of id and
 What reaches the driver is one number for each piece and language.
 
 A text that is null or has no letter is `und` with score 0; without labelled rows all
-texts are.  Rows without a label or without an id are scored like all others.
+texts are.  Rows without a label or without an id are scored like all others, repeated rows are rows
+of their own, an empty table gives an empty one, columns of docs keep their names (`lang_pred` and
+`score` are replaced), texts and words have any length.  The model holds a column of numbers for each
+label: a table whose labels aren't languages has to be cleaned first.
 """
 
 from __future__ import annotations
@@ -30,8 +33,8 @@ from listwright.llm.words import mix, noise
 VOCABULARY = "piece_bpe_32k.model"
 #: Labelled rows of a language from which its model is fitted; rounds of fitting; weight of the smoothing.
 SAMPLE, ROUNDS, SMOOTH = 1000, 3, 0.05
-#: Longest piece, letters that form a step at most, and words a task remembers.
-LONGEST, REMEMBERED = 8, 400_000
+#: Words a task remembers.
+REMEMBERED = 400_000
 #: Probability of a character that is no piece, alike for all languages.
 UNKNOWN = 1e-7
 UND = "und"
@@ -47,23 +50,26 @@ class Pieces:
 
         model = SentencePieceProcessor(model_file=path)
         names = {model.id_to_piece(i).lower() for i in range(model.get_piece_size()) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i))}
-        self.names = sorted(n for n in names if len(n) <= LONGEST)
-        self.weights = noise(LONGEST, 21) | np.uint64(1)
-        by_length: list[list[tuple[int, int]]] = [[] for _ in range(LONGEST + 1)]
+        self.names = sorted(names)
+        self.longest = max(map(len, self.names), default=1)
+        self.weights = noise(self.longest, 21) | np.uint64(1)
+        by_length: list[list[tuple[int, int]]] = [[] for _ in range(self.longest + 1)]
         for i, n in enumerate(self.names):
-            by_length[len(n)].append((int(self._hash(np.array([ord(c) for c in n], np.uint64), len(n))[0]), i))
+            for k, h in self._hashes(np.array([ord(c) for c in n], np.uint64)):
+                if k == len(n):
+                    by_length[k].append((int(h[0]), i))
         self.table = []
         for rows in by_length:
             rows.sort()
             self.table.append((np.array([h for h, _ in rows], np.uint64), np.array([i for _, i in rows], np.int64)))
 
-    def _hash(self, chars: np.ndarray, k: int) -> np.ndarray:
-        n = len(chars) - k + 1
+    def _hashes(self, chars: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """For each length k, the hashes of all k characters in a row."""
+        total = np.zeros(len(chars), np.uint64)
         with np.errstate(over="ignore"):
-            total = np.zeros(max(n, 0), np.uint64)
-            for j in range(k):
-                total += chars[j : j + n] * self.weights[j]
-            return mix(total + np.uint64(k))
+            for k in range(1, min(self.longest, len(chars)) + 1):
+                total = total[: len(chars) - k + 1] + chars[k - 1 :] * self.weights[k - 1]
+                yield k, mix(total + np.uint64(k))
 
     def lattice(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
         """(starts, ends, [piece of length k at each character or -1]) over the joined words, each with its start mark."""
@@ -72,15 +78,12 @@ class Pieces:
         ends = np.cumsum([len(w) + 1 for w in words])
         starts = np.concatenate([[0], ends[:-1]])
         left = np.repeat(ends, ends - starts) - np.arange(len(chars))  # characters up to the word's end
-        found = [np.empty(0, np.int64)]
-        for k in range(1, LONGEST + 1):
+        found = [np.full(len(chars), -1, np.int64) for _ in range(self.longest + 1)]
+        for k, h in self._hashes(chars):
             hashes, index = self.table[k]
-            out = np.full(len(chars), -1, np.int64)
-            if len(hashes) and len(chars) >= k:
-                h = self._hash(chars, k)
+            if len(hashes):
                 at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
-                out[: len(h)] = np.where((hashes[at] == h) & (left[: len(h)] >= k), index[at], -1)
-            found.append(out)
+                found[k][: len(h)] = np.where((hashes[at] == h) & (left[: len(h)] >= k), index[at], -1)
         return starts, ends, found
 
 
@@ -94,11 +97,13 @@ def _by_length(starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, np.n
             yield int(length[group[0]]), group
 
 
-def _chances(found: list[np.ndarray], k: int, at: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """Probabilities, for all languages, of the pieces of length k at characters `at`."""
+def _steps(found: list[np.ndarray], k: int, at: np.ndarray, p: np.ndarray) -> tuple[np.ndarray | slice, np.ndarray | None]:
+    """(which words, probabilities for all languages) of the pieces of length k at characters `at`; a character that is no piece is unknown."""
     piece = found[k][at]
-    value = p[piece]  # the last row, for -1, is 0
-    return value + (UNKNOWN * (piece < 0))[:, None] if k == 1 else value
+    if k == 1:
+        return slice(None), p[piece] + (UNKNOWN * (piece < 0))[:, None]  # the last row of p, for -1, is 0
+    which = np.flatnonzero(piece >= 0)
+    return which, p[piece[which]] if len(which) else None
 
 
 def score_words(pieces: Pieces, p: np.ndarray, words: list[str]) -> np.ndarray:
@@ -109,10 +114,12 @@ def score_words(pieces: Pieces, p: np.ndarray, words: list[str]) -> np.ndarray:
         alpha, scale = [np.ones((len(group), p.shape[1]))], np.zeros((len(group), p.shape[1]))
         for i in range(1, n + 1):
             total = np.zeros_like(alpha[0])
-            for k in range(1, min(i, LONGEST) + 1):
-                total += alpha[-k] * _chances(found, k, starts[group] + i - k, p)
+            for k in range(1, min(i, pieces.longest) + 1):
+                which, chance = _steps(found, k, starts[group] + i - k, p)
+                if chance is not None:
+                    total[which] += alpha[-k][which] * chance
             alpha.append(total)
-            alpha = alpha[-LONGEST:]
+            alpha = alpha[-pieces.longest :]
             if i % 16 == 0:  # long words: keep the numbers in range
                 top = alpha[-1].copy()
                 alpha = [a / top for a in alpha]
@@ -125,7 +132,7 @@ def expected_counts(pieces: Pieces, p: np.ndarray, words: list[str], weight: np.
     """Expected occurrences of each piece in the words, under the probabilities of one language."""
     total = np.zeros(len(p))
     starts, ends, found = pieces.lattice(words)
-    p = p[:, None]
+    p, longest = p[:, None], pieces.longest
 
     def rescale(values: dict[int, np.ndarray], scale: dict[int, np.ndarray], at: int, window: range) -> None:
         top = np.maximum(values[at], 1e-300)
@@ -137,21 +144,31 @@ def expected_counts(pieces: Pieces, p: np.ndarray, words: list[str], weight: np.
         none = np.zeros((len(group), 1))
         alpha, up = {0: np.ones((len(group), 1))}, {0: none}
         for i in range(1, n + 1):
-            alpha[i] = sum(alpha[i - k] * _chances(found, k, at + i - k, p) for k in range(1, min(i, LONGEST) + 1))
+            alpha[i] = np.zeros_like(none)
+            for k in range(1, min(i, longest) + 1):
+                which, chance = _steps(found, k, at + i - k, p)
+                if chance is not None:
+                    alpha[i][which] += alpha[i - k][which] * chance
             up[i] = up[i - 1]
             if i % 16 == 0:  # long words: keep the numbers in range; what is still needed has one scale
-                rescale(alpha, up, i, range(max(0, i + 1 - LONGEST), i + 1))
+                rescale(alpha, up, i, range(max(0, i + 1 - longest), i + 1))
         beta, down = {n: np.ones((len(group), 1))}, {n: none}
         for i in range(n - 1, -1, -1):
-            beta[i] = sum(beta[i + k] * _chances(found, k, at + i, p) for k in range(1, min(n - i, LONGEST) + 1))
+            beta[i] = np.zeros_like(none)
+            for k in range(1, min(n - i, longest) + 1):
+                which, chance = _steps(found, k, at + i, p)
+                if chance is not None:
+                    beta[i][which] += beta[i + k][which] * chance
             down[i] = down[i + 1]
             if (n - i) % 16 == 0:
-                rescale(beta, down, i, range(i, min(n, i + LONGEST - 1) + 1))
+                rescale(beta, down, i, range(i, min(n, i + longest - 1) + 1))
         share = weight[group][:, None] / np.maximum(alpha[n], 1e-300)
         for i in range(n):
-            for k in range(1, min(n - i, LONGEST) + 1):
-                value = alpha[i] * _chances(found, k, at + i, p) * beta[i + k] * np.exp(up[i] + down[i + k] - up[n]) * share
-                np.add.at(total, found[k][at + i], value[:, 0])
+            for k in range(1, min(n - i, longest) + 1):
+                which, chance = _steps(found, k, at + i, p)
+                if chance is not None:
+                    value = (alpha[i] * beta[i + k] * np.exp(up[i] + down[i + k] - up[n]) * share)[which] * chance
+                    np.add.at(total, found[k][at + i][which], value[:, 0])
     total[-1] = 0
     return total
 

@@ -12,6 +12,10 @@
    no symbol is one task's work.
 4. Words covered by a verified window go.
 
+Two windows are taken for equal if their symbols and the hashes of all their words agree, 64 bits
+each.  Windows of different words meet in a comparison only where they share a symbol, which only
+texts with words in common do; their hashes then agree by chance once in 2**64 comparisons.
+
 Nulls count as texts without words.  Rows with equal id and text count as
 repetitions of each other, as do two places in one text.
 """
@@ -26,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from listwright.llm import recompress
-from listwright.llm.frames import documents, erase, hidden, restored, written
+from listwright.llm.frames import documents, hidden, restored, written
 from listwright.llm.words import SPACES, as_bytes, byte_table, mix, noise, steps, tokenize
 
 WINDOW = 35

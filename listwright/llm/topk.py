@@ -1,8 +1,8 @@
 """Exact top-k by inner product, with elimination by a table of pivot distances.
 
 Vectors get one coordinate more, so that all candidates have the largest norm M and a
-higher inner product is a smaller distance.  Each vector's distances to a few pivots are
-precomputed; by the triangle inequality, the largest difference between the query's and a
+higher inner product is a smaller distance.  Each vector's distances to the pivots are a table,
+written once; by the triangle inequality, the largest difference between the query's and a
 candidate's bounds their distance from below.  Candidates are evaluated in the order of
 that bound until it shows that no other can enter the best k.
 
@@ -11,7 +11,9 @@ candidates, each pair a task of bounded size.  Pivots come from a bounded sample
 (SAMPLE rows with the smallest hashes), which affects only how much is evaluated.
 
 Vectors that are null, or hold null or non-finite components, and rows without an id take
-no part; components that a shorter vector lacks count as 0.  Rows with the query's id are its own.
+no part; components that a shorter vector lacks count as 0.  Rows with the query's id are its own;
+of other ids, repeated rows are candidates each.  An empty table, or one without queries, gives no
+rows.  Only the two named columns are read, so others may have any names.
 """
 
 from __future__ import annotations
@@ -23,9 +25,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from listwright.llm.frames import written
+
 K, EVERY, SCALE = 20, 20, 64
-PIVOTS, SAMPLE = 16, 2000
+PIVOTS, SAMPLE = 32, 2000
 QUERY_BLOCK, CANDIDATE_BLOCK, STEP = 1024, 8192, 256
+#: What the table's single precision can make a difference of distances too large, in shares of the largest norm.
+ROUNDED = 1e-6
 
 
 def whole_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -54,17 +60,23 @@ def _matrix(vectors: pd.Series, width: int) -> np.ndarray:
     return out
 
 
-def _best(queries: pd.DataFrame, candidates: pd.DataFrame, pivots: np.ndarray, norm2: float, k: int) -> Iterator[pd.DataFrame]:
-    width = pivots.shape[1]
+def _distances(vectors: pd.Series, pivots: np.ndarray, norm2: float, candidates: bool) -> np.ndarray:
+    """Distances to the pivots, which are candidates, of candidates or of queries, with the added coordinate."""
+    x = _matrix(vectors, pivots.shape[1])
+    more = lambda m: np.sqrt(np.maximum(norm2 - (m**2).sum(1), 0))  # noqa: E731  the added coordinate; queries have 0
+    own = np.full(len(x), norm2) if candidates else (x**2).sum(1)
+    between = x @ pivots.T + (np.outer(more(x), more(pivots)) if candidates else 0)
+    return np.sqrt(np.maximum(own[:, None] + norm2 - 2 * between, 0))
+
+
+def _best(queries: pd.DataFrame, candidates: pd.DataFrame, width: int, norm2: float, k: int) -> Iterator[pd.DataFrame]:
     candidates = candidates.sort_values("id")
     x, ids = _matrix(candidates.v, width), candidates.id.to_numpy()
     q, names = _matrix(queries.v, width), queries.id.to_numpy()
-    more = lambda m: np.sqrt(np.maximum(norm2 - (m**2).sum(1), 0))  # noqa: E731  the added coordinate
-    to_x = np.sqrt(np.maximum(2 * norm2 - 2 * (x @ pivots.T + np.outer(more(x), more(pivots))), 0))
-    to_q = np.sqrt(np.maximum((q**2).sum(1)[:, None] + norm2 - 2 * q @ pivots.T, 0))
+    to_x, to_q = (np.stack(c.to_list()).astype(float) if len(c) else np.zeros((0, 1)) for c in (candidates.to, queries.to))
     to_x = np.ascontiguousarray(to_x.T)
     for i in range(len(q)):
-        gap = np.abs(to_x - to_q[i][:, None]).max(0)
+        gap = np.maximum(np.abs(to_x - to_q[i][:, None]).max(0) - ROUNDED * np.sqrt(norm2), 0)
         bound = (float(q[i] @ q[i]) + norm2 - gap**2) / 2  # of the inner product, from above
         bound[ids == names[i]] = -np.inf
         head = np.argpartition(-bound, STEP)[:STEP] if len(bound) > STEP else np.arange(len(bound))
@@ -100,13 +112,22 @@ def search(rows: DataFrame, queries: DataFrame, k: int = K, id_col: str = "vec_i
     sample = x.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toPandas()
     pivots, norm2 = choose_pivots(_matrix(sample.v, width), PIVOTS), float(facts.norm2)
     blocks = [-(-n // size) for n, size in ((n_queries, QUERY_BLOCK), (facts.n, CANDIDATE_BLOCK))]
+
+    def table(vectors: DataFrame, candidates: bool) -> DataFrame:
+        @F.pandas_udf("array<float>")
+        def distances(v: pd.Series) -> pd.Series:
+            return pd.Series(list(_distances(v, pivots, norm2, candidates)), dtype=object)
+
+        return written(vectors.withColumn("to", distances("v")), "pivot-table")
+
+    x, q = table(x, True), table(q, False)
     own = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    cells = q.select(own(blocks[0]).alias("qb"), every(blocks[1]).alias("cb"), F.lit(True).alias("query"), "id", "v")
-    cells = cells.unionByName(x.select(every(blocks[0]).alias("qb"), own(blocks[1]).alias("cb"), F.lit(False).alias("query"), "id", "v"))
+    cells = q.select(own(blocks[0]).alias("qb"), every(blocks[1]).alias("cb"), F.lit(True).alias("query"), "id", "v", "to")
+    cells = cells.unionByName(x.select(every(blocks[0]).alias("qb"), own(blocks[1]).alias("cb"), F.lit(False).alias("query"), "id", "v", "to"))
 
     def best(group: pd.DataFrame) -> pd.DataFrame:
-        out = list(_best(group[group["query"]], group[~group["query"]], pivots, norm2, k))
+        out = list(_best(group[group["query"]], group[~group["query"]], width, norm2, k))
         return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
 
     found = cells.groupBy("qb", "cb").applyInPandas(best, "query_id long, vec_id long, score long")

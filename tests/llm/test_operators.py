@@ -489,7 +489,7 @@ def test_forward_sums_all_segmentations():
     def total(w, j):
         ways = [1.0] + [0.0] * len(w)
         for i in range(1, len(w) + 1):
-            for k in range(1, min(i, language.LONGEST) + 1):
+            for k in range(1, min(i, v.longest) + 1):
                 piece = w[i - k : i]
                 ways[i] += ways[i - k] * (p[index[piece], j] if piece in index else language.UNKNOWN if k == 1 else 0)
         return math.log(ways[-1])
