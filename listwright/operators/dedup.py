@@ -2,13 +2,14 @@
 
 Two listings are the same if their keys (day, city, normal title) are equal, or if they share
 the day and their titles are similar, also after removal of a shared venue's name.  Listings are
-taken in order; the more complete one of two stays.  No comparison crosses a day, so days
-are resolved apart from each other, with the result of one pass over all.
+taken in order; the more complete one of two stays.  A match never leaves the group of listings
+that possible matches connect, so groups are resolved apart from each other, with the result of one pass over all.
 """
 
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -17,6 +18,8 @@ from pyspark.sql import types as T
 
 from listwright.functions import geo, urls
 from listwright.functions.text import dedup_key, normal_title
+from listwright.operators.similar import COMPARED, EDITS, LONGER, SHARE, alike_pairs, groups
+from listwright.plans.shared import kept_table
 from listwright.schema import present
 
 # Trust in sources; 0 for all others.
@@ -26,7 +29,7 @@ PRIORITY = {
     "venue-expopark": 4, "pretend-city": 4, "la-parent": 3, "church-mariners": 4, "church-saddleback": 4, "church-rockharbor": 4, "church-oceans": 4,
     "church-mosaic": 4, "church-realityla": 4, "mommypoppins": 1,
 }
-SHORTEST, COMPARED = 10, 200
+SHORTEST = 10
 
 
 def completeness(priority: dict[str, int] = PRIORITY) -> Column:
@@ -53,23 +56,16 @@ def exact(df: DataFrame) -> DataFrame:
     return with_key(df).withColumn("n", F.row_number().over(w)).filter("n = 1").drop("n")
 
 
-def similar(a: Column, b: Column) -> Column:
-    """Equal, or one in the other and longer than its half, or few edits for their length."""
-    short, long_ = F.least(F.length(a), F.length(b)), F.greatest(F.length(a), F.length(b))
-    edits = F.least(F.lit(6), F.floor(short * 0.15)).cast("int")
-    near = F.levenshtein(F.substring(a, 1, COMPARED), F.substring(b, 1, COMPARED)) <= edits
-    return (a == b) | ((short / long_ > 0.5) & (a.contains(b) | b.contains(a))) | ((long_ - short < 10) & near)
-
-
 def candidate_pairs(df: DataFrame) -> DataFrame:
-    """(ord_a, ord_b, day): pairs of one day with similar titles, without the greedy choice.
+    """(ord_a, ord_b, day), without the greedy choice: listings of one day with similar titles.
 
-    The join is on the day; a further key on lengths, which similar titles bound, splits large days.
+    Equal titles of a day are one class, for which the first listing stands: each other one pairs with it,
+    and alike classes pair by their first listings.
     """
-    rows = with_key(df).filter(F.length("norm") >= SHORTEST).select("ord", "day", "norm")
-    a, b = (rows.toDF(f"ord_{x}", f"day_{x}", f"norm_{x}") for x in "ab")
-    on = (F.col("day_a") == F.col("day_b")) & (F.col("ord_a") < F.col("ord_b")) & similar(F.col("norm_a"), F.col("norm_b"))
-    return a.join(b, on).select("ord_a", "ord_b", F.col("day_a").alias("day"))
+    rows = with_key(df).filter(F.length("norm") >= SHORTEST).select(F.col("ord").alias("id"), F.col("day").alias("block"), F.col("norm").alias("text"))
+    classes, pairs = alike_pairs(rows)
+    same = rows.join(classes.withColumnRenamed("id", "a"), ["block", "text"]).filter("a <> id").select("block", "a", F.col("id").alias("b"))
+    return pairs.unionByName(same).select(F.col("a").alias("ord_a"), F.col("b").alias("ord_b"), F.col("block").alias("day"))
 
 
 def edit_distance(a: str, b: str, most: int) -> int:
@@ -88,12 +84,12 @@ def edit_distance(a: str, b: str, most: int) -> int:
 
 
 def alike(a: str, b: str) -> bool:
-    """similar() for two texts."""
+    """alike() of listwright.operators.similar for two texts."""
     short, long_ = sorted((len(a), len(b)))
     if a == b or (short > 0.5 * long_ and (a in b or b in a)):
         return True
-    most = min(6, int(short * 0.15))
-    return long_ - short < 10 and edit_distance(a[:COMPARED], b[:COMPARED], most) <= most
+    most = min(EDITS, int(short * SHARE))
+    return long_ - short < LONGER and edit_distance(a[:COMPARED], b[:COMPARED], most) <= most
 
 
 class _Kept:
@@ -129,23 +125,52 @@ class _Kept:
             self.rows[key] = {**row, "place": self.rows[key]["place"]}
 
 
-def _resolve_day(rows: pd.DataFrame) -> pd.DataFrame:
+def _resolve(rows: pd.DataFrame) -> pd.DataFrame:
     kept = _Kept()
     for row in rows.sort_values("ord").to_dict("records"):
         kept.add(row)
     return pd.DataFrame([(r["place"], r["ord"]) for r in kept.rows.values()], columns=["place", "ord"])
 
 
+def _possible_links(keys: DataFrame) -> DataFrame:
+    """(a, b) of first listings of keys that may match: by title, or by what is left of it without the venue."""
+    titles = keys.filter(F.length("norm") >= SHORTEST)
+    by_title = titles.select(F.col("first").alias("id"), F.col("day").alias("block"), F.col("norm").alias("text"))
+    name = F.regexp_replace(F.regexp_replace("venue", r"\s+", r"\\s*"), "^$", "$")
+    rest = F.trim(F.regexp_replace(F.col("norm"), name, F.lit("")))
+    at_venue = titles.filter(F.length("venue") > 3).select(F.col("first").alias("id"), F.concat_ws("\n", "day", "venue").alias("block"), rest.alias("text"))
+    links = []
+    for rows in (by_title, at_venue):
+        classes, pairs = alike_pairs(rows)
+        links += [pairs.select("a", "b"), rows.join(classes.withColumnRenamed("id", "a"), ["block", "text"]).filter("a <> id").select("a", F.col("id").alias("b"))]
+    return reduce(DataFrame.unionByName, links).distinct()
+
+
 def greedy(df: DataFrame) -> DataFrame:
     """The listings that stay, with `place`, the order in which their entities first appeared.
 
-    Only what is compared goes to Python; the rows are joined back by ord, which must be unique.
+    Only what is compared goes to Python, and only of groups with several keys; the rows are joined back by ord, which must
+    be unique.  The first key of a group is an entity in any case, so of its rows only those count that have the highest score so far:
+    copies of one listing are counted by (key, score) and never gathered.
     """
-    venue = F.trim(F.regexp_replace(F.lower("location_name"), r"[^a-z0-9\s]", ""))
-    keys = with_key(df).select("ord", "day", "key", "norm", "score", venue.alias("venue"))
+    venue = F.trim(F.regexp_replace(F.lower(F.coalesce("location_name", F.lit(""))), r"[^a-z0-9\s]", ""))
+    rows = kept_table(with_key(df).select("ord", "day", "key", "norm", "score", venue.alias("venue")), "keys")
+    heads = rows.groupBy("key").agg(F.min("ord").alias("first"))
+    # A key may stand with several venues: each is a row of its own here, linked by the key's first listing.
+    variants = rows.groupBy("day", "key", "norm", "venue").agg(F.min("ord").alias("ord")).join(heads, "key")
+    roots = groups(_possible_links(variants))
+    by_key = heads.join(roots, F.col("first") == F.col("id"), "left").select("key", "first", F.coalesce("root", "first").alias("root"))
+    several = by_key.groupBy("root").agg(F.count("*").alias("n")).filter("n > 1").select("root")
+    placed = rows.join(kept_table(by_key.join(several.withColumn("many", F.lit(True)), "root", "left"), "groups"), "key")
+    scores = placed.filter("root = first").groupBy("key", "root", "many", "score").agg(F.min("ord").alias("ord"))
+    above = F.min("ord").over(Window.partitionBy("key").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, -1))
+    records = scores.withColumn("above", above).filter(F.col("above").isNull() | (F.col("ord") < F.col("above")))
+    alone = records.filter("many is null").groupBy("root").agg(F.max_by("ord", "score").alias("ord")).select(F.col("root").alias("place"), "ord")
+    leading = placed.join(records.filter("many").select("ord"), "ord", "left_semi")
+    open_ = leading.unionByName(placed.filter("many and root <> first"))
     schema = T.StructType([T.StructField("place", T.LongType()), T.StructField("ord", T.LongType())])
-    chosen = keys.groupBy("day").applyInPandas(_resolve_day, schema)
-    return df.join(chosen, "ord")
+    chosen = open_.select("root", "ord", "key", "norm", "score", "venue").groupBy("root").applyInPandas(_resolve, schema)
+    return df.join(alone.unionByName(chosen), "ord")
 
 
 def duplicate_pairs(df: DataFrame, limit: int | None = None) -> DataFrame:

@@ -122,15 +122,15 @@ def _(l, spark, d):
     return views.upcoming(l, NOW, "los-angeles").select("source_id", "start_date")
 
 
-@query("sort_distance", f"select source_id, round({_HAVERSINE}, 3) as metres from {{listings}} order by {_HAVERSINE} nulls last, ord limit 50")
+@query("sort_distance", f"select source_id, round({_HAVERSINE}, 3) as metres from {{listings}} order by {_HAVERSINE} nulls last, ord")
 def _(l, spark, d):
     away = geo.metres(F.col("latitude"), F.col("longitude"), *HOME)
-    return l.orderBy(*filters.ListingFilter(sort="distance").order(HOME)).limit(50).select("source_id", F.round(away, 3).alias("metres"))
+    return l.orderBy(*filters.ListingFilter(sort="distance").order(HOME)).select("source_id", F.round(away, 3).alias("metres"))
 
 
-@query("sort_price", f"select source_id, {_TIER}::int as tier from {{listings}} order by coalesce({_TIER}, 99), start_date, ord limit 50")
+@query("sort_price", f"select source_id, {_TIER}::int as tier from {{listings}} order by coalesce({_TIER}, 99), start_date, ord")
 def _(l, spark, d):
-    return l.orderBy(*filters.ListingFilter(sort="price").order()).limit(50).select("source_id", price.tier(F.col("price")).alias("tier"))
+    return l.orderBy(*filters.ListingFilter(sort="price").order()).select("source_id", price.tier(F.col("price")).alias("tier"))
 
 
 @query("price_tiers", f"select price, {_TIER}::int as tier, {_FREE} as free, count(*) as n from {{listings}} group by all")

@@ -14,7 +14,7 @@ SQL: dict[str, str] = {}
 _DAY = "lpad(cast(1 + length(split_part(text, chr(10), 1)) % 28 as {s}), 2, '0')"
 LISTINGS = """
 select concat(source, ':', cast(doc_id as {s})) as source_id, doc_id as ord, source, lang as city,
-  substr(split_part(text, chr(10), 1), 1, 80) as title, text as description,
+  split_part(text, chr(10), 1) as title, text as description,
   concat('2024-01-', """ + _DAY + """, 'T', lpad(cast(doc_id % 24 as {s}), 2, '0'), ':00:00') as start_date,
   case when doc_id % 5 = 0 then concat('2024-02-', lpad(cast(1 + doc_id % 28 as {s}), 2, '0'), 'T12:00:00') end as end_date,
   case when doc_id % 2 = 0 then 'los-angeles' else 'orange-county' end as metro,

@@ -30,10 +30,12 @@ def _by_letter(l):
     return l.withColumn("start_date", F.concat(F.lit("2024-01-"), F.lpad((1 + F.ascii("title") % 28).cast("string"), 2, "0"), F.lit("T00:00:00")))
 
 
-@query("dedup_pairs", f"""with l as (select ord, {NORM.format(c='title')} as n, substr({_DAYS}, 1, 10) as day from {{listings}}), k as (select * from l where length(n) >= 10)
-select a.ord as ord_a, b.ord as ord_b, a.day from k a join k b on a.day = b.day and a.ord < b.ord and (a.n = b.n
-  or (least(length(a.n), length(b.n)) / greatest(length(a.n), length(b.n)) > 0.5 and (contains(a.n, b.n) or contains(b.n, a.n)))
-  or (abs(length(a.n) - length(b.n)) < 10 and levenshtein(substr(a.n, 1, 200), substr(b.n, 1, 200)) <= least(6, floor(least(length(a.n), length(b.n)) * 0.15))))""")
+@query("dedup_pairs", f"""with l as (select ord, {NORM.format(c='title')} as n, substr({_DAYS}, 1, 10) as day from {{listings}}), k as (select * from l where length(n) >= 10),
+c as (select day, n, min(ord) as ord from k group by day, n)
+select a.ord as ord_a, b.ord as ord_b, a.day from c a join c b on a.day = b.day and a.ord < b.ord and (
+  (least(length(a.n), length(b.n)) / greatest(length(a.n), length(b.n)) > 0.5 and (contains(a.n, b.n) or contains(b.n, a.n)))
+  or (abs(length(a.n) - length(b.n)) < 10 and levenshtein(substr(a.n, 1, 200), substr(b.n, 1, 200)) <= least(6, floor(least(length(a.n), length(b.n)) * 0.15))))
+union all select c.ord, k.ord, k.day from k join c on k.day = c.day and k.n = c.n and k.ord <> c.ord""")
 def _(l, spark, d):
     return dedup.candidate_pairs(_by_letter(l))
 

@@ -47,23 +47,77 @@ def test_greedy_keeps_the_more_complete(spark, first):
     assert [r.image_url for r in out] == ["https://x/y.jpg"] and out[0].place == 0
 
 
-def test_greedy_like_one_pass(spark):
+def levenshtein(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j - 1] + (x != y), row[j] + 1, new[j - 1] + 1))
+        row = new
+    return row[-1]
+
+
+def same_title(a, b):
+    short, long_ = sorted([a, b], key=len)
+    if a == b or (len(short) > len(long_) / 2 and short in long_):
+        return True
+    return len(long_) - len(short) < 10 and levenshtein(a[:200], b[:200]) <= min(6, len(short) * 15 // 100)
+
+
+def plain_resolution(rows):
+    """Row by row against all that stay so far, of all days."""
+    import re
+
+    kept = []  # [key, row that stays, ord of the first]
+    for r in rows:
+        hit = next((k for k in kept if k[0] == r["key"]), None)
+        for k in kept if hit is None else []:
+            o = k[1]
+            if len(r["norm"]) < 10 or len(o["norm"]) < 10 or o["day"] != r["day"]:
+                continue
+            match = same_title(r["norm"], o["norm"])
+            if not match and r["venue"] and len(r["venue"]) > 3 and r["venue"] == o["venue"]:
+                x, y = (re.sub(r"\s*".join(r["venue"].split()), "", t["norm"]).strip() for t in (r, o))
+                match = len(x) >= 5 and len(y) >= 5 and same_title(x, y)
+            if match:
+                hit = k
+                break
+        if hit is None:
+            kept.append([r["key"], r, r["ord"]])
+        elif r["score"] > hit[1]["score"]:
+            hit[1] = r
+    return sorted((k[2], k[1]["ord"]) for k in kept)
+
+
+@pytest.mark.parametrize("seed", [5, 6])
+def test_greedy_like_a_plain_loop(spark, seed):
     import random
 
-    rng = random.Random(5)
-    words = "garden music family story craft movie night park".split()
-    rows = [{"title": " ".join(rng.choices(words, k=3)) + rng.choice(["", " (Free)", "s", "!"]), "start_date": f"2026-06-{rng.randint(10, 12)}T10:00:00", "description": "x" * rng.randint(0, 20), "location_name": rng.choice(["park", None])} for _ in range(150)]
+    rng = random.Random(seed)
+    words = "garden music family story craft movie night park autumn river picnic".split()
+
+    def title():
+        t = " ".join(rng.choices(words, k=rng.randint(2, 6)))
+        at = rng.randrange(len(t))
+        return rng.choice([t, t[:at] + rng.choice("xyz") + t[at + 1 :], t + " old park hall", t + "s", f"{t} (Free)"])
+
+    rows = [{"title": title(), "start_date": f"2026-06-{rng.randint(10, 11)}T10:00:00", "description": "x" * rng.randint(0, 20), "location_name": rng.choice(["Old Park Hall", None])} for _ in range(120)]
+    rows += [dict(rng.choice(rows), description=rng.choice(["", "x" * 30])) for _ in range(80)]
     df = listings(spark, *rows)
-    kept = dedup._Kept()
     venue = F.trim(F.regexp_replace(F.lower("location_name"), r"[^a-z0-9\s]", ""))
-    keys = dedup.with_key(df).select("ord", "day", "key", "norm", "score", venue.alias("venue")).orderBy("ord").collect()
-    one_pass = {}
-    for r in keys:  # one pass over all days, comparing days as well
-        day = one_pass.setdefault(r.day, dedup._Kept())
-        day.add(r.asDict())
-    expected = sorted((x["place"], x["ord"]) for k in one_pass.values() for x in k.rows.values())
-    assert sorted((r.place, r.ord) for r in dedup.greedy(df).collect()) == expected
-    assert not kept.rows
+    keys = [r.asDict() for r in dedup.with_key(df).select("ord", "day", "key", "norm", "score", venue.alias("venue")).orderBy("ord").collect()]
+    assert sorted((r.place, r.ord) for r in dedup.greedy(df).collect()) == plain_resolution(keys)
+
+
+def test_pairs_decided_by_each_rule(spark):
+    long_ = " ".join(f"word{i % 7} and" for i in range(60))
+    titles = ["Autumn River Concert", "Autumn Rivers Concert", "Autumn Fiver Concert", "Autumn River Concert", "The Autumn River Concert at noon", "Picnic", "Pottery for beginners", long_, long_ + " x", long_[:-60], "aaaaaaaaaaaa", "aaaaaaaaaaaaa"]
+    df = listings(spark, *({"title": t} for t in titles))
+    norm = [r.norm for r in dedup.with_key(df).orderBy("ord").select("norm").collect()]
+    first = {n: norm.index(n) for n in norm}
+    want = {(first[n], i) for i, n in enumerate(norm) if first[n] != i and len(n) >= 10}
+    want |= {(i, j) for i in set(first.values()) for j in set(first.values()) if i < j and min(len(norm[i]), len(norm[j])) >= 10 and same_title(norm[i], norm[j])}
+    assert {(r.ord_a, r.ord_b) for r in dedup.candidate_pairs(df).collect()} == want and len(want) > 5
 
 
 def test_edit_distance():
