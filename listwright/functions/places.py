@@ -15,7 +15,10 @@ from listwright.schema import present
 # Regions that are no city.
 REGIONS = ("orange county", "los angeles", "los angeles county", "la", "oc", "southern california", "socal", "greater los angeles", "los angeles metro")
 NOT_VENUES = ("Home", "No", "An", "Any", "This", "That", "Our", "Your", "All", "Each")
-_NAME = r"([A-Z][A-Za-z'’\-&. ]{2,50})"
+# How titles and texts name a place: after `at` up to a stop word or mark, after `at`, after a dash.
+AT_UP_TO = r"(?:\bat|@)\s+(?:the\s+)?([A-Z][A-Za-z'’\-&. ]{2,50}?)(?:\s+(?:on|from|every|this|starting|for|with)\b|[,.!?]|$)"
+AT = r"(?:\bat|@)\s+(?:the\s+)?([A-Z][A-Za-z'’\-&. ]{2,50})"
+DASH = r"[–—\-]\s*([A-Z][A-Za-z'’\-&. ]{2,50})"
 
 
 def _found(text: Column, pattern: str) -> Column:
@@ -25,9 +28,8 @@ def _found(text: Column, pattern: str) -> Column:
 def venue_in(text: Column) -> Column:
     """A place after `at` (up to a stop word or mark if there is one), else after a dash; null if none."""
     ok = lambda v: F.when((F.length(v) >= 3) & ~v.isin(*NOT_VENUES), v)
-    bounded = _found(text, r"(?:\bat|@)\s+(?:the\s+)?" + _NAME.replace("{2,50}", "{2,50}?") + r"(?:\s+(?:on|from|every|this|starting|for|with)\b|[,.!?]|$)")
-    dash = _found(text, r"[–—\-]\s*" + _NAME)
-    return F.coalesce(ok(bounded), ok(_found(text, r"(?:\bat|@)\s+(?:the\s+)?" + _NAME)), F.when(F.length(dash) >= 3, dash))
+    dash = _found(text, DASH)
+    return F.coalesce(ok(_found(text, AT_UP_TO)), ok(_found(text, AT)), F.when(F.length(dash) >= 3, dash))
 
 
 def venue_of(location_name: Column, title: Column, description: Column) -> Column:

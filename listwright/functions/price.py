@@ -33,17 +33,16 @@ def display(price: Column) -> Column:
     return F.when(tier(price) == 0, "FREE").when(tier(price) > 0, "$")
 
 
+# How prose tells a price; the first that holds counts.
+FREE, NOT_FREE, FREE_TOO = r"(?i)\bfree\b", r"(?i)free\s*(?:parking|wifi|with)", r"(?i)no charge|complimentary"
+INCLUDED, DOLLARS = r"(?i)included with (?:park |museum )?admission", r"\$(\d+(?:\.\d{2})?)\s*(?:[-–]\s*\$(\d+(?:\.\d{2})?))?"
+SUGGESTED, DONATION = r"(?i)suggested\s+donation", r"(?i)\bdonation\b"
+
+
 def extract(text: Column) -> Column:
     """A price told in prose; `free` wins unless it is parking, wifi or `free with`."""
-    pattern = r"\$(\d+(?:\.\d{2})?)\s*(?:[-–]\s*\$(\d+(?:\.\d{2})?))?"
-    low, high = F.regexp_extract(text, pattern, 1), F.regexp_extract(text, pattern, 2)
-    return (
-        F.when(F.coalesce(text, F.lit("")) == "", F.lit(None).cast("string"))
-        .when(text.rlike(r"(?i)\bfree\b") & ~text.rlike(r"(?i)free\s*(?:parking|wifi|with)"), "Free")
-        .when(text.rlike(r"(?i)no charge|complimentary"), "Free")
-        .when(text.rlike(r"(?i)included with (?:park |museum )?admission"), "Included with admission")
-        .when((low != "") & (high != ""), F.concat(F.lit("$"), low, F.lit(" - $"), high))
-        .when(low != "", F.concat(F.lit("$"), low))
-        .when(text.rlike(r"(?i)suggested\s+donation"), "Suggested donation")
-        .when(text.rlike(r"(?i)\bdonation\b"), "Donation")
-    )
+    low, high = F.regexp_extract(text, DOLLARS, 1), F.regexp_extract(text, DOLLARS, 2)
+    amount = F.when(low != "", F.concat(F.lit("$"), low, F.when(high != "", F.concat(F.lit(" - $"), high)).otherwise("")))
+    free = (text.rlike(FREE) & ~text.rlike(NOT_FREE)) | text.rlike(FREE_TOO)
+    told = F.when(free, "Free").when(text.rlike(INCLUDED), "Included with admission").when(amount.isNotNull(), amount).when(text.rlike(SUGGESTED), "Suggested donation").when(text.rlike(DONATION), "Donation")
+    return F.when(text != "", told)

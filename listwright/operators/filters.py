@@ -10,6 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from listwright import rules
 from listwright.functions import geo, price
 from listwright.functions.text import parse_timestamp
 
@@ -36,7 +37,12 @@ def any_pattern(text: Column, patterns: list[str]) -> Column:
     return F.coalesce(text.rlike("|".join(f"(?:{p})" for p in patterns)), F.lit(False)) if patterns else F.lit(False)
 
 
-def family_friendly(df: DataFrame, title_patterns: list[str], text_patterns: list[str], venues: list[str], api_sources: list[str]) -> DataFrame:
+_TITLES, _TEXTS = ([f"(?i){p}" for p in x] for x in (rules.ADULT_TITLES, rules.ADULT_TEXTS))
+
+
+def family_friendly(
+    df: DataFrame, title_patterns: list[str] = _TITLES, text_patterns: list[str] = _TEXTS, venues: list[str] = rules.COMEDY_VENUES, api_sources: list[str] = rules.API_SOURCES
+) -> DataFrame:
     """Without listings whose title or text matches, or that an API source has at one of the venues."""
     bad = any_pattern(F.col("title"), title_patterns) | any_pattern(F.col("description"), text_patterns)
     bad = bad | (F.col("source").isin(api_sources) & any_keyword(F.col("location_name"), venues))

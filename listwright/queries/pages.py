@@ -43,3 +43,20 @@ def _(l, spark, d):
 def _(l, spark, d):
     w = Window.partitionBy("conv_id").orderBy("turn")
     return table(spark, d, "conversations").select("conv_id", "turn", F.lead("role", 1).over(w).alias("next_role"), F.lead(F.length("text").cast("long"), 2).over(w).alias("later_length"))
+
+
+@query("seat_events", """select concat('seatgeek:', ord) as source_id, title, substr(trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(coalesce(description, ''), '<[^>]*>', '', 'g'), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&nbsp;', ' '), '\\s+', ' ', 'g')), 1, 500) as description,
+  start_date, city, location_name, latitude, longitude, case ord % 3 when 0 then 'https://i.example.org/huge.png' when 1 then 'https://i.example.org/large.png' end as image_url,
+  case ord % 4 when 0 then '$12.5-$30' when 1 then '$12.5' when 2 then '$20' end as price, concat(category, ',live') as tags from {listings}""")
+def _(l, spark, d):
+    """Payloads made of the listings, one for each, and read back."""
+    o, none = F.col("ord"), F.lit(None)
+    picture = F.struct(F.when(o % 3 == 0, "https://i.example.org/huge.png").when(o % 3 == 2, "").alias("huge"), F.when(o % 3 < 2, "https://i.example.org/large.png").alias("large"))
+    low, high = F.when(o % 4 < 2, 12.5).when(o % 4 == 2, 20.0).otherwise(0.0), F.when(o % 4 == 0, 30.0).when(o % 4 == 1, 12.5).otherwise(none.cast("double"))
+    event = F.struct(
+        o.cast("string").alias("id"), "title", "description", F.lit("https://seats.example.org").alias("url"), F.col("start_date").alias("datetime_local"), F.array(*[F.struct(x.alias("name")) for x in (F.col("category"), F.lit("live"))]).alias("taxonomies"),
+        F.array(F.struct(picture.alias("images"))).alias("performers"), F.struct(low.alias("lowest_price"), high.alias("highest_price")).alias("stats"),
+        F.struct(F.col("location_name").alias("name"), "city", "address", F.struct(F.col("latitude").alias("lat"), F.col("longitude").alias("lon")).alias("location")).alias("venue"),
+    )
+    read = payloads.seat_events(l.select("ord", F.to_json(F.struct(F.array(event).alias("events"))).alias("payload")))
+    return read.select("source_id", "title", "description", "start_date", "city", "location_name", "latitude", "longitude", "image_url", "price", F.array_join("tags", ",").alias("tags"))

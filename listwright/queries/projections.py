@@ -60,15 +60,27 @@ def _(l, spark, d):
     return l.select("source_id", text.city_of_address(F.col("address")).alias("place"))
 
 
-@query("extract_price", r"""with t as (select source_id, case ord % 6 when 0 then 'Tickets $12.50 - $20' when 1 then 'Free parking, entry $5' when 2 then 'It is FREE for all' when 3 then 'suggested  donation' when 4 then concat('about $', cast(ord % 50 as varchar)) else description end as note from {listings})
-select source_id, case when note = '' or note is null then null when regexp_matches(note, '(?i)\bfree\b') and not regexp_matches(note, '(?i)free\s*(?:parking|wifi|with)') then 'Free'
-  when regexp_matches(note, '(?i)no charge|complimentary') then 'Free' when regexp_matches(note, '(?i)included with (?:park |museum )?admission') then 'Included with admission'
-  when regexp_extract(note, '\$(\d+(?:\.\d{2})?)\s*(?:[-–]\s*\$(\d+(?:\.\d{2})?))?', 2) <> '' then concat('$', regexp_extract(note, '\$(\d+(?:\.\d{2})?)\s*(?:[-–]\s*\$(\d+(?:\.\d{2})?))?', 1), ' - $', regexp_extract(note, '\$(\d+(?:\.\d{2})?)\s*(?:[-–]\s*\$(\d+(?:\.\d{2})?))?', 2))
-  when regexp_extract(note, '\$(\d+(?:\.\d{2})?)', 1) <> '' then concat('$', regexp_extract(note, '\$(\d+(?:\.\d{2})?)', 1))
-  when regexp_matches(note, '(?i)suggested\s+donation') then 'Suggested donation' when regexp_matches(note, '(?i)\bdonation\b') then 'Donation' end as price from t""")
+_NOTES = ("Tickets $12.50 - $20", "Free parking, entry $5", "It is FREE for all", "suggested  donation", "no charge", "")
+
+
+@query("extract_price", rf"""with t as (select source_id, concat(description, ' ', case ord % 6 {' '.join(f"when {i} then '{n}'" for i, n in enumerate(_NOTES))} end) as note from {{listings}})
+select source_id, case when note = '' then null when (regexp_matches(note, '{price.FREE}') and not regexp_matches(note, '{price.NOT_FREE}')) or regexp_matches(note, '{price.FREE_TOO}') then 'Free'
+  when regexp_matches(note, '{price.INCLUDED}') then 'Included with admission'
+  when regexp_extract(note, '{price.DOLLARS}', 2) <> '' then concat('$', regexp_extract(note, '{price.DOLLARS}', 1), ' - $', regexp_extract(note, '{price.DOLLARS}', 2))
+  when regexp_extract(note, '{price.DOLLARS}', 1) <> '' then concat('$', regexp_extract(note, '{price.DOLLARS}', 1))
+  when regexp_matches(note, '{price.SUGGESTED}') then 'Suggested donation' when regexp_matches(note, '{price.DONATION}') then 'Donation' end as price from t""")
+def _(l, spark, d):
+    """Prices in whole descriptions, each with a note at its end."""
+    note = F.element_at(F.array(*map(F.lit, _NOTES)), (F.col("ord") % 6 + 1).cast("int"))
+    return l.select("source_id", price.extract(F.concat(F.coalesce("description", F.lit("")), F.lit(" "), note)).alias("price"))
+
+
+@query("page_image", """select page_id, case page_id % 3 when 0 then concat('https://i.example.org/', cast(page_id as varchar), '.png') when 1 then 'https://t.example.org/t.png'
+  else nullif(regexp_extract(html, '(?i)<meta[^>]*og:image"[^>]*content="([^"]+)"', 1), '') end as image from pages""")
 def _(l, spark, d):
-    note = F.when(F.col("ord") % 6 == 0, "Tickets $12.50 - $20").when(F.col("ord") % 6 == 1, "Free parking, entry $5").when(F.col("ord") % 6 == 2, "It is FREE for all").when(F.col("ord") % 6 == 3, "suggested  donation").when(F.col("ord") % 6 == 4, F.concat(F.lit("about $"), (F.col("ord") % 50).cast("string"))).otherwise(F.col("description"))
-    return l.select("source_id", price.extract(note).alias("price"))
+    own = F.concat(F.lit('<meta content="https://i.example.org/'), F.col("page_id").cast("string"), F.lit('.png" property="og:image">'))
+    head = F.when(F.col("page_id") % 3 == 0, own).when(F.col("page_id") % 3 == 1, "<META property='twitter:image' data-x='1' content='https://t.example.org/t.png'/>").otherwise("")
+    return table(spark, d, "pages").select("page_id", urls.page_image(F.concat(head, F.col("html"))).alias("image"))
 
 
 @query("url_predicates", """select source_id, coalesce(contains(image_url, 'unsplash.com') and image_url like 'https://%', false) as stock, coalesce(contains(external_url, 'google.com/search'), false) as search,

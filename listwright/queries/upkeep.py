@@ -6,28 +6,54 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
+from listwright import rules
 from listwright.functions import places
-from listwright.operators import app, clean
+from listwright.operators import app, clean, filters
 from listwright.queries.registry import query
 
 NOW = datetime(2024, 1, 13, 9, 30)
 _LAST = "coalesce(cast(end_date as timestamp), cast(start_date as timestamp))"
 
 
-@query("venue_of", """select source_id, coalesce(nullif(location_name, ''), 'Lido Hall') as venue from {listings}""")
+def _venue(text: str) -> str:
+    bounded, at, dash = (f"trim(regexp_extract({text}, '{p.replace(chr(39), chr(39) * 2)}', 1))" for p in (places.AT_UP_TO, places.AT, places.DASH))
+    names = ", ".join(f"'{n}'" for n in places.NOT_VENUES)
+    return "coalesce(" + ", ".join(f"case when length({x}) >= 3 and {x} not in ({names}) then {x} end" for x in (bounded, at)) + f", case when length({dash}) >= 3 then {dash} end)"
+
+
+_TITLES = ("", " at Lido Hall on Friday", " - Town Green", " @ the Old Mill")
+
+
+@query("venue_of", f"""with t as (select source_id, location_name, description, concat(title, case ord % 4 {' '.join(f"when {i} then '{t}'" for i, t in enumerate(_TITLES))} end) as title from {{listings}})
+select source_id, coalesce(nullif(location_name, ''), {_venue('title')}, {_venue('substr(description, 1, 200)')}) as venue from t""")
 def _(l, spark, d):
-    return l.select("source_id", places.venue_of(F.col("location_name"), F.lit("Free Movie at Lido Hall on Friday"), F.col("description")).alias("venue"))
+    title = F.concat("title", F.element_at(F.array(*map(F.lit, _TITLES)), (F.col("ord") % 4 + 1).cast("int")))
+    return l.select("source_id", places.venue_of(F.col("location_name"), title, F.col("description")).alias("venue"))
 
 
-@query("city_in_title", r"""with t as (select source_id, case ord % 4 when 0 then 'Long Beach day' when 1 then 'Songs in  dana point' when 2 then 'Fair - Irvine' else 'Nothing' end as t from {listings})
+@query("city_in_title", r"""with t as (select source_id, case ord % 4 when 0 then concat('Long Beach ', title) when 1 then concat(title, ' in  dana point') when 2 then concat(title, ' - Irvine') else title end as t from {listings})
 select source_id, case when regexp_matches(lower(t), '^dana\s+point|(\bat\b|\bin\b|\s[-–]\s)\s*dana\s+point') then 'Dana Point' when regexp_matches(lower(t), '^long\s+beach|(\bat\b|\bin\b|\s[-–]\s)\s*long\s+beach') then 'Long Beach'
   when regexp_matches(lower(t), '^irvine|(\bat\b|\bin\b|\s[-–]\s)\s*irvine') then 'Irvine' end as place from t""")
 def _(l, spark, d):
     o = F.col("ord") % 4
-    title = F.when(o == 0, "Long Beach day").when(o == 1, "Songs in  dana point").when(o == 2, "Fair - Irvine").otherwise("Nothing")
+    title = F.when(o == 0, F.concat(F.lit("Long Beach "), "title")).when(o == 1, F.concat("title", F.lit(" in  dana point"))).when(o == 2, F.concat("title", F.lit(" - Irvine"))).otherwise(F.col("title"))
     return l.select("source_id", places.city_in(title, ["Dana Point", "Long Beach", "Irvine"]).alias("place"))
 
 
+_ADULT = (" - 21+ night", " (adults only)", " Wine Tasting", " Senior Center lunch", " story time", "", " 12 things to do")
+_ANY_TITLE, _ANY_TEXT = ("|".join(f"(?:{p})" for p in x) for x in (rules.ADULT_TITLES, rules.ADULT_TEXTS))
+
+
+@query("filter_adult", f"""select source_id from {{listings}} where not regexp_matches(concat(title, case ord % 7 {' '.join(f"when {i} then '{t}'" for i, t in enumerate(_ADULT))} end), '(?i){_ANY_TITLE}') and not regexp_matches(coalesce(description, ''), '(?i){_ANY_TEXT}')
+  and not (source = 'src1' and ord % 5 = 1)""")
+def _(l, spark, d):
+    """The rule tables on whole titles, each with a phrase at its end; listings of one source stand in for those of comedy clubs."""
+    title = F.concat("title", F.element_at(F.array(*map(F.lit, _ADULT)), (F.col("ord") % 7 + 1).cast("int")))
+    club = F.when(F.col("ord") % 5 == 1, "The Laugh Factory Stage").otherwise(F.col("location_name"))
+    source = F.when(F.col("source") == "src1", "yelp").otherwise(F.col("source"))
+    return filters.family_friendly(l.withColumns({"title": title, "location_name": club, "source": source}).withColumn("description", F.coalesce("description", F.lit("")))).select("source_id")
+
+
 @query("display_city", "select source_id, case when ord % 2 = 0 and address is not null then 'Irvine' when ord % 2 = 0 then 'OC' else city end as place, concat_ws(', ', nullif(location_name, ''), nullif(address, ''), nullif(city, '')) as directions from {listings}")
 def _(l, spark, d):
     city = F.when(F.col("ord") % 2 == 0, "OC").otherwise(F.col("city"))

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from listwright.functions.text import clean_description, decode_entities, slug, strip_html
+from listwright.operators.categorize import categorize
 from listwright.operators.changes import first_by
 from listwright.schema import LISTING, conform, or_else
 
@@ -63,6 +64,29 @@ def ticket_events(payloads: DataFrame) -> DataFrame:
     return conform(first_by(rows, "source_id"))
 
 
+_SEATS = """struct<events:array<struct<id:string,title:string,description:string,url:string,datetime_local:string,taxonomies:array<struct<name:string>>,
+  performers:array<struct<image:string,images:struct<huge:string,large:string>>>,stats:struct<lowest_price:double,highest_price:double>,
+  venue:struct<name:string,city:string,address:string,location:struct<lat:double,lon:double>>>>>"""
+
+
+def seat_events(payloads: DataFrame) -> DataFrame:
+    """Events of a seat-selling API: picture of the first performer, prices from its statistics, kinds as tags."""
+    e = payloads.select("ord", F.posexplode(F.from_json("payload", " ".join(_SEATS.split()))["events"]).alias("pos", "e"))
+    plain = lambda v: F.when(v == F.floor(v), F.floor(v).cast("string")).otherwise(v.cast("string"))
+    low, high = F.col("e.stats.lowest_price"), F.col("e.stats.highest_price")
+    price = F.when(low > 0, F.concat(F.lit("$"), plain(low), F.when(high > low, F.concat(F.lit("-$"), plain(high))).otherwise("")))
+    lead = F.get("e.performers", F.lit(0))
+    text = F.coalesce("e.description", F.lit(""))
+    kinds = F.transform("e.taxonomies", lambda t: t["name"])
+    return conform(e.select(
+        F.concat(F.lit("seatgeek:"), F.col("e.id")).alias("source_id"), F.lit("seatgeek").alias("source"), F.col("e.title").alias("title"), clean_description(text).alias("description"),
+        F.col("e.datetime_local").alias("start_date"), categorize(F.col("e.title"), F.concat_ws(" ", text, F.array_join(kinds, " "))).alias("category"), F.col("e.venue.city").alias("city"),
+        F.col("e.venue.address").alias("address"), F.col("e.venue.location.lat").alias("latitude"), F.col("e.venue.location.lon").alias("longitude"), F.col("e.venue.name").alias("location_name"),
+        or_else(lead["images"]["huge"], or_else(lead["images"]["large"], F.nullif(lead["image"], F.lit("")))).alias("image_url"), F.col("e.url").alias("external_url"), price.alias("price"), kinds.alias("tags"),
+        (F.col("ord") * 1000 + F.col("pos")).alias("ord"),
+    ))
+
+
 _CALENDAR = "struct<events:array<struct<id:long,title:string,description:string,start_date:string,end_date:string,all_day:boolean,url:string,cost:string,image:string,venue:string,categories:array<struct<name:string>>>>>"
 
 
