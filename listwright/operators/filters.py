@@ -49,6 +49,16 @@ def family_friendly(
     return df.filter(~F.coalesce(bad, F.lit(False)))
 
 
+def religious(title: Column, text: Column) -> Column:
+    """Whether title or text speak of a religious service."""
+    return any_pattern(F.concat_ws(" ", title, text), [f"(?i){p}" for p in rules.RELIGIOUS])
+
+
+def meetup(title: Column) -> Column:
+    """Whether a title is that of a meetup for the members of a platform."""
+    return any_pattern(title, rules.MEETUPS)
+
+
 def guide_article(title: Column, text: Column, places: list[str], least: int = 3) -> Column:
     """Whether a listing is an article about many places: `in A, B, C, and D`, or at least `least` places named."""
     named = reduce(lambda a, b: a + b, (F.coalesce(text.contains(p), F.lit(False)).cast("int") for p in places), F.lit(0))

@@ -105,3 +105,31 @@ def nearest(df: DataFrame, places: DataFrame) -> DataFrame:
         raise ValueError("nearest() takes at most 1000 places")
     options = [F.struct(geo.squared_degrees(F.col("latitude"), F.col("longitude"), r.latitude, r.longitude).alias("d"), F.lit(r.id).alias("id")) for r in rows]
     return df.withColumn("nearest", F.array_min(F.array(*options))["id"] if options else F.lit(None).cast("string"))
+
+
+def admin_list(df: DataFrame, metro: str | None = None, source: str | None = None, text: str = "") -> DataFrame:
+    """All listings of a metro and a source whose title, city or description holds the text, latest first."""
+    q = text.lower()
+    found = F.lit(True)
+    for c, v in (("metro", metro), ("source", source)):
+        found = found & (F.coalesce(F.col(c) == v, F.lit(False)) if v is not None else F.lit(True))
+    if q:
+        found = found & F.coalesce(F.greatest(*[F.coalesce(F.lower(F.col(c)).contains(q), F.lit(False)) for c in ("title", "city", "description")]), F.lit(False))
+    return df.filter(found).orderBy(F.desc("start_date"), "ord")
+
+
+def date_text() -> Column:
+    """The start as text, with the time unless it is an all-day listing."""
+    t = starts()
+    return F.when(F.col("is_all_day"), F.date_format(t, "MMM d, yyyy")).otherwise(F.date_format(t, "MMM d, yyyy 'at' h:mm a"))
+
+
+def time_text() -> Column:
+    """The time of day as text: `All Day`, a span, or the start."""
+    clock = lambda c: F.date_format(parse_timestamp(F.col(c)), "h:mm a")
+    return F.when(F.col("is_all_day"), "All Day").otherwise(F.concat_ws(" - ", clock("start_date"), clock("end_date")))
+
+
+def month_steps(day: Column) -> Column:
+    """The same day in the month before and after; the last day where that month is shorter."""
+    return F.struct(F.add_months(day, -1).alias("before"), F.add_months(day, 1).alias("after"))

@@ -68,3 +68,50 @@ API_SOURCES = ["seatgeek", "ticketmaster", "yelp", "eventbrite"]
 
 # Sites whose texts, titles and pictures are reworded.
 AGGREGATORS = ["oc-parent-guide", "mommypoppins", "macaronikid"]
+
+# Patterns of titles and texts of religious services, in any case.
+RELIGIOUS = [
+    r"\b(worship|church|sunday)\s+service", r"\bbible\s+stud(y|ies)\b", r"\bprayer\s+(group|meeting|call|chain|night|gathering)",
+    r"\bsermon\s+series\b", r"\bbaptism\s+(class|prep)", r"\b(men'?s|women'?s)\s+(ministry|fellowship|group|study|bible)",
+    r"\brecovery\s+(group|ministry|program|meeting)", r"\bcelebrate\s+recovery\b", r"\bmission\s+trip\b", r"\b(adult|senior)\s+retreat\b",
+    r"\bcollege\s+(dinner|ministry|group|night)\b", r"\byoung\s+adult\s+(group|night|service|ministry)\b", r"\bdevotional\b",
+    r"\bconfirmation\s+class\b", r"\bcommunion\b", r"\bliturgy\b", r"\bgriefshare\b", r"\bgrief\s+support\b", r"\bdivorcecare\b",
+    r"\bfinancial\s+peace\b", r"\bmarriage\s+(counseling|ministry|enrichment)\b", r"\bdoor\s+hanger\s+walk\b", r"\bvolunteer\s+training\b",
+    r"\bleadership\s+(training|meeting|summit)\b", r"\bstaff\s+meeting\b", r"\bnewcomers?\s+(class|lunch|dinner)\b", r"\bmembership\s+class\b",
+    r"\bsmall\s+group", r"\blife\s+group", r"\bvolunteer\s+orientation\b", r"\bvolunteer\s+training\b", r"\bopen\s+share\b", r"\bdivorce\s+care\b",
+    r"\besl\b", r"\benglish\s+as\s+a\s+second", r"\bline\s+dancing\b", r"\blongevity\s+fitness\b", r"\bweekly\s+prayer\b", r"\bfood\s+pantry\s+serve\b",
+    r"\bneighborhood\s+walk\b", r"\bsaturday\s+nights?\s+at\b", r"\bsunday\s+morning\b", r"\bwelcome\s+to\s+\w+\b", r"\bchild\s+dedication\b",
+    r"\b(women'?s|men'?s)\s+(retreat|tea|spring|fall|breakfast|bbq|luncheon)", r"\bseniors?\s+(on.campus|community|luncheon|group)\b",
+    r"\bempowerment\s+study\b", r"\bcouples'?\s+night\b", r"\bseder\s+meal\b", r"\bpassover\b", r"\bhuddle\b", r"\btownhall\s+meeting\b",
+    r"\bbaptism\s+at\b", r"\bactivate\b", r"\bsing.a.long\b", r"\bnew\s+admins?\b", r"\bcoaches?\s+information\b", r"\bextensions?\s+experiment\b",
+    r"\bsaturday\s+nights?\s+with\b", r"\bhome\s+build\s+faith\b", r"\bfaith\s+adventure\b", r"\bbackyard\s+bbq\b", r"\bsaddleback\s+women\b",
+    r"\bwednesday\s+pm\b", r"\bcelebrating\s+\d+\s+years\b", r"\bspring\s+brunch\b", r"\bactiva\b", r"\brevival\b", r"\bbaptize\b",
+    r"\bcollege\s+preview\b", r"\bpreview\s+day\b", r"\bworship\s+night\b", r"\bgood\s+friday\b", r"\beaster\s+sunday\b", r"\bdiscipleship\b",
+    r"\bmosaic\s+houses\b", r"\bmen'?s\s+\d+\s+hour\b", r"\byouth\s+night\b", r"\bcouple'?s\s+dinner\b", r"\binternship\b", r"\bfreedom\s+night\b",
+    r"\bvocational\s+group", r"\bcommunity\s+group\s+leader", r"\bregional\s+prayer\b", r"\bnew\s+at\s+reality", r"\beaster\s+baptism",
+]
+
+# Patterns of titles of meetups for the members of a platform; the first counts in capitals only.
+MEETUPS = [
+    r"\bUYE\b", r"(?i)\byelp\s+(elite|community|event)\b", r"(?i)\byelp\s+\w+\s+(lunch|dinner|brunch|meetup|mixer|party)\b", r"(?i)\blunch\s+with\s+\w+\b",
+    r"(?i)\bdinner\s+with\s+\w+\b", r"(?i)\bnextdoor\s+(event|meetup)\b", r"(?i)\bcommunity\s+meetup\b",
+]
+
+# Words in titles of library events that aren't for families.
+LIBRARY_ADULT = [
+    "esl conversation", "esl class", "english as a second", "citizenship", "naturalization", "immigration", "job help", "job search", "resume",
+    "career workshop", "career fair", "tax prep", "tax preparation", "notary", "legal clinic", "financial planning", "aarp", "senior", "seniors only",
+    "medicare", "social security", "bingo", "bridge club", "book club for adults", "adult book", "adult coloring", "adult craft", "adult enrichment",
+    "adult program", "adult workshop", "adult class", "for adults", "makerspace for adults", "adults only", "knitting circle", "crochet circle",
+    "quilting", "meditation for adults", "yoga for adults", "blood pressure", "health screening", "caregiver", "dementia", "alzheimer", "grief support",
+    "bereavement", "computer class", "computer basics", "tech help", "drop in tech", "drop-in tech", "smartphone basics", "iphone basics",
+    "ipad basics", "internet basics", "email basics", "networking event", "business workshop", "professional development", "board meeting",
+    "board of trustees", "friends of the library meeting", "veterans resource", "veterans day event", "cancelled", "canceled", "wellness workshop",
+    "mental wellness", "life balance", "genealogy", "memoir writing", "watercolor for adults",
+]
+
+# Sources whose coordinates are kept when listings are processed anew, and hosts of stock pictures and of other sites' pictures.
+TRUSTED_PLACES = ["ticketmaster", "seatgeek", "yelp", "eventbrite", "kidsguide"]
+BORROWED_PICTURES = ["unsplash.com", "images.pexels.com", "mommypoppins.com", "macaronikid.com", "orangecountyparentguide.com", "squarespace.com", "sqsp.net"]
+PLACE_PHOTOS = ["lh3.googleusercontent.com/place-photos", "lh3.googleusercontent.com/places"]
+NO_EVENT_PAGES = ["google.com/search", "mommypoppins.com", "macaronikid.com"]
