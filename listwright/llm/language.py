@@ -33,8 +33,8 @@ from listwright.llm.words import mix, noise
 VOCABULARY = "piece_bpe_32k.model"
 #: Labelled rows of a language from which its model is fitted; rounds of fitting; weight of the smoothing.
 SAMPLE, ROUNDS, SMOOTH = 1000, 3, 0.05
-#: Words a task remembers.
-REMEMBERED = 400_000
+#: Words a task remembers; characters of words that are scored at once (a longer word is scored alone).
+REMEMBERED, SCORED = 400_000, 1 << 16
 #: Probability of a character that is no piece, alike for all languages.
 UNKNOWN = 1e-7
 UND = "und"
@@ -78,7 +78,7 @@ class Pieces:
         ends = np.cumsum([len(w) + 1 for w in words])
         starts = np.concatenate([[0], ends[:-1]])
         left = np.repeat(ends, ends - starts) - np.arange(len(chars))  # characters up to the word's end
-        found = [np.full(len(chars), -1, np.int64) for _ in range(self.longest + 1)]
+        found = [np.full(len(chars), -1, np.int32) for _ in range(self.longest + 1)]
         for k, h in self._hashes(chars):
             hashes, index = self.table[k]
             if len(hashes):
@@ -128,6 +128,19 @@ def score_words(pieces: Pieces, p: np.ndarray, words: list[str]) -> np.ndarray:
     return out
 
 
+def _parts(words: list[str]) -> Iterator[list[str]]:
+    """The words in order, in parts of about SCORED characters."""
+    part, held = [], 0
+    for w in words:
+        if part and held + len(w) > SCORED:
+            yield part
+            part, held = [], 0
+        part.append(w)
+        held += len(w)
+    if part:
+        yield part
+
+
 def expected_counts(pieces: Pieces, p: np.ndarray, words: list[str], weight: np.ndarray) -> np.ndarray:
     """Expected occurrences of each piece in the words, under the probabilities of one language."""
     total = np.zeros(len(p))
@@ -233,16 +246,15 @@ def _predict_batches(model, text: str):
         known: dict[str, int] = {}
         values = np.zeros((0, len(m.languages)))
         for batch in batches:
-            texts = batch[text].to_pylist()
             langs: list[str] = []
             scores: list[float] = []
-            for a in range(0, len(texts), 256):
-                split = [_WORD.findall(t.lower()) if t else [] for t in texts[a : a + 256]]
+            for a in range(0, len(batch), 256):
+                split = [_WORD.findall(t.lower()) if t else [] for t in batch[text].slice(a, 256).to_pylist()]
                 if len(known) > REMEMBERED:
                     known, values = {}, values[:0]
                 if new := list(dict.fromkeys(w for words in split for w in words if w not in known)):
                     known.update(zip(new, range(len(values), len(values) + len(new))))
-                    values = np.concatenate([values, score_words(pieces, m.p, new)])
+                    values = np.concatenate([values, *(score_words(pieces, m.p, part) for part in _parts(new))])
                 for words in split:
                     if not m.languages or not any(w.isalpha() or any(map(str.isalpha, w)) for w in words):
                         langs.append(UND)
