@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from listwright.llm.infill import OP13_SQL, op13_infill
 from listwright.llm.language import op6_language_id
 from listwright.llm.licenses import op1_licenses
 from listwright.llm.mpeg import op7_media
@@ -12,6 +13,7 @@ from listwright.llm.privacy import op2_pii
 from listwright.llm.secrets import op3_secrets
 from listwright.llm.substring import OP5_SQL, op5_substring_dedup
 from listwright.llm.topk import OP10_SQL, op10_topk
+from listwright.llm.whiten import op11_whitening
 
 QUERIES = {
     "op1_licenses": op1_licenses,
@@ -24,6 +26,8 @@ QUERIES = {
     "op8_near_dedup": op8_near_dedup,
     "op9_packing": op9_packing,
     "op10_topk": op10_topk,
+    "op11_whitening": op11_whitening,
+    "op13_infill": op13_infill,
 }
 
 #: SQL for the operators that it can express.
@@ -31,4 +35,5 @@ ORACLES: dict[str, str] = {
     "op5_substring_dedup": OP5_SQL,
     "op8_near_dedup": OP8_SQL,
     "op10_topk": OP10_SQL,
+    "op13_infill": OP13_SQL,
 }
