@@ -9,6 +9,7 @@ from listwright.llm.mpeg import op7_media
 from listwright.llm.near import OP8_SQL, op8_near_dedup
 from listwright.llm.packing import op9_packing
 from listwright.llm.pieces import op4_sentencepiece
+from listwright.llm.prefix_join import OP12_SQL, op12_ngram_join
 from listwright.llm.privacy import op2_pii
 from listwright.llm.secrets import op3_secrets
 from listwright.llm.substring import OP5_SQL, op5_substring_dedup
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_packing": op9_packing,
     "op10_topk": op10_topk,
     "op11_whitening": op11_whitening,
+    "op12_ngram_join": op12_ngram_join,
     "op13_infill": op13_infill,
 }
 
@@ -35,5 +37,6 @@ ORACLES: dict[str, str] = {
     "op5_substring_dedup": OP5_SQL,
     "op8_near_dedup": OP8_SQL,
     "op10_topk": OP10_SQL,
+    "op12_ngram_join": OP12_SQL,
     "op13_infill": OP13_SQL,
 }

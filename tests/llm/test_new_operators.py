@@ -159,3 +159,98 @@ def test_lanczos_finds_repeated_eigenvalues():
         found, vectors_ = whiten.lanczos(lambda b: calls.append(b) or m @ b, 40, 6)
         assert np.allclose(found, values[:6], rtol=1e-9, atol=1e-9)
         assert np.abs(m @ vectors_ - vectors_ * found).max() < 1e-9 * values[0] and np.allclose(vectors_.T @ vectors_, np.eye(6), atol=1e-12)
+
+
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def grams(text):
+    w = [x for x in re.split(r"[\x20\x09-\x0D]+", (text or "").translate(LOWER)) if x]
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) > 4 else {tuple(w)} - {()}
+
+
+def components_of(texts_, percent=80):
+    """Smallest index reachable by links, for each text, from all pairs."""
+    sets, root = [grams(t) for t in texts_], list(range(len(texts_)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            if a and b and root[i] != root[j] and 100 * len(a & b) >= percent * len(a | b):
+                old, new = max(root[i], root[j]), min(root[i], root[j])
+                root = [new if r == old else r for r in root]
+    return [len(s) for s in sets], root
+
+
+def near_copies(rng, copies=160):
+    """Families of texts with a few changed words, chains, texts about a shared passage, short ones, copies and empty ones."""
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    prose = lambda n: [word() for _ in range(n)]
+    out = [None, "", " \n", "one", "ONE", "one two three", "a b " * 60, "b a " * 60]
+    passage = prose(60)
+    for size in (5, 6, 30, 120, 400, 3000):
+        base = prose(size)
+        for _ in range(copies // 8 if size < 3000 else 8):
+            w = list(base)
+            for _ in range(rng.randint(0, max(1, size // 60))):
+                w[rng.randrange(size)] = word()
+            out.append(" ".join(w))
+    out += [" ".join([*prose(rng.randint(3, 25)), *passage, *prose(rng.randint(3, 25))]) for _ in range(copies // 2)]
+    chain = prose(200)
+    for _ in range(copies // 4):  # each is near the one before
+        at = rng.randrange(190)
+        chain = chain[:at] + prose(3) + chain[at + 3 :]
+        out.append(" ".join(chain))
+    return out + out[10:40]
+
+
+@pytest.mark.parametrize("block", [512, 7])
+def test_ngram_join_query(spark, table, monkeypatch, block):
+    from listwright.llm import prefix_join
+
+    monkeypatch.setattr(prefix_join, "BLOCK", block)  # a small one, so that cells split
+    values = near_copies(random.Random(block))
+    order = list(range(len(values)))
+    random.Random(2).shuffle(order)
+    rows = [(i, values[i], None, "s", 1, "clash", "clash", "clash") for i in order]
+    table("documents", rows, DOCS)
+    out = prefix_join.op12_ngram_join(spark, table.folder)
+    n, root = components_of(values)
+    want = [(i, n[i], root[i]) for i in range(len(values))]
+    assert rounded(tuple(r) for r in out.collect()) == rounded(want)
+    assert rounded(table.duck(prefix_join.OP12_SQL, out.columns)) == rounded(want)
+
+
+def test_ngram_join_rows(spark):
+    from listwright.llm import prefix_join
+
+    text = " ".join(f"w{i}" for i in range(50))
+    rows = [(3, text, None, None, 1, "x", "y", "z"), (3, text, None, None, 1, "x", "y", "z"), (3, "other words", None, None, 1, "x", "y", "z"), (None, text + " end", None, None, 1, "x", "y", "z"), (None, None, None, None, 1, "x", "y", "z")]
+    out = prefix_join.jaccard_components(spark.createDataFrame(rows, DOCS)).collect()
+    assert rounded((r.id, r.n, r.component) for r in out) == rounded([(3, 46, 3), (3, 46, 3), (3, 1, 3), (None, 47, 3), (None, 0, None)])
+    assert prefix_join.jaccard_components(spark.createDataFrame([], DOCS)).count() == 0
+
+
+@pytest.mark.parametrize("percent", [50, 80, 95])
+def test_tree_finds_the_components_of_a_cell(percent):
+    from listwright.llm.prefix_join import _Tree
+
+    rng = random.Random(percent)
+    for _ in range(60):
+        base = rng.sample(range(1000), rng.randint(1, 40))
+        sets = []
+        for _ in range(rng.randint(2, 30)):
+            keep = [x for x in base if rng.random() > rng.choice([0, 0.02, 0.1, 0.4])] + rng.sample(range(1000, 1200), rng.choice([0, 0, 1, 3, 9]))
+            sets.append(np.array(sorted(set(keep)) or [5], np.uint64))
+        side = np.array([rng.choice([0, 1]) for _ in sets]) if rng.random() < 0.5 else np.full(len(sets), -1)
+        root = np.arange(len(sets))
+        want = list(range(len(sets)))
+        for i, a in enumerate(sets):
+            for j in range(i):
+                both = len(np.intersect1d(a, sets[j]))
+                if (side[i] != side[j] or side[i] < 0) and 100 * both >= percent * (len(a) + len(sets[j]) - both):
+                    want = [min(want[i], want[j]) if w in (want[i], want[j]) else w for w in want]
+        found = _Tree(sets, side, root, percent).links()
+        got = list(range(len(sets)))
+        for i, j in found:
+            got = [min(got[i], got[j]) if g in (got[i], got[j]) else g for g in got]
+        assert got == want and len(found) == len(sets) - len(set(want))
