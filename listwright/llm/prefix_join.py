@@ -40,7 +40,7 @@ from listwright.llm.words import as_bytes
 
 SIZE, PERCENT = 5, 80
 #: Counters of the frequency table; steps of its logarithm that the order tells apart.
-BUCKETS, STEPS = 1 << 20, 4
+BUCKETS, STEPS, BLOCK_OF_BUCKETS = 1 << 20, 4, 1 << 10
 #: Classes of a block, and n-grams of its classes together.
 BLOCK, BLOCK_GRAMS = 512, 1 << 20
 #: N-grams of a path that are counted at once.
@@ -58,9 +58,11 @@ def _name(text: bytes) -> bytes:
 
 
 def _count_batches(size: int) -> Callable:
+    """Rows with class and size, and at the end of a task its frequency table in blocks."""
+    names = ["id", "node", "n", "block", "counts"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(BUCKETS, np.int64)
-        names = ["id", "node", "n", "bucket", "count"]
         for batch in batches:
             texts = as_bytes(batch["text"])
             node, n = [], []
@@ -68,17 +70,38 @@ def _count_batches(size: int) -> Callable:
                 node.append(_name(t) if len(s) else None)
                 n.append(len(s))
                 np.add.at(counts, s & np.uint64(BUCKETS - 1), 1)
-            none = pa.nulls(len(n), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch["id"], pa.array(node, pa.binary()), pa.array(n, pa.int64()), none, none], names=names)
-        at = np.flatnonzero(counts)
-        for a in range(0, len(at), 1 << 16):
-            part = at[a : a + (1 << 16)]
-            none = pa.nulls(len(part), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, pa.nulls(len(part), pa.binary()), none, pa.array(part), pa.array(counts[part])], names=names)
+            none = pa.nulls(len(n), pa.int64()), pa.nulls(len(n), pa.binary())
+            yield pa.RecordBatch.from_arrays([batch["id"], pa.array(node, pa.binary()), pa.array(n, pa.int64()), *none], names=names)
+        yield _blocks(counts, names)
 
     return run
 
 
+def _blocks(counts: np.ndarray, names: list[str]) -> pa.RecordBatch:
+    rows = counts.reshape(-1, BLOCK_OF_BUCKETS)
+    some = np.flatnonzero(rows.any(1))
+    none = pa.nulls(len(some), pa.int64())
+    return pa.RecordBatch.from_arrays([none, pa.nulls(len(some), pa.binary()), none, pa.array(some), pa.array([rows[i].tobytes() for i in some], pa.binary())], names=names)
+
+
+def _sum_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for block, counts in zip(batch["block"].to_pylist(), batch["counts"].to_pylist()):
+            total[block] = total.get(block, 0) + np.frombuffer(counts, np.int64)
+    steps_ = [np.minimum(STEPS * np.log2(c + 1), 127).astype(np.uint8).tobytes() for c in total.values()]
+    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(steps_, pa.binary())], names=["block", "steps"])
+
+
+def _frequencies(counted: DataFrame, parts: int) -> np.ndarray:
+    """The table, one byte a counter: how often n-grams under it occur, in steps of a logarithm."""
+    blocks = counted.filter("block is not null").select("block", "counts").repartition(parts, "block")
+    rank = np.zeros(BUCKETS, np.uint8).reshape(-1, BLOCK_OF_BUCKETS)
+    for r in blocks.mapInArrow(_sum_blocks, "block long, steps binary").collect():  # BUCKETS bytes together
+        rank[r.block] = np.frombuffer(r.steps, np.uint8)
+    return rank.reshape(-1)
+
+
 def _ordered(grams: np.ndarray, rank: np.ndarray) -> np.ndarray:
     """The set in global order: frequency above the hash."""
     out = (rank[grams & np.uint64(BUCKETS - 1)].astype(np.uint64) << np.uint64(56)) | (grams & _BITS)
@@ -105,16 +128,6 @@ def _prefix_batches(size: int, percent: int, rank: np.ndarray) -> Callable:
     return run
 
 
-def _set_batches(size: int, rank: np.ndarray) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = as_bytes(batch["text"])
-            sets = [_ordered(s, rank).tobytes() for s in shingle_sets(texts, size)]
-            yield pa.RecordBatch.from_arrays([pa.array([_name(t) for t in texts], pa.binary()), pa.array(sets, pa.binary())], names=["node", "set"])
-
-    return run
-
-
 class _Tree:
     """Sets as a prefix tree, and the links that a walk through it finds."""
 
@@ -186,23 +199,30 @@ class _Tree:
         return out
 
 
-def _link_cells(rows: pa.Table, percent: int) -> pa.RecordBatch | None:
+def _link_cells(rows: pa.Table, size: int, percent: int, rank: np.ndarray) -> pa.RecordBatch | None:
     """Links of whole cells; rows are sorted by cell."""
-    cell, num = np.asarray(rows["cell"]), np.asarray(rows["num"])
-    side, root = np.asarray(rows["side"]), np.asarray(rows["root"])
-    sets = rows["set"].to_pylist()
+    texts = as_bytes(rows["text"].combine_chunks())
+    own = np.array([_name(t) == x for t, x in zip(texts, rows["node"].to_pylist())])  # not another text under the same id
+    first: dict[int, int] = {}
+    for i, x in enumerate(rows["num"].to_pylist()):
+        if own[i]:
+            first.setdefault(x, i)
+    sets = dict(zip(first, (_ordered(s, rank) for s in shingle_sets([texts[i] for i in first.values()], size))))
+    cell, num, side, root = (np.asarray(rows[c])[own] for c in ("cell", "num", "side", "root"))
+    if not len(cell):
+        return None
     heads = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
     left, right = [], []
     for a, b in zip(heads, np.append(heads[1:], len(cell))):
         if (root[a:b] == root[a]).all():
             continue
-        found = _Tree([np.frombuffer(s, np.uint64) for s in sets[a:b]], side[a:b], root[a:b], percent).links()
+        found = _Tree([sets[x] for x in num[a:b].tolist()], side[a:b], root[a:b], percent).links()
         left.extend(int(num[a + i]) for i, _ in found)
         right.extend(int(num[a + j]) for _, j in found)
     return pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"]) if left else None
 
 
-def _link_batches(percent: int) -> Callable:
+def _link_batches(size: int, percent: int, rank: np.ndarray) -> Callable:
     """Batches come sorted by cell; the last cell of a batch waits for the next batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,20 +237,23 @@ def _link_batches(percent: int) -> Callable:
             whole = pa.Table.from_batches([*held, batch])
             other = np.flatnonzero(np.asarray(whole["cell"]) != last.as_py())
             cut = int(other[-1]) + 1 if len(other) else 0
-            if cut and (out := _link_cells(whole.slice(0, cut), percent)) is not None:
+            if cut and (out := _link_cells(whole.slice(0, cut), size, percent, rank)) is not None:
                 yield out
             held = whole.slice(cut).to_batches()
-        if held and (out := _link_cells(pa.Table.from_batches(held), percent)) is not None:
+        if held and (out := _link_cells(pa.Table.from_batches(held), size, percent, rank)) is not None:
             yield out
 
     return run
 
 
-def _searched(cells: DataFrame, sets: DataFrame, percent: int, parts: int) -> DataFrame:
-    """Links of cells (cell, side, num, root)."""
-    whole = cells.join(sets, "num").select("cell", "side", "num", "root", "set")
+def _searched(cells: DataFrame, classes: DataFrame, texts: DataFrame, parts: int, links: Callable) -> DataFrame:
+    """Links of cells (cell, side, num, root).  The texts of their classes travel, which are smaller than their sets."""
+    cells = written(cells.join(classes.select("num", "node", "least"), "num"), "cells")
+    whole = texts.join(cells, F.col("id").eqNullSafe(F.col("least"))).select("cell", "side", "num", "root", "node", "text")
     whole = whole.repartition(parts, "cell").sortWithinPartitions("cell")
-    return written(whole.mapInArrow(_link_batches(percent), "a long, b long"), "links")
+    found = written(whole.mapInArrow(links, "a long, b long").filter("a <> b"), "links")
+    erase(cells)
+    return found
 
 
 def _parts(members: Column, grams: Column) -> Column:
@@ -276,13 +299,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     with batches_of(spark, BATCH):
-        counted = written(texts.mapInArrow(_count_batches(size), "id long, node binary, n long, bucket long, count long"), "counted")
-        rows = counted.filter("bucket is null").select("id", "node", "n")
-        step = F.least(F.floor(STEPS * F.log2(F.sum("count") + 1)), F.lit(127))
-        table = counted.filter("bucket is not null").groupBy("bucket").agg(step.cast("int").alias("step")).toArrow()  # at most BUCKETS rows
-        rank = np.zeros(BUCKETS, np.uint8)
-        rank[np.asarray(table["bucket"])] = np.asarray(table["step"])
-
+        counted = written(texts.mapInArrow(_count_batches(size), "id long, node binary, n long, block long, counts binary"), "counted")
+        rows = counted.filter("block is null").select("id", "node", "n")
+        rank = _frequencies(counted, parts)
         classes = rows.filter("n > 0").groupBy("node").agg(F.min("id").alias("least"), F.first("n").alias("n"))
         classes = written(classes.withColumn("num", F.monotonically_increasing_id()), "classes")
         prefixes = texts.mapInArrow(_prefix_batches(size, percent, rank), "node binary, grams array<long>").dropDuplicates(["node"])
@@ -292,25 +311,21 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         each = prefixes.select("num", "n", F.posexplode("grams").alias("pos", "token"))
         least = F.ceil(2 * percent * F.col("n") / (100 + percent))
         facts = each.groupBy("token").agg(
-            F.count("*").alias("m"), F.max(F.col("pos") <= F.col("n") - least).alias("early"), F.min("num").alias("hub"), F.max("num").alias("last"), F.bit_xor(F.xxhash64("num")).alias("mark"),
+            F.count("*").alias("m"), F.max(F.col("pos") <= F.col("n") - least).alias("early"), F.min("num").alias("hub"), F.bit_xor(F.xxhash64("num")).alias("mark"),
         )
-        cells = facts.filter("m > 1 and early").groupBy("hub", "last", "m", "mark").agg(F.min("token").alias("token")).select("token", "hub")
+        cells = facts.filter("m > 1 and early").groupBy("hub", "m", "mark").agg(F.min("token").alias("token")).select("token", "hub")
         members = written(each.select("num", "n", "token").join(cells, "token"), "members")
 
-        chosen = members.select("num").distinct().join(classes, "num").select("num", "node", "least")
-        ids = F.col("id").eqNullSafe(F.col("least"))
-        picked = texts.join(chosen.select("least").distinct(), ids, "left_semi").mapInArrow(_set_batches(size, rank), "node binary, set binary")
-        sets = written(picked.dropDuplicates(["node"]).join(chosen, "node").select("num", "set"), "sets")
-
-        links = _searched(_hub_cells(members), sets, percent, parts)
+        search = _link_batches(size, percent, rank)
+        links = _searched(_hub_cells(members), classes, texts, parts, search)
         roots = components(links)
         placed = members.join(roots.withColumnRenamed("node", "num"), "num", "left").withColumn("root", F.coalesce("root", "num"))
-        rest = _searched(_open_cells(placed.select("token", "num", "n", "root")), sets, percent, parts)
+        rest = _searched(_open_cells(placed.select("token", "num", "n", "root")), classes, texts, parts, search)
         last, roots = roots, components(links.unionByName(rest))
         found = classes.join(roots.withColumnRenamed("node", "num"), "num", "left").withColumn("root", F.coalesce("root", "num"))
         smallest = found.groupBy("root").agg(F.min("least").alias("component"))
         by_node = written(found.join(smallest, "root").select("node", "component"), "by-node")
-    erase(classes, prefixes, members, sets, links, rest, last, roots)
+    erase(classes, prefixes, members, links, rest, last, roots)
     return rows.join(by_node, "node", "left").withColumn("component", F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component")))
 
 
