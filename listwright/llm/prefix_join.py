@@ -12,6 +12,10 @@ begin alike share a path, and what each other set has in common with the path is
 all of them.  A set leaves a subtree as soon as the common n-grams, and what is left of it and of the longest
 set below, can't make a link with the shortest one any more; so cells are searched wholly without looking at pairs.
 
+Before texts travel to a cell, its classes are looked at by small signatures: parities of hashed n-grams in about
+as many bits as there are n-grams.  Bits that differ are n-grams that only one set holds, so they bound what two sets have
+in common; a class stays in a cell only if the bound leaves it a link.  No link is lost by it.
+
 Cells are searched twice.  First the classes of each cell meet the cell's smallest class (its hub), in
 blocks; most links are of classes with a hub or in a block with it.  Then only cells with classes of several components are
 left; big components get blocks of their own, and blocks meet unless they are of one component.  A
@@ -109,25 +113,69 @@ def _ordered(grams: np.ndarray, rank: np.ndarray) -> np.ndarray:
     return out
 
 
+def _signature(grams: np.ndarray) -> bytes:
+    """Parities of the hashes in 64 bits or more, a power of two that isn't smaller than the set."""
+    bits = max(64, 1 << (len(grams) - 1).bit_length())
+    return np.packbits(np.bincount(((grams >> np.uint64(20)) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).tobytes()
+
+
 def _prefix_batches(size: int, percent: int, rank: np.ndarray) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: set[bytes] = set()
         for batch in batches:
             texts = as_bytes(batch["text"])
-            node, grams = [], []
+            node, grams, signature = [], [], []
             names = [_name(t) for t in texts]
             new = [i for i, x in enumerate(names) if x not in known and not known.add(x)]
             for i, s in zip(new, shingle_sets([texts[i] for i in new], size)):
                 if len(s):
                     node.append(names[i])
                     grams.append(_ordered(s, rank)[: len(s) + percent * -len(s) // 100 + 1].astype(np.int64))
+                    signature.append(_signature(s))
             if len(known) > KNOWN:
                 known = set()
-            yield pa.RecordBatch.from_arrays([pa.array(node, pa.binary()), pa.array(grams, pa.list_(pa.int64()))], names=["node", "grams"])
+            columns = [pa.array(node, pa.binary()), pa.array(grams, pa.list_(pa.int64())), pa.array(signature, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["node", "grams", "signature"])
 
     return run
 
 
+def _folded(rows: np.ndarray, width: int) -> np.ndarray:
+    """Signatures as ones of fewer words."""
+    while rows.shape[1] > width:
+        half = rows.shape[1] // 2
+        rows = rows[:, :half] ^ rows[:, half:]
+    return rows
+
+
+def _possible(n: np.ndarray, signatures: list[bytes], side: np.ndarray, root: np.ndarray, percent: int) -> np.ndarray:
+    """Which classes of a cell may have a link to one of another component there, as far as signatures tell."""
+    order = np.argsort(n, kind="stable")
+    n, side, root = n[order], side[order], root[order]
+    words = [np.frombuffer(signatures[i], np.uint64) for i in order]
+    width = np.array([len(w) for w in words])
+    starts = np.flatnonzero(np.concatenate([[True], width[1:] != width[:-1]])).tolist()
+    levels = [(a, b, np.stack(words[a:b])) for a, b in zip(starts, [*starts[1:], len(n)])]
+    last = np.searchsorted(percent * n, 100 * n, "right")  # how far sizes are near enough
+    keep = np.zeros(len(n), bool)
+    for at, (a, b, own) in enumerate(levels):
+        further = [(x, y, _folded(rows, own.shape[1])) for x, y, rows in levels[at + 1 :] if x < last[b - 1]]
+        for i in range(a, b):
+            for x, y, rows in [(a, b, own), *further]:
+                lo, hi = max(x, i + 1), min(y, last[i])
+                if lo >= hi:
+                    continue
+                differ = np.bitwise_count(rows[lo - x : hi - x] ^ own[i - a]).sum(1, dtype=np.int64)
+                both = n[lo:hi] + n[i]
+                fit = ((100 + percent) * (both - differ) >= 2 * percent * both) & (root[lo:hi] != root[i]) & ((side[lo:hi] != side[i]) | (side[i] < 0))
+                if fit.any():
+                    keep[i] = True
+                    keep[lo:hi] |= fit
+    out = np.zeros(len(n), bool)
+    out[order[keep]] = True
+    return out
+
+
 class _Tree:
     """Sets as a prefix tree, and the links that a walk through it finds."""
 
@@ -222,7 +270,17 @@ def _link_cells(rows: pa.Table, size: int, percent: int, rank: np.ndarray) -> pa
     return pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"]) if left else None
 
 
-def _link_batches(size: int, percent: int, rank: np.ndarray) -> Callable:
+def _possible_cells(rows: pa.Table, percent: int) -> pa.RecordBatch | None:
+    """The rows of whole cells that may be part of a link."""
+    cell, n, side, root = (np.asarray(rows[c]) for c in ("cell", "n", "side", "root"))
+    signatures = rows["signature"].to_pylist()
+    heads = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+    keep = [_possible(n[a:b], signatures[a:b], side[a:b], root[a:b], percent) for a, b in zip(heads, np.append(heads[1:], len(cell)))]
+    found = rows.filter(pa.array(np.concatenate(keep))).select(CELL.replace(" long", "").replace(" int", "").split(", ")).combine_chunks().to_batches()
+    return found[0] if found else None
+
+
+def _by_cells(of: Callable[[pa.Table], pa.RecordBatch | None]) -> Callable:
     """Batches come sorted by cell; the last cell of a batch waits for the next batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,22 +295,27 @@ def _link_batches(size: int, percent: int, rank: np.ndarray) -> Callable:
             whole = pa.Table.from_batches([*held, batch])
             other = np.flatnonzero(np.asarray(whole["cell"]) != last.as_py())
             cut = int(other[-1]) + 1 if len(other) else 0
-            if cut and (out := _link_cells(whole.slice(0, cut), size, percent, rank)) is not None:
+            if cut and (out := of(whole.slice(0, cut))) is not None:
                 yield out
             held = whole.slice(cut).to_batches()
-        if held and (out := _link_cells(pa.Table.from_batches(held), size, percent, rank)) is not None:
+        if held and (out := of(pa.Table.from_batches(held))) is not None:
             yield out
 
     return run
 
 
-def _searched(cells: DataFrame, classes: DataFrame, texts: DataFrame, parts: int, links: Callable) -> DataFrame:
-    """Links of cells (cell, side, num, root).  The texts of their classes travel, which are smaller than their sets."""
-    cells = written(cells.join(classes.select("num", "node", "least"), "num"), "cells")
-    whole = texts.join(cells, F.col("id").eqNullSafe(F.col("least"))).select("cell", "side", "num", "root", "node", "text")
-    whole = whole.repartition(parts, "cell").sortWithinPartitions("cell")
-    found = written(whole.mapInArrow(links, "a long, b long").filter("a <> b"), "links")
-    erase(cells)
+CELL = "cell long, side int, num long, root long"
+
+
+def _searched(cells: DataFrame, signatures: DataFrame, classes: DataFrame, texts: DataFrame, parts: int, percent: int, links: Callable) -> DataFrame:
+    """Links of cells (cell, side, num, root).  Texts travel, which are smaller than their sets, and only those of classes that may have links."""
+    sort = lambda rows: rows.repartition(parts, "cell").sortWithinPartitions("cell")
+    signed = cells.join(signatures, "num").select("cell", "side", "num", "root", "n", "signature")
+    possible = sort(signed).mapInArrow(_by_cells(lambda rows: _possible_cells(rows, percent)), CELL)
+    possible = written(possible.join(classes.select("num", "node", "least"), "num"), "cells")
+    whole = texts.join(possible, F.col("id").eqNullSafe(F.col("least"))).select("cell", "side", "num", "root", "node", "text")
+    found = written(sort(whole).mapInArrow(_by_cells(links), "a long, b long").filter("a <> b"), "links")
+    erase(possible)
     return found
 
 
@@ -304,8 +367,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         rank = _frequencies(counted, parts)
         classes = rows.filter("n > 0").groupBy("node").agg(F.min("id").alias("least"), F.first("n").alias("n"))
         classes = written(classes.withColumn("num", F.monotonically_increasing_id()), "classes")
-        prefixes = texts.mapInArrow(_prefix_batches(size, percent, rank), "node binary, grams array<long>").dropDuplicates(["node"])
-        prefixes = written(prefixes.join(classes.select("node", "num", "n"), "node").select("num", "n", "grams"), "prefixes")
+        prefixes = texts.mapInArrow(_prefix_batches(size, percent, rank), "node binary, grams array<long>, signature binary").dropDuplicates(["node"])
+        prefixes = written(prefixes.join(classes.select("node", "num", "n"), "node").select("num", "n", "signature", "grams"), "prefixes")
 
         # Cells: prefix n-grams of several classes, with one at least for which a set that isn't smaller may come.
         each = prefixes.select("num", "n", F.posexplode("grams").alias("pos", "token"))
@@ -316,11 +379,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         cells = facts.filter("m > 1 and early").groupBy("hub", "m", "mark").agg(F.min("token").alias("token")).select("token", "hub")
         members = written(each.select("num", "n", "token").join(cells, "token"), "members")
 
-        search = _link_batches(size, percent, rank)
-        links = _searched(_hub_cells(members), classes, texts, parts, search)
+        search = lambda cells: _searched(cells, prefixes.select("num", "n", "signature"), classes, texts, parts, percent, lambda rows: _link_cells(rows, size, percent, rank))
+        links = search(_hub_cells(members))
         roots = components(links)
         placed = members.join(roots.withColumnRenamed("node", "num"), "num", "left").withColumn("root", F.coalesce("root", "num"))
-        rest = _searched(_open_cells(placed.select("token", "num", "n", "root")), classes, texts, parts, search)
+        rest = search(_open_cells(placed.select("token", "num", "n", "root")))
         last, roots = roots, components(links.unionByName(rest))
         found = classes.join(roots.withColumnRenamed("node", "num"), "num", "left").withColumn("root", F.coalesce("root", "num"))
         smallest = found.groupBy("root").agg(F.min("least").alias("component"))

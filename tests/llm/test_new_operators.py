@@ -254,3 +254,27 @@ def test_tree_finds_the_components_of_a_cell(percent):
         for i, j in found:
             got = [min(got[i], got[j]) if g in (got[i], got[j]) else g for g in got]
         assert got == want and len(found) == len(sets) - len(set(want))
+
+
+@pytest.mark.parametrize("percent", [40, 80, 95])
+def test_signatures_lose_no_link(percent):
+    from listwright.llm.prefix_join import _possible, _signature
+
+    rng = np.random.default_rng(percent)
+    dropped = 0
+    for _ in range(40):
+        base = rng.integers(0, 2**63, rng.integers(1, 700), dtype=np.uint64)
+        sets = []
+        for _ in range(rng.integers(2, 40)):
+            keep = base[rng.random(len(base)) > rng.choice([0, 0.02, 0.1, 0.3, 0.9])]
+            sets.append(np.unique(np.concatenate([keep, rng.integers(0, 2**63, rng.choice([1, 3, 40, 300]), dtype=np.uint64)])))
+        side = rng.integers(0, 2, len(sets)) if rng.random() < 0.5 else np.full(len(sets), -1)
+        root = rng.integers(0, 5, len(sets))
+        found = _possible(np.array([len(s) for s in sets]), [_signature(s) for s in sets], side, root, percent)
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets[:i]):
+                both = len(np.intersect1d(a, b))
+                if 100 * both >= percent * (len(a) + len(b) - both) and root[i] != root[j] and (side[i] != side[j] or side[i] < 0):
+                    assert found[i] and found[j]
+        dropped += (~found).sum()
+    assert dropped
