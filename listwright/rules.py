@@ -115,3 +115,42 @@ TRUSTED_PLACES = ["ticketmaster", "seatgeek", "yelp", "eventbrite", "kidsguide"]
 BORROWED_PICTURES = ["unsplash.com", "images.pexels.com", "mommypoppins.com", "macaronikid.com", "orangecountyparentguide.com", "squarespace.com", "sqsp.net"]
 PLACE_PHOTOS = ["lh3.googleusercontent.com/place-photos", "lh3.googleusercontent.com/places"]
 NO_EVENT_PAGES = ["google.com/search", "mommypoppins.com", "macaronikid.com"]
+
+# The city that stands for a metro, its state, and its box (least and largest latitude, least and largest longitude).
+METRO_CITIES = {
+    "los-angeles": "Los Angeles, CA", "orange-county": "Irvine, CA", "new-york": "New York, NY", "dallas": "Dallas, TX", "chicago": "Chicago, IL", "atlanta": "Atlanta, GA",
+}
+METRO_STATES = {"los-angeles": "CA", "orange-county": "CA", "new-york": "NY", "dallas": "TX", "chicago": "IL", "atlanta": "GA"}
+METRO_BOXES = {
+    "los-angeles": (33.5, 34.5, -118.9, -117.5), "orange-county": (33.3, 34.0, -118.2, -117.3), "new-york": (40.4, 41.2, -74.5, -73.5),
+    "dallas": (32.4, 33.4, -97.5, -96.3), "chicago": (41.5, 42.2, -88.2, -87.3), "atlanta": (33.4, 34.2, -84.8, -83.8),
+}
+
+# Names that stand where a city should, but are regions or venues.
+GENERIC_CITIES = [
+    "orange county", "los angeles", "la", "oc", "southern california", "socal", "greater los angeles", "greater orange county",
+    "discovery cube oc", "discovery cube", "disneyland", "disney california adventure", "knott's berry farm", "knotts berry farm", "universal studios",
+    "irvine spectrum", "south coast plaza", "the great park", "irvine park railroad", "tanaka farms",
+]
+
+# Cities that titles name, in the order in which they are looked for.
+TITLE_CITIES = [
+    "Corona del Mar", "Newport Coast", "Laguna Niguel", "Laguna Hills", "Laguna Woods", "Laguna Beach", "Huntington Beach", "Newport Beach", "Mission Viejo", "Lake Forest",
+    "Rancho Santa Margarita", "San Juan Capistrano", "Aliso Viejo", "San Clemente", "Dana Point", "Fountain Valley", "Garden Grove", "Yorba Linda", "Buena Park",
+    "Santa Ana", "Costa Mesa", "Fullerton", "Anaheim", "Placentia", "La Habra", "Stanton", "Cypress", "Westminster", "Los Alamitos", "Seal Beach", "Irvine",
+    "Tustin", "Orange", "Brea", "Villa Park", "Santa Monica", "Long Beach", "Pasadena", "Burbank", "Glendale", "Torrance",
+    "El Segundo", "Culver City", "Inglewood", "Hawthorne", "Redondo Beach", "Hermosa Beach", "Manhattan Beach", "Malibu", "Calabasas", "Thousand Oaks",
+    "Chatsworth", "Northridge", "Sherman Oaks", "Studio City", "Van Nuys", "North Hollywood", "Hollywood", "West Hollywood", "Koreatown",
+]
+
+# States whose whole names stand in addresses.
+STATE_NAMES = ["california", "new york", "texas", "illinois", "georgia", "florida"]
+
+# How titles and texts name a venue or an address.
+VENUE_AT = r"(?i)\bat\s+(?:the\s+)?([A-Z][A-Za-z'\-& ]{2,40}(?:Park|Museum|Center|Centre|Library|Hall|Arena|Stadium|Theater|Theatre|Zoo|Garden|Gallery|Church|School|Academy|Farm|Ranch|Beach|Pool|Pavilion|Plaza|Square)?)"
+VENUE_COLON = r"(?i)(?:venue|location|place|where):\s*([A-Z][A-Za-z'\-& ]{2,40})"
+VENUE_DASH = r"[–—-]\s*([A-Z][A-Za-z'\-& ]{2,40}(?:Park|Museum|Center|Centre|Library|Hall|Arena|Stadium|Theater|Theatre|Zoo|Garden|Gallery|Church|School|Farm|Ranch))"
+VENUE_IN_TEXT = r"(?i)(?:at|@|held at|located at|venue:\s*)\s+([A-Z][A-Za-z'\-& ]{2,50}(?:Park|Museum|Center|Centre|Library|Hall|Arena|Stadium|Theater|Theatre|Zoo|Garden|Gallery|Church|School|Academy|Institute|Pavilion|Plaza|Square|Beach|Pool|Farm|Ranch|Brewery|Restaurant|Cafe|Studios?)?)"
+VENUE_HINT = r"(?i)(?:at|@|held at|located at|venue:\s*)\s+([A-Z][A-Za-z'\- ]{2,40}(?:Park|Museum|Center|Centre|Library|Hall|Arena|Stadium|Theater|Theatre|Zoo|Garden|Gallery|Church|School|Academy|Institute|Pavilion|Plaza|Square|Beach|Pool|Farm|Ranch|Brewery|Restaurant|Cafe|Studios?)?)"
+STREET_IN_TEXT = r"(?i)\b(\d{1,6}\s+(?:[NSEW]\.?\s+)?[A-Z][a-zA-Z]+(?:\s+[A-Z][a-zA-Z]+){0,3}\s+(?:St(?:reet)?|Ave(?:nue)?|Blvd|Boulevard|Dr(?:ive)?|Rd|Road|Ln|Lane|Way|Pl(?:ace)?|Ct|Court|Pkwy|Parkway|Cir(?:cle)?|Hwy|Highway|Trail|Ter(?:race)?)\.?(?:,?\s+(?:Suite|Ste|Apt|#)\s*\d+)?(?:\s*,\s*[A-Z][a-zA-Z\s]+)?(?:\s*,\s*[A-Z]{2})?(?:\s+\d{5}(?:-\d{4})?)?)\b"
+ZIP_IN_TEXT = r"([A-Z][a-zA-Z\s]+,\s*[A-Z]{2}\s+\d{5})"

@@ -55,3 +55,14 @@ def or_else(name: str | Column, other: str | Column) -> Column:
     """The value unless it is null or empty."""
     c = F.col(name) if isinstance(name, str) else name
     return F.coalesce(F.nullif(c, F.lit("")), F.col(other) if isinstance(other, str) else other)
+
+
+#: Positions that one payload's items may have.
+_POSITIONS = 1 << 32
+
+
+def numbered(ord_: str | Column, pos: str | Column) -> Column:
+    """A number for the item at a position of a row, in the order of both; no two items share one.  Larger positions end the run."""
+    o, p = (F.col(c) if isinstance(c, str) else c for c in (ord_, pos))
+    fits = (p >= 0) & (p < F.lit(_POSITIONS))
+    return F.when(p.isNull() | fits, o.cast("long") * F.lit(_POSITIONS) + p.cast("long")).otherwise(F.raise_error(F.lit("an item's position is too large to be numbered")).cast("long"))

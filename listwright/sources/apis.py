@@ -6,7 +6,7 @@ Null and empty fields count as missing.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 from datetime import datetime, timedelta
 
@@ -18,15 +18,17 @@ from listwright.functions.text import clean_description, parse_timestamp, strip_
 from listwright.operators.categorize import categorize
 from listwright.operators.changes import first_by
 from listwright.operators.filters import any_keyword, religious
-from listwright.schema import conform, or_else
+from listwright.schema import conform, numbered, or_else
 
 
-def _items(payloads: DataFrame, fields: str, under: str | None = None, keep: Iterable[str] = ()) -> DataFrame:
-    """(kept columns, ord, e): one row for each item of the array in the payload, or in its field `under`."""
+def _items(payloads: DataFrame, fields: str, under: str | None = None, keep: Iterable[str] = (), inner: Callable[[Column], Column] | None = None) -> DataFrame:
+    """(kept columns, ord, e): one row for each item of the array in the payload, or in its field `under`; with inner, for each element of the array inner(item)."""
     many = f"array<struct<{''.join(fields.split())}>>"
     found = F.from_json("payload", f"struct<{under}:{many}>")[under] if under else F.from_json("payload", many)
+    if inner is not None:
+        found = F.flatten(F.filter(F.transform(found, inner), lambda a: a.isNotNull()))
     rows = payloads.select("ord", *keep, F.posexplode(found).alias("pos", "e"))
-    return rows.filter("e is not null").select(*keep, (F.col("ord") * 1000 + F.col("pos")).alias("ord"), "e")
+    return rows.filter("e is not null").select(*keep, numbered("ord", "pos").alias("ord"), "e")
 
 
 def _text(c: Column | str) -> Column:
@@ -148,19 +150,21 @@ def park_schedule(parks: DataFrame, now: datetime, days: int = 60, zone: str = "
 def dated_programs(payloads: DataFrame, source: str, audiences: list[str], now: datetime, days: int = 60) -> DataFrame:
     """One listing for each date in the window of a program: not online, for one of the audiences if it names any, no religious service."""
     e = _items(payloads, """EventItemOccurrenceId:long,Name:string,Description:string,Summary:string,Campus:string,LocationDescription:string,Audiences:array<struct<Value:string>>,
-      Image:struct<Url:string>,FriendlyScheduleText:string,EventDates:array<struct<StartDateTime:string,EndDateTime:string>>""")
+      Image:struct<Url:string>,FriendlyScheduleText:string,EventDates:array<struct<StartDateTime:string,EndDateTime:string>>""",
+      inner=lambda i: F.transform(i["EventDates"], lambda d: F.struct(i.alias("e"), d.alias("d"))))
+    e = e.select("ord", "e.e", "e.d")
     online = (_text("e.Campus") == "Online") | F.lower(_text("e.LocationDescription")).contains("zoom")
     meant = (F.coalesce(F.size("e.Audiences"), F.lit(0)) <= 0) | F.exists("e.Audiences", lambda a: F.lower(a["Value"]).isin(audiences))
     text = strip_html(_text(or_else("e.Description", "e.Summary")))
     e = e.filter(~online & F.coalesce(meant, F.lit(False)) & ~religious(F.col("e.Name"), text))
     again = (F.size("e.EventDates") > 1) | _text("e.FriendlyScheduleText").startswith("Weekly")
-    dates = e.select("ord", "e", text.alias("text"), again.alias("again"), F.posexplode("e.EventDates").alias("pos", "d")).filter(_in_days(F.col("d.StartDateTime"), now, days))
+    dates = e.select("ord", "e", text.alias("text"), again.alias("again"), "d").filter(_in_days(F.col("d.StartDateTime"), now, days))
     text, campus = clean_description(F.col("text")), _named(F.col("e.Campus"))
     return conform(dates.select(
         F.concat(F.lit(f"{source}:"), F.col("e.EventItemOccurrenceId").cast("string"), F.lit("-"), F.substring_index("d.StartDateTime", "T", 1)).alias("source_id"), F.lit(source).alias("source"),
         F.col("e.Name").alias("title"), text.alias("description"), F.col("d.StartDateTime").alias("start_date"), _named(F.col("d.EndDateTime")).alias("end_date"),
         categorize(F.col("e.Name"), text).alias("category"), F.coalesce(campus, F.lit("Irvine")).alias("city"), F.concat_ws(" - ", campus, _named(F.col("e.LocationDescription"))).alias("location_name"),
-        _named(F.col("e.Image.Url")).alias("image_url"), F.col("again").alias("is_recurring"), (F.col("ord") * 1000 + F.col("pos")).alias("ord"),
+        _named(F.col("e.Image.Url")).alias("image_url"), F.col("again").alias("is_recurring"), "ord",
     ))
 
 
@@ -168,8 +172,9 @@ def day_groups(payloads: DataFrame, source: str, kinds: list[int], far: list[str
     """Events grouped by day, first of equal ids: of these kinds or none, not virtual, at no far campus, no religious service, from today on."""
     e = _items(payloads, """date:string,events:array<struct<id:long,name:string,publicName:string,description:string,summary:string,categoryId:int,isVirtual:boolean,location:string,
       campusName:string,photoUrl:string,isPaid:boolean,cost:string,occurrence:struct<localStartDateTime:string,localEndDateTime:string,date:string>,
-      locationDetail:struct<address1:string,city:string,region:string,postalCode:string,latitude:double,longitude:double>>>""")
-    e = e.select("ord", F.col("e.date").alias("day"), F.posexplode("e.events").alias("pos", "e"))
+      locationDetail:struct<address1:string,city:string,region:string,postalCode:string,latitude:double,longitude:double>>>""",
+      inner=lambda g: F.transform(g["events"], lambda e: F.struct(g["date"].alias("day"), e.alias("e"))))
+    e = e.select("ord", "e.day", "e.e").filter("e is not null")
     title, text = or_else("e.publicName", "e.name"), strip_html(_text(or_else("e.description", "e.summary")))
     start = or_else("e.occurrence.localStartDateTime", or_else("e.occurrence.date", "day"))
     kept = (_text(title) != "") & F.coalesce(F.col("e.categoryId").isin(kinds), F.lit(True)) & ~F.coalesce("e.isVirtual", F.lit(False)) & ~religious(title, text)
@@ -183,7 +188,7 @@ def day_groups(payloads: DataFrame, source: str, kinds: list[int], far: list[str
         clean.alias("description"), start.alias("start_date"), _named(F.col("e.occurrence.localEndDateTime")).alias("end_date"), categorize(title, clean).alias("category"),
         or_else(at["city"], or_else("e.campusName", F.lit("Lake Forest"))).alias("city"), or_else("e.location", "e.campusName").alias("location_name"), address.alias("address"),
         at["latitude"].alias("latitude"), at["longitude"].alias("longitude"), _named(F.col("e.photoUrl")).alias("image_url"),
-        F.when(F.coalesce("e.isPaid", F.lit(False)), F.concat(F.lit("$"), cost)).otherwise("Free").alias("price"), (F.col("ord") * 1000 + F.col("pos")).alias("ord"),
+        F.when(F.coalesce("e.isPaid", F.lit(False)), F.concat(F.lit("$"), cost)).otherwise("Free").alias("price"), "ord",
     )
     return conform(first_by(rows, "source_id"))
 

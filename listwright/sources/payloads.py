@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from listwright.functions.text import clean_description, decode_entities, slug, strip_html
 from listwright.operators.categorize import categorize
 from listwright.operators.changes import first_by
-from listwright.schema import LISTING, conform, or_else
+from listwright.schema import LISTING, conform, numbered, or_else
 
 
 def read_listings(spark: SparkSession, path: str) -> DataFrame:
@@ -59,7 +59,7 @@ def ticket_events(payloads: DataFrame) -> DataFrame:
         F.coalesce(start["dateTime"], at(start["localDate"], start["localTime"], "00:00:00")).alias("start_date"), at(end["localDate"], end["localTime"], "23:59:59").alias("end_date"),
         venue["city"].alias("city"), venue["address"].alias("address"), venue["name"].alias("location_name"), venue["latitude"].alias("latitude"), venue["longitude"].alias("longitude"),
         F.coalesce(best, F.get("e.images", F.lit(0))["url"]).alias("image_url"), F.col("e.url").alias("external_url"), price.alias("price"), F.array_compact(kinds).alias("tags"),
-        (F.col("ord") * 1000 + F.col("pos")).alias("ord"),
+        numbered("ord", "pos").alias("ord"),
     )
     return conform(first_by(rows, "source_id"))
 
@@ -83,7 +83,7 @@ def seat_events(payloads: DataFrame) -> DataFrame:
         F.col("e.datetime_local").alias("start_date"), categorize(F.col("e.title"), F.concat_ws(" ", text, F.array_join(kinds, " "))).alias("category"), F.col("e.venue.city").alias("city"),
         F.col("e.venue.address").alias("address"), F.col("e.venue.location.lat").alias("latitude"), F.col("e.venue.location.lon").alias("longitude"), F.col("e.venue.name").alias("location_name"),
         or_else(lead["images"]["huge"], or_else(lead["images"]["large"], F.nullif(lead["image"], F.lit("")))).alias("image_url"), F.col("e.url").alias("external_url"), price.alias("price"), kinds.alias("tags"),
-        (F.col("ord") * 1000 + F.col("pos")).alias("ord"),
+        numbered("ord", "pos").alias("ord"),
     ))
 
 
@@ -98,7 +98,7 @@ def calendar_api(payloads: DataFrame, source: str) -> DataFrame:
         F.concat(F.lit(f"{source}:"), F.col("e.id").cast("string")).alias("source_id"), F.lit(source).alias("source"), decode_entities(F.regexp_replace("e.title", "<[^>]*>", "")).alias("title"),
         clean_description(F.col("e.description")).alias("description"), F.col("e.start_date").alias("start_date"), F.col("e.end_date").alias("end_date"), F.col("e.all_day").alias("is_all_day"),
         inner("e.venue", "city").alias("city"), inner("e.venue", "address").alias("address"), inner("e.venue", "venue").alias("location_name"), inner("e.image", "url").alias("image_url"),
-        F.col("e.url").alias("external_url"), F.nullif("e.cost", F.lit("")).alias("price"), F.transform("e.categories", lambda c: c["name"]).alias("tags"), (F.col("ord") * 1000 + F.col("pos")).alias("ord"),
+        F.col("e.url").alias("external_url"), F.nullif("e.cost", F.lit("")).alias("price"), F.transform("e.categories", lambda c: c["name"]).alias("tags"), numbered("ord", "pos").alias("ord"),
     ))
 
 
@@ -124,18 +124,22 @@ def ical(payloads: DataFrame, source: str) -> DataFrame:
         F.concat(F.lit(f"{source}:"), F.coalesce(raw("UID"), slug(plain("SUMMARY")))).alias("source_id"), F.lit(source).alias("source"), plain("SUMMARY").alias("title"),
         clean_description(F.coalesce(plain("DESCRIPTION"), F.lit(""))).alias("description"), iso("DTSTART").alias("start_date"), iso("DTEND").alias("end_date"),
         F.col("b").rlike(r"(?m)^DTSTART;[^:\n]*VALUE=DATE(?:;|:)").alias("is_all_day"), plain("LOCATION").alias("location_name"), raw("URL").alias("external_url"), raw("ATTACH").alias("image_url"),
-        (F.col("ord") * 1000 + F.col("pos")).alias("ord"),
+        numbered("ord", "pos").alias("ord"),
     ).filter("title is not null and start_date is not null"))
 
 
 def json_ld(pages: DataFrame, source: str) -> DataFrame:
     """Events that pages (url, html, ord) declare as linked data: single, in lists, in graphs."""
     blocks = F.regexp_extract_all("html", F.lit(r"""(?is)<script[^>]+type=["']application/ld\+json["'][^>]*>(.*?)</script>"""), F.lit(1))
-    docs = pages.select("ord", "url", F.posexplode(blocks).alias("block", "j")).withColumn("v", F.try_parse_json("j"))
-    many = lambda path: F.try_variant_get("v", path, "array<variant>")
-    wrapped = F.transform(F.coalesce(many("$.itemListElement"), F.array().cast("array<variant>")), lambda i: F.coalesce(F.try_variant_get(i, "$.item", "variant"), i))
-    parts = F.concat(F.array(F.col("v")), wrapped, *[F.coalesce(many(p), F.array().cast("array<variant>")) for p in ("$", "$['@graph']")])
-    items = docs.select("ord", "url", "block", F.posexplode(parts).alias("pos", "i"))
+    docs = pages.select("ord", "url", F.transform(blocks, F.try_parse_json).alias("docs"))
+    none = F.array().cast("array<variant>")
+
+    def parts(v: Column) -> Column:
+        many = lambda path: F.coalesce(F.try_variant_get(v, path, "array<variant>"), none)
+        wrapped = F.transform(many("$.itemListElement"), lambda i: F.coalesce(F.try_variant_get(i, "$.item", "variant"), i))
+        return F.concat(F.array(v), wrapped, many("$"), many("$['@graph']"))
+
+    items = docs.select("ord", "url", F.posexplode(F.flatten(F.transform("docs", parts))).alias("pos", "i"))
     s = lambda path: F.try_variant_get("i", path, "string")
     first = lambda *paths: F.coalesce(*[F.nullif(s(p), F.lit("")) for p in paths])
     picture = first("$.image.url", "$.image[0].url", "$.image[0]", "$.image")
@@ -143,7 +147,7 @@ def json_ld(pages: DataFrame, source: str) -> DataFrame:
         F.concat(F.lit(f"{source}:"), F.coalesce(slug(F.concat_ws("-", s("$.name"), F.substring(s("$.startDate"), 1, 10))), F.lit(""))).alias("source_id"), F.lit(source).alias("source"),
         decode_entities(s("$.name")).alias("title"), clean_description(F.coalesce(s("$.description"), F.lit(""))).alias("description"), s("$.startDate").alias("start_date"), s("$.endDate").alias("end_date"),
         s("$.location.address.addressLocality").alias("city"), first("$.location.address.streetAddress", "$.location.address").alias("address"), s("$.location.name").alias("location_name"),
-        picture.alias("image_url"), F.coalesce(first("$.url"), F.col("url")).alias("external_url"), ((F.col("ord") * 100 + F.col("block")) * 1000 + F.col("pos")).alias("ord"),
+        picture.alias("image_url"), F.coalesce(first("$.url"), F.col("url")).alias("external_url"), numbered("ord", "pos").alias("ord"),
     )
     return conform(first_by(rows.filter("title is not null and start_date is not null"), "source_id"))
 
