@@ -108,8 +108,8 @@ def full_dates(text: Column) -> Column:
 
 def full_range(text: Column) -> Column:
     """(first, last) of the first range of two days with years, else of the first day with a year (last is null); a range counts before days that precede it."""
-    first, last = _part(text, _FULL_RANGE, 1), _part(text, _FULL_RANGE, 2)
-    return F.struct(_full_date(F.coalesce(first, _part(text, FULL))).alias("first"), _full_date(last).alias("last"))
+    found = F.array(F.coalesce(_part(text, _FULL_RANGE, 1), _part(text, FULL)), _part(text, _FULL_RANGE, 2))
+    return _bound(F.transform(found, _full_date), lambda days: F.struct(F.get(days, F.lit(0)).alias("first"), F.get(days, F.lit(1)).alias("last")))
 
 
 def days_in_window(spans: Column, now: datetime, days: int) -> Column:

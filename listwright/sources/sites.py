@@ -184,7 +184,7 @@ def detail_events(lists: DataFrame, pages: DataFrame, site: Site, how: Details,
     )
     today, first, last = F.lit(now.date()), F.col("on.first"), F.col("on.last")
     start = F.when((first < today) & (last > F.lit(now.date())), today).otherwise(first)
-    rows = rows.filter((F.col("named") != "") & ~F.col("named").isin(how.general)).withColumn("start", start)
+    rows = rows.filter((F.col("title") != "") & ~F.col("named").isin(how.general)).withColumn("start", start)
     rows = rows.filter(F.col("start").cast("timestamp") <= F.lit(now + timedelta(days=days)))
     text = clean_description(strip_html(F.col("text")))
     id_ = F.substring(F.regexp_replace(F.regexp_replace("link", how.id_from, ""), "(?i)[^a-z0-9_-]", "-"), 1, 50)
