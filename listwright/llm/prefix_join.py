@@ -377,6 +377,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             F.count("*").alias("m"), F.max(F.col("pos") <= F.col("n") - least).alias("early"), F.min("num").alias("hub"), F.bit_xor(F.xxhash64("num")).alias("mark"),
         )
         cells = facts.filter("m > 1 and early").groupBy("hub", "m", "mark").agg(F.min("token").alias("token")).select("token", "hub")
+        cells = written(cells, "tokens")  # its size is known then: all prefixes move once more only where it is large
         members = written(each.select("num", "n", "token").join(cells, "token"), "members")
 
         search = lambda cells: _searched(cells, prefixes.select("num", "n", "signature"), classes, texts, parts, percent, lambda rows: _link_cells(rows, size, percent, rank))
@@ -388,7 +389,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         found = classes.join(roots.withColumnRenamed("node", "num"), "num", "left").withColumn("root", F.coalesce("root", "num"))
         smallest = found.groupBy("root").agg(F.min("least").alias("component"))
         by_node = written(found.join(smallest, "root").select("node", "component"), "by-node")
-    erase(classes, prefixes, members, links, rest, last, roots)
+    erase(classes, prefixes, cells, members, links, rest, last, roots)
     return rows.join(by_node, "node", "left").withColumn("component", F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component")))
 
 
