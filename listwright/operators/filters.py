@@ -65,6 +65,17 @@ def guide_article(title: Column, text: Column, places: list[str], least: int = 3
     return F.coalesce(title.rlike(r"\bin [A-Z][\w ]+(?:, [A-Z][\w ]+){2,},? and [A-Z]"), F.lit(False)) | (named >= least)
 
 
+def names_several_places(title: Column, places: list[str] = rules.ORANGE_COUNTY, least: int = 3) -> Column:
+    """Whether a title is that of an article: `in A, B, C and D`, or at least `least` of the places, as whole words."""
+    named = reduce(lambda a, b: a + b, (title.rlike(rf"(?i)\b{re.escape(p)}\b").cast("int") for p in places), F.lit(0))
+    return F.coalesce(title.rlike(rules.SEVERAL_PLACES) | (named >= least), F.lit(False))
+
+
+def family_listings(df: DataFrame) -> DataFrame:
+    """What a run keeps by default: nothing for adults only, no meetup of a platform's members, no article about several places."""
+    return family_friendly(df).filter(~meetup(F.col("title")) & ~names_several_places(F.col("title")))
+
+
 def overlaps(start: Column, end: Column, begin, until) -> Column:
     """Starts before `until` and ends (or starts, where it has no end) at or after `begin`; both may be None."""
     last = F.coalesce(end, start)

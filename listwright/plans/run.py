@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import datetime
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from listwright.functions.text import clean_tags
-from listwright.operators import changes, dedup, enrich, filters
+from listwright import rules as fixed
+from listwright.functions.text import clean_tags, decode_entities
+from listwright.operators import changes, dedup, enrich, filters, locate
 from listwright.operators.categorize import RULES, categorize
 
 
@@ -18,8 +20,8 @@ class Tables:
     """Dimension and answer tables of a run; a missing one skips its step."""
 
     venues: DataFrame | None = None
-    gazetteer: DataFrame | None = None
-    bounds: DataFrame | None = None
+    places: DataFrame | None = None
+    streets: DataFrame | None = None
     images: DataFrame | None = None
     verdicts: DataFrame | None = None
     cache: DataFrame | None = None
@@ -29,22 +31,23 @@ class Tables:
 @dataclass
 class Rules:
     categories: list[tuple[str, list[str]]] = field(default_factory=lambda: list(RULES))
-    adult_titles: list[str] = field(default_factory=list)
-    adult_texts: list[str] = field(default_factory=list)
-    adult_venues: list[str] = field(default_factory=list)
-    api_sources: list[str] = field(default_factory=list)
-    aggregators: list[str] = field(default_factory=list)
+    keep: Callable[[DataFrame], DataFrame] = filters.family_listings
+    aggregators: list[str] = field(default_factory=lambda: list(fixed.AGGREGATORS))
     trusted: list[str] = field(default_factory=list)
     scraper_hosts: tuple[str, ...] = ("scraper.invalid",)
     unwanted_tags: list[str] = field(default_factory=list)
 
 
+def screen(raw: DataFrame, rules: Rules, now: datetime) -> DataFrame:
+    """Family listings from today on, entities in titles and texts decoded, with a category."""
+    kept = rules.keep(raw).filter(~filters.stale(F.col("start_date"), now))
+    kept = kept.withColumns({"title": decode_entities(F.col("title")), "description": decode_entities(F.col("description"))})
+    return kept.withColumn("category", F.when(F.col("category").isin("", "Other"), categorize(F.col("title"), F.col("description"), rules.categories)).otherwise(F.col("category")))
+
+
 def select(raw: DataFrame, rules: Rules, now: datetime) -> DataFrame:
-    """Family listings from today on, with a category, resolved to one row for each entity."""
-    kept = filters.family_friendly(raw, rules.adult_titles, rules.adult_texts, rules.adult_venues, rules.api_sources)
-    kept = kept.filter(~filters.stale(F.col("start_date"), now))
-    named = kept.withColumn("category", F.when(F.col("category").isin("", "Other"), categorize(F.col("title"), F.col("description"), rules.categories)).otherwise(F.col("category")))
-    return dedup.greedy(named).drop("place")
+    """screen, resolved to one row for each entity."""
+    return dedup.greedy(screen(raw, rules, now)).drop("place")
 
 
 def improve(df: DataFrame, t: Tables, rules: Rules, now: datetime) -> DataFrame:
@@ -56,8 +59,8 @@ def improve(df: DataFrame, t: Tables, rules: Rules, now: datetime) -> DataFrame:
     df = enrich.venue_lookup(df, t.venues) if t.venues is not None else df.withColumn("venue_url", F.lit(None).cast("string"))
     df = enrich.contradictions(enrich.link_cascade(df, rules.scraper_hosts)).drop("venue_url")
     df = df.withColumn("tags", clean_tags(F.col("tags"), rules.unwanted_tags)) if rules.unwanted_tags else df
-    if t.gazetteer is not None:
-        df = enrich.geocode(df, t.gazetteer, t.bounds)
+    if t.streets is not None:
+        df = locate.locate(df, t.places, t.streets).drop(*locate.FOUND)
     if t.images is not None:
         df = enrich.rotate_images(df, t.images)
     if t.verdicts is not None:

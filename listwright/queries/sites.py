@@ -153,3 +153,22 @@ def _(l, spark, d):
     pages = l.select("ord", _page('<ul data-x="{" data-current-context="{&quot;userItems&quot;:7}"></ul><ul data-current-context="', value, '"></ul>').alias("html"))
     read = sites.attribute_events(pages, SITE, "https://x.example.org/all", NOW)
     return read.select("source_id", "title", "start_date", "external_url", F.sha2("description", 256).alias("digest"))
+
+
+@query("block_events", f"""with t as (select *, {_stripped("coalesce(title, '')")} as name, ord % 4 as shape from {{listings}}),
+k as (select *, case ord % 3 when 0 then concat(substr(start_date, 1, 11), '18:00:00') when 1 then '2024-02-03T00:00:00' else '2024-01-13T09:30:00' end as start from t where shape <> 3 and length(name) >= 5 and not regexp_matches(name, '(?i)^(events?|home|about|contact|menu)$'))
+select concat('x:', substr(regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g'), 1, 50)) as source_id, name as title, start as start_date, concat('https://x.example.org/events/', case when ord % 5 = 0 then '' else ord::varchar end) as external_url, ord % 4 as shape,
+  case when ord % 2 = 0 then 'Told & shown' else '' end as description from k where cast(start as timestamp) between {_SOON} and not regexp_matches(name, '(?i){_ANY_SERVICE}')""")
+def _(l, spark, d):
+    """Pages of three shapes: list items with nested lists, nested divisions, articles; blocks of later strategies on the same page don't count."""
+    o = F.col("ord")
+    link = F.when(o % 5 == 0, "").otherwise(F.concat(F.lit('<a href="/events/'), o.cast("string"), F.lit('">')))
+    when = F.when(o % 3 == 0, F.concat(F.lit('<time datetime="'), F.substring("start_date", 1, 11), F.lit('18:00:00">x</time>'))).when(o % 3 == 1, "<i>Sat, Feb 3, 2024</i>").otherwise("")
+    told = F.when(o % 2 == 0, '<p class="a excerpt">Told &amp; shown</p>').otherwise("")
+    inner = _page("<h2>", F.regexp_replace(F.col("title"), "[<>]", ""), "</h2>", link, when, told)
+    shape = F.when(o % 4 == 0, _page('<ul><li class="z user-items-list-item-container"><ul><li>one</li><li class="n">two</li></ul>', inner, '</li></ul><article><h2>Not this one</h2></article>')).when(
+        o % 4 == 1, _page('<div class="blog-basic-grid--container"><div><div>x</div></div>', inner, '</div><article><h2>Not this one</h2></article>')
+    ).when(o % 4 == 2, _page("<article>", inner, "</article><li>no</li>")).otherwise(_page("<article>", inner))
+    pages = l.select("ord", _page("<html><body>", shape).alias("html"))
+    found = sites.block_events(pages, SITE, NOW)
+    return found.select("source_id", "title", "start_date", "external_url", (F.shiftright("ord", 32) % 4).alias("shape"), "description")

@@ -154,3 +154,26 @@ VENUE_IN_TEXT = r"(?i)(?:at|@|held at|located at|venue:\s*)\s+([A-Z][A-Za-z'\-&
 VENUE_HINT = r"(?i)(?:at|@|held at|located at|venue:\s*)\s+([A-Z][A-Za-z'\- ]{2,40}(?:Park|Museum|Center|Centre|Library|Hall|Arena|Stadium|Theater|Theatre|Zoo|Garden|Gallery|Church|School|Academy|Institute|Pavilion|Plaza|Square|Beach|Pool|Farm|Ranch|Brewery|Restaurant|Cafe|Studios?)?)"
 STREET_IN_TEXT = r"(?i)\b(\d{1,6}\s+(?:[NSEW]\.?\s+)?[A-Z][a-zA-Z]+(?:\s+[A-Z][a-zA-Z]+){0,3}\s+(?:St(?:reet)?|Ave(?:nue)?|Blvd|Boulevard|Dr(?:ive)?|Rd|Road|Ln|Lane|Way|Pl(?:ace)?|Ct|Court|Pkwy|Parkway|Cir(?:cle)?|Hwy|Highway|Trail|Ter(?:race)?)\.?(?:,?\s+(?:Suite|Ste|Apt|#)\s*\d+)?(?:\s*,\s*[A-Z][a-zA-Z\s]+)?(?:\s*,\s*[A-Z]{2})?(?:\s+\d{5}(?:-\d{4})?)?)\b"
 ZIP_IN_TEXT = r"([A-Z][a-zA-Z\s]+,\s*[A-Z]{2}\s+\d{5})"
+
+# Places whose names tell that a listing belongs to Orange County.
+ORANGE_COUNTY = [
+    "anaheim", "irvine", "santa ana", "huntington beach", "costa mesa",
+    "orange", "fullerton", "mission viejo", "lake forest", "laguna",
+    "laguna beach", "laguna niguel", "laguna hills", "laguna woods",
+    "newport beach", "newport coast", "tustin", "yorba linda", "brea",
+    "placentia", "cypress", "garden grove", "westminster", "midway city",
+    "fountain valley", "seal beach", "san clemente", "dana point",
+    "san juan capistrano", "aliso viejo", "rancho santa margarita",
+    "ladera ranch", "trabuco canyon", "coto de caza", "foothill ranch",
+    "buena park", "la habra", "stanton", "los alamitos", "rossmoor",
+    "silverado", "modjeska canyon", "villa park",
+    "capistrano beach", "monarch beach", "talega",
+    "discovery cube oc", "oc fair", "orange county", "south coast plaza",
+    "spectrum center", "irvine spectrum", "the lab anti-mall",
+    "bowers museum", "pretend city", "adventure playground",
+    "great park", "tanaka farms", "knott's", "knotts",
+    "medieval times buena park",
+]
+
+# A title that names several places, as articles about them do.
+SEVERAL_PLACES = r"(?i)\bin\s+[\w\s]+(?:,\s+[\w\s]+){2,},?\s+and\s+[\w\s]+"

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from listwright.functions import dates
+from listwright.functions.markup import elements, first_strategy
 from listwright.functions.text import clean_description, parse_timestamp, strip_html, trimmed
 from listwright.operators.categorize import categorize
 from listwright.operators.changes import first_by
@@ -332,3 +333,36 @@ def attribute_events(pages: DataFrame, site: Site, page: str, now: datetime, day
         rows, source_id=F.concat(F.lit(f"{site.prefix}:"), _short(F.col("title"), 50)), description=clean_description(F.col("text")), start_date=_iso(F.coalesce("start", F.lit(now))),
         category=categorize(F.col("title"), F.col("text")), external_url=link, website_url=link, image_url=_some(F.col("e.image.assetUrl")), ord=numbered("ord", "pos"), **site.columns(),
     )
+
+
+# Blocks of markup, by the first strategy that finds some.
+
+# Containers of events, best first (tag, class), and what they hold.
+BLOCKS = [("li", "user-items-list-item-container"), ("div", "blog-basic-grid--container"), ("article", "")]
+_BLOCK_TITLES = (r"<h[1-4][^>]*>\s*(?:<a[^>]*>)?\s*([^<]+)", r'class="[^"]*(?:list-item-content__title|blog-title)[^"]*"[^>]*>([^<]+)')
+_BLOCK_TEXT = r'(?is)class="[^"]*(?:list-item-content__description|blog-excerpt|description|excerpt)[^"]*"[^>]*>(.*?)</(?:p|div|span)>'
+_NAVIGATION, _STREET = r"(?i)^(events?|home|about|contact|menu)$", r"(?i)^\d+\s+\w+\s+(blvd|st|ave|dr|rd|ln|way|ct)\b"
+
+
+def block_events(pages: DataFrame, site: Site, now: datetime, days: int = 60, strategies: list[tuple[str, str]] | None = None) -> DataFrame:
+    """Events in blocks of markup; of each page, the blocks of the first strategy that finds some there, nested blocks whole.
+
+    A start comes from a time element, else from the text's first day with a name of a month, and is now if there is none.  No navigation,
+    addresses, religious services, or starts out of the window.
+    """
+    strategies = strategies or BLOCKS
+    blocks = first_strategy(elements(pages, sorted({t for t, _ in strategies})), strategies)
+    inner = F.col("inner")
+    title = strip_html(trimmed(_text(F.coalesce(*[_group(inner, p) for p in _BLOCK_TITLES]))))
+    text = clean_description(strip_html(_text(_group(inner, _BLOCK_TEXT))))
+    rows = blocks.select("ord", "pos", "strategy", "inner", title.alias("title"), text.alias("description"))
+    rows = rows.filter((F.length("title") >= 5) & ~F.col("title").rlike(_NAVIGATION) & ~F.col("title").rlike(_STREET)).filter(~religious(F.col("title"), F.col("description")))
+    declared = _group(inner, 'datetime="([^"]*)"')
+    prose = dates.first_day(_group(strip_html(inner), _MONTH_DATE), now).cast("timestamp")
+    rows = rows.withColumns({"declared": declared, "start": F.when(declared.isNotNull(), parse_timestamp(declared)).otherwise(prose)})
+    rows = rows.filter((F.col("declared").isNull() & F.col("start").isNull()) | _in_window(F.col("start"), now, days))
+    link = F.concat(F.lit(site.base), F.coalesce(_group(inner, r'href="(/events/[^"]*)"'), F.lit("/events/")))
+    return conform(
+        rows, source_id=F.concat(F.lit(f"{site.prefix}:"), _short(F.col("title"), 50)), start_date=F.coalesce("declared", _iso(F.coalesce("start", F.lit(now)))), category=categorize(F.col("title"), F.col("description")),
+        external_url=link, website_url=link, image_url=_group(inner, r'(?i)(?:src|data-src)="([^"]*(?:jpg|jpeg|png|webp)[^"]*)"'), ord=numbered("ord", "pos"), **site.columns(),
+    )
