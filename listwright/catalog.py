@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from listwright.queries import apis, incremental, pages, places, projections, readers, relational, repairs, resolution, sites, upkeep  # noqa: F401
+from listwright.queries import apis, incremental, pages, places, projections, readers, relational, repairs, resolution, sites, stores, upkeep  # noqa: F401
 from listwright.queries.registry import QUERIES, SQL
 
 FLAGSHIP = "dedup_greedy"

@@ -8,14 +8,20 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Folders of local sessions, by application.
+_LOCAL: dict[str, str] = {}
+
+
 def folder(spark: SparkSession) -> str:
-    """What the cluster names in spark.checkpoint.dir; in local mode, a temporary folder where that is unset."""
+    """What the cluster names in spark.checkpoint.dir; in local mode, a folder of the session's own where that is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("Set spark.checkpoint.dir to a folder that all executors share.")
-        found = f"file://{tempfile.mkdtemp(prefix='checkpoints-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
+        session = spark.sparkContext.applicationId
+        if session not in _LOCAL:
+            _LOCAL[session] = f"file://{tempfile.mkdtemp(prefix='checkpoints-')}"
+        found = _LOCAL[session]
     return found.rstrip("/")
 
 

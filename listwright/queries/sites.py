@@ -172,3 +172,28 @@ def _(l, spark, d):
     pages = l.select("ord", _page("<html><body>", shape).alias("html"))
     found = sites.block_events(pages, SITE, NOW)
     return found.select("source_id", "title", "start_date", "external_url", (F.shiftright("ord", 32) % 4).alias("shape"), "description")
+
+
+@query("day_listings", f"""with t as (select *, concat(ord, ' ', trim(regexp_replace(regexp_replace(title, '[<>&]', '', 'g'), '\\s+', ' ', 'g'))) as name, substr(start_date, 1, 10) as day from {{listings}}), k as (select * from t where ord % 10 <> 9)
+select concat('cards:/e/', ord, ':', day) as source_id, name as title, concat(day, case when ord % 3 = 0 then 'T10:30:00' else 'T00:00:00' end) as start_date, ord % 3 <> 0 as is_all_day, case when ord % 4 = 0 then 'Told & shown' else '' end as description,
+  case ord % 4 when 0 then '1 A St' when 1 then '2 B St' end as address, coalesce(location_name, case when ord % 4 = 1 then 'Hall Z' end) as location_name, concat('https://c.example.org/e/', ord) as external_url from k where length(name) <= 200
+union all select concat('cards:extra-', ord, '-', day), concat('Extra ', ord), day, true, '', null, null, concat('https://c.example.org/x/', ord) from k where ord % 4 = 2
+union all select concat('cards:', substr(regexp_replace(regexp_replace(lower(concat(name, '-', day)), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g'), 1, 60)), name, day, true, case when ord % 4 = 0 then 'Told & shown' else '' end,
+  case ord % 4 when 0 then '1 A St' else '2 B St' end, case when ord % 4 = 1 then 'Hall Z' end, concat(case ord % 4 when 0 then 'HTTPS://c.example.org/e/' else 'https://c.example.org/x/' end, ord) from k where length(name) > 200 and ord % 4 < 2""")
+def _(l, spark, d):
+    """Pages with a card and linked data of the same event, by link or by title, of another one, or none; some pages are cut off."""
+    from listwright.sources import cards
+
+    o, id_, day = F.col("ord"), F.col("ord").cast("string"), F.substring("start_date", 1, 10)
+    name = F.concat(id_, F.lit(" "), F.trim(F.regexp_replace(F.regexp_replace("title", "[<>&]", ""), r"\s+", " ")))
+    time = F.when(o % 3 == 0, '<i><time datetime="2024-01-01T10:30:00Z">10:30 am</time></i>').when(o % 3 == 1, '<time datetime="2024-01-01T11:00:00Z">Various times</time>').otherwise("")
+    card = _page('<div class="views-field views-field-title"><a class="x" href="/e/', id_, '"> <span>', name, "</span></a>", F.coalesce(F.concat(F.lit("<p>"), "location_name", F.lit("</p>")), F.lit("")), "</div> </div>", time)
+    place = F.struct(F.struct(F.when(o % 4 == 0, "1 A St").otherwise("2 B St").alias("streetAddress")).alias("address"), F.when(o % 4 == 1, "Hall Z").alias("name"))
+    told = F.to_json(F.struct(
+        F.lit("Event").alias("@type"), F.when(o % 4 == 2, F.concat(F.lit("Extra "), id_)).otherwise(name).alias("name"), day.alias("startDate"), F.when(o % 4 == 0, "Told &amp; shown").alias("description"),
+        F.when(o % 4 != 2, place).alias("location"), F.concat(F.when(o % 4 == 0, "HTTPS://c.example.org/e/").otherwise("https://c.example.org/x/"), id_).alias("url"),
+    ))
+    data = F.when(o % 4 != 3, F.concat(F.lit('<script type="application/ld+json">'), told, F.lit("</script>"))).otherwise("<script>7</script>")
+    html = F.when(o % 10 == 9, F.lit('<div class="views-field views-field-title"><a href="/e/1"><span>Cut off')).otherwise(F.concat(F.lit("<html>"), data, card))
+    pages = l.select("ord", F.lit("https://c.example.org/day").alias("url"), day.alias("day"), html.alias("html"))
+    return cards.day_listings(pages, "cards", "https://c.example.org", "Chicago").select("source_id", "title", "start_date", "is_all_day", "description", "address", "location_name", "external_url")

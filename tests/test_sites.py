@@ -223,3 +223,40 @@ def test_items_beyond_a_thousand_have_numbers_of_their_own(spark):
     assert len(numbers) == len(set(numbers)) == 3010 and sorted(numbers)[-1] == (2 << 32) + 9
     with pytest.raises(Exception, match="too large"):
         spark.range(1).select(numbered(F.lit(1), F.lit(1 << 32))).collect()
+
+
+def card(path, title, after="", before="", more=""):
+    return f'{before}<div class="views-field views-field-title"><a href="{path}"> <span>{title}</span></a>{more}</div>\n</div>{after}'
+
+
+def test_cards_and_linked_data(spark):
+    from listwright.sources import cards
+
+    data = [{"@type": "Event", "name": "FAIR ", "startDate": "2024-01-20", "description": "By title", "location": {"name": "Hall", "address": {"streetAddress": "1 A St"}}}, {"@type": "Event", "name": "Named otherwise", "startDate": "2024-01-20T09:00:00", "url": "https://c.example.org/Walk", "description": "By link"}, {"@type": "Event", "name": "Only here", "startDate": "2024-01-20"}, {"@type": "Place", "name": "No"}]
+    html = [
+        card("/fair", "Fair", '<time datetime="2023-05-05T10:00:00Z">10 am</time> - <time datetime="2023-05-05T12:30:00Z">noon</time>', '<img src="/a.png"><img src="/b.jpg?x">', "<p>Big <b>Hall</b></p><ul><li>Pick</li><li>Art</li></ul>")
+        + card("/walk", "Walk", " " * 1300 + '<time datetime="2023-05-05T10:00:00Z">far</time>') + card("/fair", "Fair again") + card("/login", "Login") + card("/x", "ab") + f'<script type="application/ld+json">{json.dumps(data)}</script><script type="application/ld+json">[1,</script>',
+        None, "", '<div class="views-field views-field-title"><a href="/cut"><span>Cut',
+    ]
+    pages_ = spark.createDataFrame([(i, "https://c.example.org/d", "2024-01-20", h) for i, h in enumerate(html)], "ord long, url string, day string, html string")
+    rows = {r.title: r for r in cards.day_listings(pages_, "c", "https://c.example.org", "Chicago").collect()}
+    assert set(rows) == {"Fair", "Walk", "Only here"}
+    fair, walk = rows["Fair"], rows["Walk"]
+    assert (fair.start_date, fair.end_date, fair.is_all_day, fair.description, fair.address, fair.location_name) == ("2024-01-20T10:00:00", "2024-01-20T12:30:00", False, "By title", "1 A St", "Big Hall")
+    assert (fair.image_url, fair.tags, fair.source_id) == ("https://c.example.org/b.jpg?x", ["c", "Art"], "c:/fair:2024-01-20")
+    assert (walk.start_date, walk.is_all_day, walk.description, walk.city) == ("2024-01-20T00:00:00", True, "By link", "Chicago") and rows["Only here"].is_all_day
+    either = cards.data_or_cards(pages_.unionByName(pages_.filter("ord = 0").select(F.lit(9).alias("ord"), "url", "day", F.lit(card("/solo", "Alone")).alias("html"))), "c", "https://c.example.org", "Chicago")
+    assert {r.title for r in either.collect()} == {"FAIR", "Named otherwise", "Only here", "Alone"}
+
+
+def test_budgets_by_metro(spark):
+    from listwright.schema import conform
+    from listwright.sources import cards
+
+    rows = [(i, f"s:{i}", "a" if i % 3 else "b", "" if i % 2 else "told", f"https://d.example.org/{i}") for i in range(40)]
+    df = conform(spark.createDataFrame(rows, "ord long, source_id string, metro string, description string, external_url string"))
+    details = spark.createDataFrame([(f"https://d.example.org/{i}", "<p>From the page</p>", "1 A St", None) for i in range(40)], "url string, description string, address string, location_name string")
+    got = {r.ord: (r.description, r.address) for r in cards.enriched(df, details, 3).collect()}
+    lacking = {m: [i for i, _, metro, text, _ in rows if metro == m and not text][:3] for m in "ab"}
+    for i, _, metro, text, _ in rows:
+        assert got[i] == (("From the page", "1 A St") if i in lacking[metro] else (text, None))
