@@ -47,6 +47,8 @@ SIZE, PERCENT = 5, 80
 BUCKETS, STEPS, BLOCK_OF_BUCKETS = 1 << 20, 4, 1 << 10
 #: Classes of a block, and n-grams of its classes together.
 BLOCK, BLOCK_GRAMS = 512, 1 << 20
+#: Hashes of keys by which rows that join nothing are sorted out before they move.
+SLOTS = 1 << 20
 #: N-grams of a path that are counted at once.
 CHUNK = 64
 #: Rows of texts or sets that a task's Python side holds at once, and texts whose copies it knows.
@@ -307,13 +309,20 @@ def _by_cells(of: Callable[[pa.Table], pa.RecordBatch | None]) -> Callable:
 CELL = "cell long, side int, num long, root long"
 
 
+def _sieved(rows: DataFrame, key: str, wanted: DataFrame, own: str) -> DataFrame:
+    """rows without most of those whose key isn't wanted: keys count by SLOTS hashes, so what is broadcast has at most SLOTS rows."""
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(SLOTS)).alias("slot")
+    slots = wanted.select(slot(own)).distinct()
+    return rows.withColumn("slot", slot(key)).join(F.broadcast(slots), "slot", "left_semi").drop("slot")
+
+
 def _searched(cells: DataFrame, signatures: DataFrame, classes: DataFrame, texts: DataFrame, parts: int, percent: int, links: Callable) -> DataFrame:
     """Links of cells (cell, side, num, root).  Texts travel, which are smaller than their sets, and only those of classes that may have links."""
     sort = lambda rows: rows.repartition(parts, "cell").sortWithinPartitions("cell")
     signed = cells.join(signatures, "num").select("cell", "side", "num", "root", "n", "signature")
     possible = sort(signed).mapInArrow(_by_cells(lambda rows: _possible_cells(rows, percent)), CELL)
     possible = written(possible.join(classes.select("num", "node", "least"), "num"), "cells")
-    whole = texts.join(possible, F.col("id").eqNullSafe(F.col("least"))).select("cell", "side", "num", "root", "node", "text")
+    whole = _sieved(texts, "id", possible, "least").join(possible, F.col("id").eqNullSafe(F.col("least"))).select("cell", "side", "num", "root", "node", "text")
     found = written(sort(whole).mapInArrow(_by_cells(links), "a long, b long").filter("a <> b"), "links")
     erase(possible)
     return found
@@ -377,8 +386,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             F.count("*").alias("m"), F.max(F.col("pos") <= F.col("n") - least).alias("early"), F.min("num").alias("hub"), F.bit_xor(F.xxhash64("num")).alias("mark"),
         )
         cells = facts.filter("m > 1 and early").groupBy("hub", "m", "mark").agg(F.min("token").alias("token")).select("token", "hub")
-        cells = written(cells, "tokens")  # its size is known then: all prefixes move once more only where it is large
-        members = written(each.select("num", "n", "token").join(cells, "token"), "members")
+        cells = written(cells, "tokens")
+        members = written(_sieved(each.select("num", "n", "token"), "token", cells, "token").join(cells, "token"), "members")
 
         search = lambda cells: _searched(cells, prefixes.select("num", "n", "signature"), classes, texts, parts, percent, lambda rows: _link_cells(rows, size, percent, rank))
         links = search(_hub_cells(members))
