@@ -9,7 +9,9 @@ in one template with small gaps, make covered spans of that template; of two lab
 words the other explains better is left out.  Phrases are templates of their own: a phrase
 stands wherever the current suffix, or a shorter one, is the whole phrase.
 
-A null text is empty.
+A null text is empty; so is one without words, which has no spans and the score 0.  Repeated rows, and rows with a null id, are
+rows of their own.  Long texts are scanned whole, word by word.  An empty table gives no rows.  Columns of docs keep their names
+(`n_words`, `phrases` and `covered` are replaced).
 """
 
 from __future__ import annotations
@@ -44,10 +46,6 @@ TEMPLATES = {
     "isc": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby
         granted, provided that the above copyright notice and this permission notice appear in all copies""",
     "mpl": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0""",
-    "cc-by": """This work is licensed under a Creative Commons Attribution 4.0 International License
-        Licensed under CC BY 4.0""",
-    "cc-by-nc": """This work is licensed under a Creative Commons Attribution NonCommercial 4.0 International License
-        Licensed under CC BY-NC 4.0""",
     "cc0": """To the extent possible under law, the author has waived all copyright and related or neighboring rights
         dedicated to the public domain under CC0 1.0 Universal""",
     "proprietary": """All rights reserved. No part of this publication may be reproduced without prior written permission""",
@@ -103,7 +101,39 @@ _CC0 = """To the extent possible under law, the person who associated CC0 with t
     neighboring rights to this work. You should have received a copy of the CC0 legalcode along with this work. If not, see
     http://creativecommons.org/publicdomain/zero/1.0/."""
 
-#: Whole notices, by label.
+_AGPL = _GNU.format(it="program", name="GNU Affero General Public License", version="3")
+_EPL = """This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is
+    available at https://www.eclipse.org/legal/epl-2.0"""
+_UNLICENSE = """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use,
+    compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or
+    non-commercial, and by any means."""
+
+#: Creative Commons licences: code and name.
+CREATIVE_COMMONS = {
+    "by": "Attribution", "by-sa": "Attribution-ShareAlike", "by-nd": "Attribution-NoDerivatives", "by-nc": "Attribution-NonCommercial",
+    "by-nc-sa": "Attribution-NonCommercial-ShareAlike", "by-nc-nd": "Attribution-NonCommercial-NoDerivatives",
+}
+_CC_FORMS = ("This work is licensed under a Creative Commons {name} 4.0 International License", "Creative Commons {name} 4.0 International License", "Licensed under CC {code} 4.0", "SPDX-License-Identifier: CC-{code}-4.0")
+
+#: Identifiers of licences in one line, by label.
+IDENTIFIERS = {
+    "mit": ["MIT"], "apache": ["Apache-2.0"], "gpl": ["GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later"], "lgpl": ["LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later"],
+    "agpl": ["AGPL-3.0-only", "AGPL-3.0-or-later"], "bsd": ["BSD-2-Clause", "BSD-3-Clause"], "isc": ["ISC"], "mpl": ["MPL-2.0"], "epl": ["EPL-2.0"], "cc0": ["CC0-1.0"], "unlicense": ["Unlicense"],
+}
+
+#: Clauses by which a notice is told where the rest is missing.
+CLAUSES = {
+    "mit": [_MIT[_MIT.index("The above copyright") : _MIT.index(" THE SOFTWARE IS")], _MIT[_MIT.index("THE SOFTWARE IS") : _MIT.index(" IN NO EVENT")], _MIT[_MIT.index("IN NO EVENT") :]],
+    "apache": [_APACHE[_APACHE.index("Unless required") : _APACHE.index(" See the License")], _APACHE[_APACHE.index("See the License") :]],
+    "bsd": [
+        _BSD_START[_BSD_START.index("Redistributions of source") : _BSD_START.index(" 2.")], _BSD_START[_BSD_START.index("Redistributions in binary") :], _BSD_NAMES[_BSD_NAMES.index("Neither") :],
+        _BSD_END[: _BSD_END.index("IN NO EVENT")], _BSD_END[_BSD_END.index("IN NO EVENT") :],
+    ],
+    "isc": [_ISC[_ISC.index("THE SOFTWARE IS") : _ISC.index(" IN NO EVENT")], _ISC[_ISC.index("IN NO EVENT") :]],
+    "epl": ["made available under the terms of the Eclipse Public License"],
+}
+
+#: Whole notices, and their clauses and one-line forms, by label.
 NOTICES = {
     "mit": [_MIT],
     "apache": [_APACHE],
@@ -114,13 +144,18 @@ NOTICES = {
         _GNU.format(it="program", name="GNU Lesser General Public License", version="3"),
         _GNU_OPENING.format(it="program", name="GNU Lesser General Public License", version="3"),
     ],
+    "agpl": [_AGPL],
     "bsd": [_BSD_START + _BSD_END, _BSD_START + _BSD_NAMES + _BSD_END],
     "isc": [_ISC],
     "mpl": [_MPL],
-    "cc-by": [_CC.format(name="Attribution", code="by")],
-    "cc-by-nc": [_CC.format(name="Attribution-NonCommercial", code="by-nc")],
+    "epl": [_EPL],
+    "unlicense": [_UNLICENSE],
     "cc0": [_CC0],
 }
+for _code, _name in CREATIVE_COMMONS.items():
+    NOTICES[f"cc-{_code}"] = [_CC.format(name=_name, code=_code), *(f.format(name=_name, code=_code.upper()) for f in _CC_FORMS)]
+for _label, _ids in IDENTIFIERS.items():
+    NOTICES[_label] = [*NOTICES[_label], *CLAUSES.get(_label, []), *(f"SPDX-License-Identifier: {x}" for x in _ids)]
 
 #: Shortest match, in words, that can be part of a covered span; longest gap between chained
 #: matches; least share of the template's line that a span covers.

@@ -5,7 +5,8 @@ strings made from hashes in the usual alphabets (hexadecimal, base64, capitals w
 what the rules find in a bounded sample of texts (the SAMPLE texts with the smallest hashes).
 Ordinary: identifiers composed of the words of NAMES in the usual styles, which count for the share
 IDENTIFIERS of all transitions, and of the sampled texts in which no rule finds a secret the words that
-several of them hold (a key stands in one text) and all numbers and runs of one character.  Any token that no rule has found, whatever characters it holds, is a secret if its
+several of them hold (a key stands in one text), as they are and in capitals, and all numbers and runs of one character.
+Identifiers in a fixed form of hexadecimal groups (UUIDs), which look like random strings, aren't judged.  Any token that no rule has found, whatever characters it holds, is a secret if its
 log-likelihood ratio is large enough, as a sum and by character.  All is done with built-in functions.
 
 A null text is empty and stays null when redacted.  Spans of kind `random` that touch a rule's span
@@ -35,6 +36,8 @@ HEX = r"(?<![0-9a-f])[0-9a-f]{24,}+"
 TOKEN, LEAST_SUM, LEAST_MEAN = r"[A-Za-z0-9+/_-]{16,}+={0,2}", 12.0, 0.5
 #: Numbers and runs of one character, which train the model of ordinary strings wherever they stand.
 PLAIN = r"^(?:[^A-Za-z]+|(.)\1+)$"
+#: Identifiers in a fixed form, which are public.
+FORMED = r"^(?:[A-Za-z]+[_/-])*[0-9A-Fa-f]{8}-(?:[0-9A-Fa-f]{4}-){3}[0-9A-Fa-f]{12}$"
 #: Words of composed identifiers, and their share of all transitions of ordinary strings.
 NAMES = (
     "account action address array author batch binary block body branch browser buffer build button cache calendar category change channel check class client clock color column command commit component config "
@@ -111,6 +114,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> li
     clean = sample.filter(F.size("hits") == 0).select("text").distinct()
     words = clean.select("text", F.explode(F.split("text", r"[^A-Za-z0-9+/_=-]+")).alias("s")).filter(F.length("s") > 1)
     common = words.groupBy("s").agg(F.count("*").alias("n"), F.countDistinct(F.xxhash64("text")).alias("texts")).filter((F.col("texts") > 1) | F.col("s").rlike(PLAIN))
+    capitals = common.filter(F.col("s") != F.upper("s")).select(F.upper("s").alias("s"), F.ceil(F.col("n") / 4).alias("n"), "texts")
+    common = common.unionByName(capitals)
     p, words, names = (_counts(_transitions(x).collect()) for x in (random.unionByName(hits), common, _identifiers(spark)))  # at most _SIZE ** 2 rows each
     total, more = (sum(map(sum, x)) for x in (words, names))
     weight = IDENTIFIERS / (1 - IDENTIFIERS) * total / more if total else 1.0
@@ -143,7 +148,7 @@ def find(docs: DataFrame, model: list[float], text_col: str = "text") -> DataFra
 
     def secret(m: Column) -> Column:
         touched = F.exists("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))
-        return (ratio(m["value"], model) >= F.greatest(F.lit(LEAST_SUM), LEAST_MEAN * (F.length(m["value"]) - 1))) & ~touched
+        return (ratio(m["value"], model) >= F.greatest(F.lit(LEAST_SUM), LEAST_MEAN * (F.length(m["value"]) - 1))) & ~touched & ~m["value"].rlike(FORMED)
 
     rows = rows.withColumn("more", kept(F.filter("tokens", secret), "random", 3, lambda v: F.lit(True)))
     rows = rows.withColumn("all", F.array_sort(F.concat("base", "more")))

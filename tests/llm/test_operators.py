@@ -244,6 +244,21 @@ def test_whole_notices():
     assert {c[2] for c in scanned(end)} == {"mit"}
 
 
+def test_variants_and_clauses():
+    for code, name in licenses.CREATIVE_COMMONS.items():
+        for text in (f"licensed under the Creative Commons {name} 4.0 International License", f"This work is licensed under a Creative Commons {name} 4.0 International License.", f"x Licensed under CC {code.upper()} 4.0 x", f"SPDX-License-Identifier: CC-{code.upper()}-4.0"):
+            assert {c[2] for c in scanned(text)} == {f"cc-{code}"}, text
+    for label, ids in licenses.IDENTIFIERS.items():
+        for x in ids:
+            assert {c[2] for c in scanned(f"// SPDX-License-Identifier: {x}\n")} == {label}, x
+    for label, clauses in licenses.CLAUSES.items():
+        for clause in clauses:
+            found = scanned(f"some words before {clause} and after")
+            assert {c[2] for c in found} == {label} and max(c[3] for c in found) == 1.0, clause
+    assert {c[2] for c in scanned(licenses._AGPL)} == {"agpl"}
+    assert not scanned("the redistribution of goods in many forms, and the license of an identifier, of the public domain and its software")
+
+
 def test_matches_are_all_that_templates_share():
     rng = random.Random(2)
     a = licenses.Automaton()
@@ -403,6 +418,23 @@ def test_identifiers_are_no_secrets(spark):
     assert share[True] <= 0.03 and share[False] >= 0.97, share
 
 
+def test_ordinary_kinds_that_no_sample_holds(spark):
+    """UUIDs, shouted prose and words of a language, codes, versions, paths and hosts aren't secrets; keys beside them are."""
+    rng = random.Random(33)
+    word = lambda: "".join(rng.choice(["sch", "ber", "er", "tz", "gen", "ung", "ein", "heit", "keit", "über"]) for _ in range(rng.randint(2, 4)))
+    hexes = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    uuid = lambda: "-".join(hexes(n) for n in (8, 4, 4, 4, 12))
+    ordinary = [uuid() for _ in range(60)] + [uuid().upper() for _ in range(20)] + ["urn/" + uuid() for _ in range(10)] + ["".join(word() for _ in range(4)).replace("ü", "u").upper() for _ in range(40)]
+    ordinary += [f"release-{rng.randint(2000, 2024)}-{rng.randint(10, 12)}-{rng.randint(10, 28)}-build" for _ in range(20)] + [f"/usr/share/doc/package/version/{i}" for i in range(20)]
+    keys = ["".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(rng.choice([20, 32]))) for _ in range(60)]
+    data = [(i, " ".join(word() for _ in range(80)) + (f" id {x} end" if x else "")) for i, x in enumerate([*ordinary, *keys, *[""] * 60])]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    found = {r.doc_id: [r.text[s.start : s.end] for s in r.secrets] for r in secrets.find(df, secrets.train(df)).collect()}
+    false = [v for i, v in found.items() if i < len(ordinary) and v]
+    assert len(false) <= 0.03 * len(ordinary), false
+    assert sum(found[len(ordinary) + i] == [k] for i, k in enumerate(keys)) >= 0.97 * len(keys)
+
+
 def test_secrets(docs, none, rows):
     want = []
     for r in rows:
