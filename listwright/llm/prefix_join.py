@@ -45,10 +45,11 @@ from listwright.llm.words import as_bytes
 SIZE, PERCENT = 5, 80
 #: Counters of the frequency table; steps of its logarithm that the order tells apart.
 BUCKETS, STEPS, BLOCK_OF_BUCKETS = 1 << 20, 4, 1 << 10
+BLOCK_OF_BITS = 1 << 12  # bytes
 #: Classes of a block, and n-grams of its classes together.
 BLOCK, BLOCK_GRAMS = 512, 1 << 20
-#: Hashes of keys by which rows that join nothing are sorted out before they move.
-SLOTS = 1 << 20
+#: Hashes of ids, as rows, and of n-grams, as bits, by which what joins nothing is sorted out before it moves.
+SLOTS, BITS = 1 << 20, 1 << 24
 #: N-grams of a path that are counted at once.
 CHUNK = 64
 #: Rows of texts or sets that a task's Python side holds at once, and texts whose copies it knows.
@@ -142,6 +143,47 @@ def _prefix_batches(size: int, percent: int, rank: np.ndarray) -> Callable:
     return run
 
 
+def _bit_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The bits of a task's n-grams, in blocks."""
+    bits = np.zeros(BITS, bool)
+    for batch in batches:
+        bits[np.asarray(batch["token"]) & (BITS - 1)] = True
+    rows = np.packbits(bits).reshape(-1, BLOCK_OF_BITS)
+    some = np.flatnonzero(rows.any(1))
+    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array([rows[i].tobytes() for i in some], pa.binary())], names=["block", "bits"])
+
+
+def _any_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for block, bits in zip(batch["block"].to_pylist(), batch["bits"].to_pylist()):
+            total[block] = total.get(block, 0) | np.frombuffer(bits, np.uint8)
+    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([b.tobytes() for b in total.values()], pa.binary())], names=["block", "bits"])
+
+
+def _bits_of(tokens: DataFrame, parts: int) -> np.ndarray:
+    """Which of BITS hashes the tokens have: BITS / 8 bytes, however many tokens there are."""
+    blocks = tokens.select("token").mapInArrow(_bit_batches, "block long, bits binary").repartition(parts, "block")
+    out = np.zeros(BITS // 8, np.uint8).reshape(-1, BLOCK_OF_BITS)
+    for r in blocks.mapInArrow(_any_bits, "block long, bits binary").collect():
+        out[r.block] = np.frombuffer(r.bits, np.uint8)
+    return out.reshape(-1)
+
+
+def _member_batches(bits: np.ndarray) -> Callable:
+    """Each class with those of its prefix n-grams whose bits are set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens = np.asarray(batch["grams"].flatten())
+            at = tokens & (BITS - 1)
+            found = np.flatnonzero((bits[at >> 3] >> (7 - (at & 7))) & 1)
+            owner = pa.array(np.repeat(np.arange(batch.num_rows), np.asarray(batch["grams"].value_lengths()))[found])
+            yield pa.RecordBatch.from_arrays([batch["num"].take(owner), batch["n"].take(owner), pa.array(tokens[found])], names=["num", "n", "token"])
+
+    return run
+
+
 def _folded(rows: np.ndarray, width: int) -> np.ndarray:
     """Signatures as ones of fewer words."""
     while rows.shape[1] > width:
@@ -387,7 +429,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         )
         cells = facts.filter("m > 1 and early").groupBy("hub", "m", "mark").agg(F.min("token").alias("token")).select("token", "hub")
         cells = written(cells, "tokens")
-        members = written(_sieved(each.select("num", "n", "token"), "token", cells, "token").join(cells, "token"), "members")
+        shared = prefixes.select("num", "n", "grams").mapInArrow(_member_batches(_bits_of(cells, parts)), "num long, n long, token long")
+        members = written(shared.join(cells, "token"), "members")
 
         search = lambda cells: _searched(cells, prefixes.select("num", "n", "signature"), classes, texts, parts, percent, lambda rows: _link_cells(rows, size, percent, rank))
         links = search(_hub_cells(members))
