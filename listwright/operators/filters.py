@@ -33,8 +33,36 @@ def any_keyword(text: Column, words: list[str]) -> Column:
     return F.coalesce(F.lower(text).rlike("|".join(re.escape(w.lower()) for w in words)), F.lit(False))
 
 
+def by_first_letter(patterns: list[str]) -> str:
+    """One pattern that matches where one of these does.
+
+    Those that begin with a word boundary and letters, or with a choice of such, share one boundary and stand by first letter: at
+    most places of a text, one comparison then answers for all of them.
+    """
+    words: dict[str, dict[str, list[str]]] = {}
+    others = []
+    for p in patterns:
+        flag = "i" if p.startswith("(?i)") else ""
+        begin, choice = r"(?:\(\?i\))?\\b", r"[A-Za-z0-9](?![?*{+|])[^()|\[\]]*"
+        rest = r"((?![?*{+])(?:[^()|]|\((?:[^()])*\))*)"
+        if re.search(r"\\[()|]|\[", p):
+            others.append(f"(?:{p})")
+            continue
+        if m := re.fullmatch(rf"{begin}\((?:\?:)?({choice}(?:\|{choice})*)\){rest}", p):
+            found = [f"{c}{m[2]}" for c in m[1].split("|")]
+        elif m := re.fullmatch(rf"{begin}([A-Za-z0-9]){rest}", p):
+            found = [m[1] + m[2]]
+        else:
+            others.append(f"(?:{p})")
+            continue
+        for f in found:
+            words.setdefault(flag, {}).setdefault(f[0].lower() if flag else f[0], []).append(f[1:])
+    begun = [rf"(?{flag}:\b(?:" + "|".join(f"{c}(?:{'|'.join(ends)})" for c, ends in sorted(by.items())) + "))" for flag, by in words.items()]
+    return "|".join(begun + others)
+
+
 def any_pattern(text: Column, patterns: list[str]) -> Column:
-    return F.coalesce(text.rlike("|".join(f"(?:{p})" for p in patterns)), F.lit(False)) if patterns else F.lit(False)
+    return F.coalesce(text.rlike(by_first_letter(patterns)), F.lit(False)) if patterns else F.lit(False)
 
 
 _TITLES, _TEXTS = ([f"(?i){p}" for p in x] for x in (rules.ADULT_TITLES, rules.ADULT_TEXTS))
@@ -68,7 +96,8 @@ def guide_article(title: Column, text: Column, places: list[str], least: int = 3
 def names_several_places(title: Column, places: list[str] = rules.ORANGE_COUNTY, least: int = 3) -> Column:
     """Whether a title is that of an article: `in A, B, C and D`, or at least `least` of the places, as whole words."""
     named = reduce(lambda a, b: a + b, (title.rlike(rf"(?i)\b{re.escape(p)}\b").cast("int") for p in places), F.lit(0))
-    return F.coalesce(title.rlike(rules.SEVERAL_PLACES) | (named >= least), F.lit(False))
+    some = any_pattern(title, [rf"(?i)\b{re.escape(p)}\b" for p in places]) if least > 0 else F.lit(True)
+    return F.coalesce(title.rlike(rules.SEVERAL_PLACES) | (some & (named >= least)), F.lit(False))
 
 
 def family_listings(df: DataFrame) -> DataFrame:

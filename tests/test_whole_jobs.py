@@ -1,9 +1,16 @@
 """Odd inputs and work that must not grow with the square of a group, against SQL and plain loops."""
 
+import random
+import re
+from datetime import datetime
+
 import duckdb
+from pyspark.sql import functions as F
 
-from listwright import catalog
-from listwright.sources import payloads
+from listwright import catalog, rules
+from listwright.operators import filters
+from listwright.operators.categorize import categorize
+from listwright.sources import apis, payloads, sites
 
 
 def in_sql(name, **tables):
@@ -21,3 +28,37 @@ def test_headings_decode_only_ampersands(spark):
     rows = payloads.headings(pages).collect()
     assert [r.heading for r in sorted(rows, key=lambda r: r.pos)] == ["a &quot;b&quot; &lt; c", "'d\n".replace("'", "&#39;"), "\n\n\n e", ""]
     assert sorted(map(tuple, rows)) == in_sql("page_headings", pages=pages.toPandas())
+
+
+def planned(df):
+    """The optimized plan as text."""
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_patterns_by_first_letter():
+    words = ["bible", "study", "studies", "men's", "mens", "group", "21+", "18 and over", "UYE", "uye", "sunday", "church", "service", "x", "must be 21", "esl", "(", ".", "ages 55 +", "saturday", "nights", "at", "A\tstaff", "meeting"]
+    rng = random.Random(5)
+    texts = [rng.choice(["", "x", " "]) + rng.choice([" ", "  ", "-", ""]).join(rng.choices(words, k=rng.randint(1, 5))) for _ in range(4000)]
+    odd = [r"\b(a|b?c)d", r"\ba|b", r"\b(x|yz)?q", r"\bs?x", r"(?i)\b\w+ly", r"\b[ab]c", r"\bo\(a|b\)"]
+    for patterns in ([f"(?i){p}" for p in rules.RELIGIOUS], [f"(?i){p}" for p in rules.ADULT_TITLES], [f"(?i){p}" for p in rules.ADULT_TEXTS], rules.MEETUPS, odd):
+        plain, joined = re.compile("|".join(f"(?{'i' if p.startswith('(?i)') else ''}:{p.removeprefix('(?i)')})" for p in patterns)), re.compile(re.sub(r"\(\?:\(\?i\)", "(?i:", filters.by_first_letter(patterns)))
+        assert [bool(joined.search(t)) for t in texts] == [bool(plain.search(t)) for t in texts]
+    # One boundary answers for all words of the rules, instead of one for each.
+    assert filters.by_first_letter([f"(?i){p}" for p in rules.RELIGIOUS]).startswith(r"(?i:\b(?:a(?:")
+
+
+def test_text_of_categories_is_read_once(spark):
+    rows = spark.createDataFrame([("Art class", "<b>soccer</b>", 1), ("Day", "<i>pottery</i> and robotics", 2), (None, None, 3), ("", "none", 4)], "title string, text string, n int")
+    found = rows.select("n", categorize(F.col("title"), F.regexp_replace("text", "<[^>]+>", "")).alias("c"))
+    assert planned(found).count("regexp_replace") == 1
+    assert [r.c for r in found.orderBy("n").collect()] == ["Craft", "Craft", "Other", "Other"]
+
+
+def test_readers_strip_a_text_once(spark):
+    now, about = datetime(2024, 1, 13, 9, 30), sites.Site("x", "x", "https://x.example.org", "Irvine", "orange-county")
+    answers = spark.createDataFrame([(1, "[]"), (2, None)], "ord long, payload string")
+    pages = spark.createDataFrame([(1, "", "<p>")], "ord long, url string, html string")
+    for found, texts in ((apis.dated_programs(answers, "p", [], now), 1), (apis.day_groups(answers, "d", [1], ["x"], now), 1), (sites.attribute_events(pages, about, "https://x.example.org", now), 2)):
+        assert planned(found).count("(?i)</p>") == texts
+        assert planned(found).count("from_json") <= 1
+        assert found.count() == 0
