@@ -23,12 +23,13 @@ OTHER = "Other"
 
 
 def category_scores(title: Column, text: Column, rules: list[tuple[str, list[str]]] = RULES) -> Column:
-    """Array of (score, -place, category)."""
-    title, text = F.lower(F.coalesce(title, F.lit(""))), F.lower(F.coalesce(text, F.lit("")))
+    """Array of (score, -place, category) of a title and a text in lower case."""
     points = lambda w: F.when(title.contains(w.lower()), 3).when(text.contains(w.lower()), 1).otherwise(0)
     return F.array(*[F.struct(reduce(lambda a, b: a + b, (points(w) for w in words), F.lit(0)).alias("score"), F.lit(-i).alias("place"), F.lit(name).alias("name")) for i, (name, words) in enumerate(rules)])
 
 
 def categorize(title: Column, text: Column, rules: list[tuple[str, list[str]]] = RULES) -> Column:
-    best = F.array_max(category_scores(title, text, rules))
-    return F.when(best["score"] > 0, best["name"]).otherwise(F.lit(OTHER))
+    # Title and text are bound first: each keyword would compute them anew.
+    read = F.array(F.struct(F.lower(F.coalesce(title, F.lit(""))).alias("title"), F.lower(F.coalesce(text, F.lit(""))).alias("text")))
+    best = F.transform(read, lambda r: F.array_max(category_scores(r["title"], r["text"], rules)))
+    return F.get(F.transform(best, lambda b: F.when(b["score"] > 0, b["name"]).otherwise(F.lit(OTHER))), F.lit(0))
