@@ -18,6 +18,7 @@ from listwright.functions.text import clean_description, parse_timestamp, strip_
 from listwright.operators.categorize import categorize
 from listwright.operators.changes import first_by
 from listwright.operators.filters import religious
+from listwright.plans.shared import once
 from listwright.schema import conform, numbered
 
 
@@ -323,11 +324,11 @@ def attribute_events(pages: DataFrame, site: Site, page: str, now: datetime, day
     """Items of lists in JSON attributes: a title of 5 letters or more, no religious service, a date in the text that is in the window, or none (then now)."""
     item = "struct<title:string,description:string,buttonLink:struct<url:string>,image:struct<assetUrl:string>>"
     lists = F.transform(attributes(F.col("html"), name), lambda j: F.coalesce(F.from_json(j, f"struct<{under}:array<{item}>>")[under], F.array().cast(f"array<{item}>")))
-    rows = pages.select("ord", F.posexplode(F.flatten(lists)).alias("pos", "e")).filter("e is not null")
-    rows = rows.select("ord", "pos", "e", strip_html(_text(F.col("e.title"))).alias("title"), strip_html(_text(F.col("e.description"))).alias("text"))
-    rows = rows.filter(F.length("title") >= 5).filter(~religious(F.col("title"), F.col("text")))
-    start = dates.first_day(_group(F.col("text"), _MONTH_DATE), now).cast("timestamp")
-    rows = rows.withColumn("start", start).filter(F.col("start").isNull() | _in_window(F.col("start"), now, days))
+    rows = pages.select("ord", F.posexplode_outer(F.flatten(lists)).alias("pos", "e")).filter("e is not null")
+    rows = once(rows, title=strip_html(_text(F.col("e.title")))).filter(F.length("title") >= 5)
+    rows = once(rows, text=strip_html(_text(F.col("e.description")))).filter(~religious(F.col("title"), F.col("text")))
+    rows = once(rows, day=_group(F.col("text"), _MONTH_DATE))
+    rows = once(rows, start=dates.first_day(F.col("day"), now).cast("timestamp")).filter(F.col("start").isNull() | _in_window(F.col("start"), now, days))
     link = F.coalesce(site.link(_some(F.col("e.buttonLink.url"))), F.lit(page))
     return conform(
         rows, source_id=F.concat(F.lit(f"{site.prefix}:"), _short(F.col("title"), 50)), description=clean_description(F.col("text")), start_date=_iso(F.coalesce("start", F.lit(now))),
