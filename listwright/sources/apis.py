@@ -18,6 +18,7 @@ from listwright.functions.text import clean_description, parse_timestamp, strip_
 from listwright.operators.categorize import categorize
 from listwright.operators.changes import first_by
 from listwright.operators.filters import any_keyword, religious
+from listwright.plans.shared import once
 from listwright.schema import conform, numbered, or_else
 
 
@@ -27,7 +28,8 @@ def _items(payloads: DataFrame, fields: str, under: str | None = None, keep: Ite
     found = F.from_json("payload", f"struct<{under}:{many}>")[under] if under else F.from_json("payload", many)
     if inner is not None:
         found = F.flatten(F.filter(F.transform(found, inner), lambda a: a.isNotNull()))
-    rows = payloads.select("ord", *keep, F.posexplode(found).alias("pos", "e"))
+    # The outer form: for the other one, a filter on the array's size would read the payload a second time.
+    rows = payloads.select("ord", *keep, F.posexplode_outer(found).alias("pos", "e"))
     return rows.filter("e is not null").select(*keep, numbered("ord", "pos").alias("ord"), "e")
 
 
@@ -155,11 +157,11 @@ def dated_programs(payloads: DataFrame, source: str, audiences: list[str], now:
     e = e.select("ord", "e.e", "e.d")
     online = (_text("e.Campus") == "Online") | F.lower(_text("e.LocationDescription")).contains("zoom")
     meant = (F.coalesce(F.size("e.Audiences"), F.lit(0)) <= 0) | F.exists("e.Audiences", lambda a: F.lower(a["Value"]).isin(audiences))
-    text = strip_html(_text(or_else("e.Description", "e.Summary")))
-    e = e.filter(~online & F.coalesce(meant, F.lit(False)) & ~religious(F.col("e.Name"), text))
+    e = e.filter(~online & F.coalesce(meant, F.lit(False))).filter(_in_days(F.col("d.StartDateTime"), now, days))
+    e = once(e, text=strip_html(_text(or_else("e.Description", "e.Summary")))).filter(~religious(F.col("e.Name"), F.col("text")))
     again = (F.size("e.EventDates") > 1) | _text("e.FriendlyScheduleText").startswith("Weekly")
-    dates = e.select("ord", "e", text.alias("text"), again.alias("again"), "d").filter(_in_days(F.col("d.StartDateTime"), now, days))
-    text, campus = clean_description(F.col("text")), _named(F.col("e.Campus"))
+    dates = once(e.withColumn("again", again), text=clean_description(F.col("text")))
+    text, campus = F.col("text"), _named(F.col("e.Campus"))
     return conform(dates.select(
         F.concat(F.lit(f"{source}:"), F.col("e.EventItemOccurrenceId").cast("string"), F.lit("-"), F.substring_index("d.StartDateTime", "T", 1)).alias("source_id"), F.lit(source).alias("source"),
         F.col("e.Name").alias("title"), text.alias("description"), F.col("d.StartDateTime").alias("start_date"), _named(F.col("d.EndDateTime")).alias("end_date"),
@@ -175,12 +177,14 @@ def day_groups(payloads: DataFrame, source: str, kinds: list[int], far: list[str
       locationDetail:struct<address1:string,city:string,region:string,postalCode:string,latitude:double,longitude:double>>>""",
       inner=lambda g: F.transform(g["events"], lambda e: F.struct(g["date"].alias("day"), e.alias("e"))))
     e = e.select("ord", "e.day", "e.e").filter("e is not null")
-    title, text = or_else("e.publicName", "e.name"), strip_html(_text(or_else("e.description", "e.summary")))
+    title = or_else("e.publicName", "e.name")
     start = or_else("e.occurrence.localStartDateTime", or_else("e.occurrence.date", "day"))
-    kept = (_text(title) != "") & F.coalesce(F.col("e.categoryId").isin(kinds), F.lit(True)) & ~F.coalesce("e.isVirtual", F.lit(False)) & ~religious(title, text)
+    kept = (_text(title) != "") & F.coalesce(F.col("e.categoryId").isin(kinds), F.lit(True)) & ~F.coalesce("e.isVirtual", F.lit(False))
     kept = kept & ~any_keyword(F.col("e.location"), ["online", "zoom"]) & ~any_keyword(F.col("e.campusName"), far)
     e = e.filter(kept & F.coalesce(parse_timestamp(start) >= F.lit(datetime(now.year, now.month, now.day)), F.lit(False)))
-    at, clean = F.col("e.locationDetail"), clean_description(text)
+    e = once(e, text=strip_html(_text(or_else("e.description", "e.summary")))).filter(~religious(title, F.col("text")))
+    e = once(e, text=clean_description(F.col("text")))
+    at, clean = F.col("e.locationDetail"), F.col("text")
     address = F.when(at.isNotNull(), F.trim(F.regexp_replace(F.concat(_text(at["address1"]), F.lit(", "), _text(at["city"]), F.lit(", "), _text(at["region"]), F.lit(" "), _text(at["postalCode"])), r"^,\s*", "")))
     cost = _named(F.col("e.cost"))
     rows = e.select(
