@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import timedelta
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -32,3 +32,24 @@ def range_join(ranges: DataFrame, points: DataFrame, begin: str, until: str, at:
     r = ranges.filter(F.col(begin) <= F.col(until)).withColumn("_b", spread)
     p = points.withColumn("_b", _bucket(F.col(at), width))
     return r.join(p, "_b").filter((F.col(at) >= F.col(begin)) & (F.col(at) < F.col(until))).drop("_b")
+
+
+def count_in_ranges(ranges: DataFrame, points: DataFrame, begin: str, until: str, at: str, width: timedelta) -> DataFrame:
+    """ranges (begin, until, not null) with n, the number of points inside, for those that hold some; no pair of both is made.
+
+    Equal times are one row with a count.  In a bucket of that width, a running sum tells how many points lie before a time;
+    a range is the sum at its end less that at its begin, and the totals of the buckets from its first to the one before its last.
+    """
+    counted = points.groupBy(F.col(at).alias("t")).agg(F.count("*").alias("n")).filter("t is not null")
+    spans = ranges.select(F.col(begin).alias("u"), F.col(until).alias("v")).filter("u < v").distinct()
+    marks = spans.select("u", "v", F.explode(F.array(F.struct(F.col("v").alias("t"), F.lit(1).alias("sign")), F.struct(F.col("u").alias("t"), F.lit(-1).alias("sign")))).alias("m")).select("u", "v", "m.*")
+    times = marks.select("t").distinct().withColumn("n", F.lit(0).cast("long"))
+    so_far = Window.partitionBy("b").orderBy("t")
+    all_times = counted.unionByName(times).groupBy("t").agg(F.sum("n").alias("n")).withColumn("b", _bucket(F.col("t"), width))
+    before = all_times.select("t", (F.sum("n").over(so_far) - F.col("n")).alias("before"))
+    ends = marks.join(before, "t").select("u", "v", (F.col("sign") * F.col("before")).alias("n"))
+    totals = counted.groupBy(_bucket(F.col("t"), width).alias("b")).agg(F.sum("n").alias("n"))
+    first, last = _bucket(F.col("u"), width), _bucket(F.col("v"), width)
+    between = spans.filter(first < last).select("u", "v", F.explode(F.sequence(first, last - 1)).alias("b")).join(totals, "b").select("u", "v", "n")
+    inside = ends.unionByName(between).groupBy("u", "v").agg(F.sum("n").alias("n")).filter("n > 0")
+    return ranges.join(inside, (F.col(begin) == F.col("u")) & (F.col(until) == F.col("v"))).drop("u", "v")

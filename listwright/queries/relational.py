@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from listwright.operators.changes import first_by
-from listwright.operators.joins import band_join, range_join
+from listwright.operators.joins import band_join, count_in_ranges
 from listwright.queries.registry import query, table
 
 
@@ -47,7 +47,7 @@ select o_orderkey, count(*) as n from r join e on e.at >= r.o_orderdate and e.at
 def _(l, spark, d):
     r = table(spark, d, "orders").select("o_orderkey", F.col("o_orderdate").cast("timestamp").alias("begin")).withColumn("until", F.col("begin") + F.expr("interval 2 days"))
     e = table(spark, d, "events").select("event_id", (F.lit("1995-01-01").cast("timestamp") + F.make_dt_interval(F.col("event_id") % 1000)).alias("at"))
-    return range_join(r, e, "begin", "until", "at", timedelta(days=2)).groupBy("o_orderkey").agg(F.count("*").alias("n"))
+    return count_in_ranges(r, e, "begin", "until", "at", timedelta(days=2)).groupBy("o_orderkey").agg(F.sum("n").alias("n"))
 
 
 @query("revenue_by_region", """select r_name, n_name, count(*) as n, round(sum(l_extendedprice * (1 - l_discount)), 2) as revenue from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey
