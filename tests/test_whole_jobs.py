@@ -2,13 +2,13 @@
 
 import random
 import re
-from datetime import datetime
+from datetime import datetime, timedelta
 
 import duckdb
 from pyspark.sql import functions as F
 
 from listwright import catalog, rules
-from listwright.operators import filters
+from listwright.operators import dedup, filters, joins
 from listwright.operators.categorize import categorize
 from listwright.sources import apis, payloads, sites
 
@@ -62,3 +62,29 @@ def test_readers_strip_a_text_once(spark):
         assert planned(found).count("(?i)</p>") == texts
         assert planned(found).count("from_json") <= 1
         assert found.count() == 0
+
+
+def test_counts_in_ranges(spark):
+    rng = random.Random(9)
+    start = datetime(2024, 1, 1)
+    moment = lambda: start + timedelta(seconds=rng.choice([0, 43200, 86400, 172800, rng.randrange(900000)]))
+    points = [(moment(),) for _ in range(300)] + [(start,)] * 50 + [(None,)]
+    ranges = [(i, *rng.choice([sorted((moment(), moment())), (start, start + timedelta(days=2)), (start, start), (start + timedelta(days=3), start), (None, start)])) for i in range(200)]
+    found = joins.count_in_ranges(spark.createDataFrame(ranges, "id long, begin timestamp, until timestamp"), spark.createDataFrame(points, "at timestamp"), "begin", "until", "at", timedelta(days=2))
+    n = {i: sum(p is not None and b <= p < u for p, in points) for i, b, u in ranges if b}
+    assert {r.id: r.n for r in found.collect()} == {i: k for i, k in n.items() if k}
+    # Points and ranges never meet in a join: only times do.
+    assert "at" not in [c for line in planned(found).splitlines() if "Join" in line for c in re.findall(r"\b(at|event_id)#", line)]
+
+
+def test_pairs_of_a_large_group_are_dealt_into_cells(spark):
+    rows = [(i, "Same", "2024-01-01T10") if i % 5 else (i, f"T{i % 3}", "2024-01-01") for i in range(300)] + [(400, None, "2024-01-01"), (401, "T1", None)]
+    df = spark.createDataFrame(rows, "ord long, title string, start_date string")
+    for together in (7, 1000):
+        pairs = dedup.duplicate_pairs(df, together=together)
+        by = {}
+        for o, t, d in rows[:300]:
+            by.setdefault((t.lower(), d[:10]), []).append(o)
+        assert sorted(map(tuple, pairs.collect())) == sorted((a, b) for g in by.values() for a in g for b in g if a < b)
+    assert "i#" in next(line for line in planned(pairs).splitlines() if "Join Inner" in line)
+    assert [tuple(r) for r in dedup.duplicate_pairs(df, 2).collect()] == [(0, 15), (0, 30)]
