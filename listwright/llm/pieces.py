@@ -28,7 +28,9 @@ from listwright.llm.frames import documents, hidden, restored
 VOCABULARY = "piece_bpe_32k.model"
 MARK = "▁"
 #: Distinct units whose ids a task remembers; characters of new units that are indexed together at most.
-REMEMBERED, INDEXED = 300_000, 200_000
+REMEMBERED, INDEXED = 200_000, 100_000
+#: Texts that are encoded together.
+TOGETHER = 256
 #: Units of more characters are relaxed one by one, with a heap.
 LONG = 64
 
@@ -251,10 +253,10 @@ def _encode_batches(path: str, text: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = Encoder(path)
         for batch in batches:
-            texts = batch[text].to_pylist()
-            for a in range(0, len(texts), 1024):
-                flat, offsets = encode([t or "" for t in texts[a : a + 1024]])
-                yield pa.RecordBatch.from_arrays([*(c.slice(a, 1024) for c in batch.columns), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat))], names=[*batch.schema.names, "ids"])
+            for a in range(0, batch.num_rows, TOGETHER):
+                part = batch.slice(a, TOGETHER)
+                flat, offsets = encode([t or "" for t in part[text].to_pylist()])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat))], names=[*batch.schema.names, "ids"])
 
     return run
 
@@ -289,9 +291,19 @@ def decode(rows: DataFrame, ids_col: str = "ids", vocabulary: str | None = None)
     return restored(inner.mapInArrow(_decode_batches(path, ids), f"{schema}, decoded string"), names, decoded="decoded")
 
 
+def there_and_back(docs: DataFrame, text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
+    """docs with ids and with decoded, by one process for each task: encoded parts are decoded before the next part is read."""
+    path = vocabulary or public_tokenizers.path(VOCABULARY)
+    rows, names = hidden(docs)
+    text = next(c for c, n in names.items() if n == text_col)
+    there, back = _encode_batches(path, text), _decode_batches(path, "ids")
+    schema = ", ".join(f"{c} {t}" for c, t in rows.dtypes)
+    return restored(rows.mapInArrow(lambda batches: back(there(batches)), f"{schema}, ids array<int>, decoded string"), names, ids="ids", decoded="decoded")
+
+
 def op4_sentencepiece(spark, sf_dir: str) -> DataFrame:
     """Ids of every text as a digest, and whether decoding them gives the text back."""
-    coded = decode(encode(documents(spark, sf_dir).select("doc_id", "text")))
+    coded = there_and_back(documents(spark, sf_dir).select("doc_id", "text"))
     same = F.coalesce(F.col("text"), F.lit("")) == F.col("decoded")
     first = F.array_join(F.slice("ids", 1, 8), " ")
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"), first.alias("first_ids"), F.sha2("decoded", 256).alias("decoded_sha256"), same.alias("lossless"))

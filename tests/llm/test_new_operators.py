@@ -278,3 +278,13 @@ def test_signatures_lose_no_link(percent):
                     assert found[i] and found[j]
         dropped += (~found).sum()
     assert dropped
+
+
+def test_pieces_are_coded_and_decoded_by_one_process(spark):
+    from listwright.llm import pieces
+
+    texts = ["Ab  cd", "", None, "né 中文 \x00 " + "y" * 300, *(f"word{i} the of and {i * i}" for i in range(600))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    one, two = pieces.there_and_back(docs), pieces.decode(pieces.encode(docs))
+    assert sorted(map(tuple, one.collect()), key=lambda r: r[0]) == sorted(map(tuple, two.collect()), key=lambda r: r[0])
+    assert one._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
