@@ -88,3 +88,31 @@ def test_pairs_of_a_large_group_are_dealt_into_cells(spark):
         assert sorted(map(tuple, pairs.collect())) == sorted((a, b) for g in by.values() for a in g for b in g if a < b)
     assert "i#" in next(line for line in planned(pairs).splitlines() if "Join Inner" in line)
     assert [tuple(r) for r in dedup.duplicate_pairs(df, 2).collect()] == [(0, 15), (0, 30)]
+
+
+def test_alike_pairs_by_marks_of_any_length(spark):
+    import random
+
+    import pandas as pd
+
+    from listwright.operators import similar
+
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("abcde", k=rng.randint(2, 5)))
+    texts = set()
+    for n in (5, 7, 8, 10, 13, 16, 19, 21, 30, 37, 40, 47, 60, 90, 130, 190, 197, 200, 205, 230, 700, 3000):
+        base = " ".join(word() for _ in range(n))[:n].strip()
+        texts.update([base, "x" * 4 + base, base + "y" * 4, base[n // 3 :], base[: -n // 4]])
+        for _ in range(12):
+            t = base
+            for _ in range(rng.randint(1, 7)):
+                at = rng.randrange(min(len(t), 200))
+                t = t[:at] + rng.choice(["", "q", t[at] + "z"]) + t[at + 1 :]
+            texts.add(t)
+    rows = [(i, block, t) for i, (block, t) in enumerate((b, t) for b in "uv" for t in sorted(texts) if len(t) >= 5)]
+    want = {(a, b) for a, x, t in rows for b, y, u in rows if a < b and x == y and dedup.alike(t, u)}
+    classes, pairs = similar.alike_pairs(spark.createDataFrame(rows, "id long, block string, text string"))
+    assert sorted((r.a, r.b) for r in pairs.collect()) == sorted(want) and len(want) > 1000 and classes.count() == len(rows)
+    # A text has few marks, however long it is; it had a fragment at each of its characters.
+    marks = pd.concat(similar._marks([pd.DataFrame({"id": range(2), "text": [" ".join(word() for _ in range(k)) for k in (5000, 50000)], "within": 7})]))
+    assert marks.groupby("id").size().max() < 120
