@@ -116,3 +116,31 @@ def test_alike_pairs_by_marks_of_any_length(spark):
     # A text has few marks, however long it is; it had a fragment at each of its characters.
     marks = pd.concat(similar._marks([pd.DataFrame({"id": range(2), "text": [" ".join(word() for _ in range(k)) for k in (5000, 50000)], "within": 7})]))
     assert marks.groupby("id").size().max() < 120
+
+
+def test_choice_within_a_large_group_follows_links_only():
+    import random
+
+    import pandas as pd
+
+    def resolved(rows, links):
+        found = dedup._resolve(pd.DataFrame(rows, columns=["first", "ord", "score", "title", "rest"]), pd.DataFrame(links, columns=["a", "b"]))
+        return sorted(found.itertuples(index=False, name=None))
+
+    # A chain: each second listing has no entity beside it. A comparison of all with all would take hours here.
+    n = 100_000
+    assert resolved([(i, i, 0, 2 * i, -1) for i in range(n)], [(2 * i, 2 * i + 2) for i in range(n - 1)]) == [(i, i) for i in range(0, n, 2)]
+    rng = random.Random(1)
+    for _ in range(20):
+        rows = [(k := rng.randrange(40), i, rng.randrange(6), 2 * (k // 2) if k < 36 else -1, 2 * rng.randrange(20) + 1 if k % 3 and k < 36 else -1) for i in range(150)]
+        links = [tuple(sorted(rng.sample(range(odd, 40, 2), 2))) for odd in (0, 1) for _ in range(12)]
+        both = {*links, *((b, a) for a, b in links)}
+        kept = []  # [key, place, row]: a plain loop
+        for row in rows:
+            hit = next((e for e in kept if e[0] == row[0]), None)
+            hit = hit or next((e for e in kept if any(x >= 0 and x == y or (x, y) in both for x, y in zip(row[3:], e[2][3:]))), None)
+            if hit is None:
+                kept.append([row[0], row[1], row])
+            elif row[2] > hit[2][2]:
+                hit[2] = row
+        assert resolved(rows, links) == sorted((e[1], e[2][1]) for e in kept)
