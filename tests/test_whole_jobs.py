@@ -157,3 +157,37 @@ def test_cards_of_listings_with_odd_or_no_titles(spark, tmp_path):
     found = catalog.queries()["day_listings"](spark, str(tmp_path)).collect()
     assert sorted(map(repr, map(tuple, found))) == sorted(map(repr, in_sql("day_listings", documents=documents)))
     assert sum(r.title == f"{r.external_url.split('/')[-1]} " for r in found) > 40
+
+
+def test_edits_count_in_whole_texts(spark):
+    from listwright.operators import similar
+
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcde", k=rng.randint(2, 5)))
+    texts = set()
+    for n in (8, 20, 41, 200, 206, 251, 257, 262, 330, 500):
+        base = " ".join(word() for _ in range(n))[:n].strip()
+        texts.update([base, base[: n // 2] + "x" * 12 + base[n // 2 + 12 :], base[: n - 9] + "yyyyyyyyy", base + "z" * 6, base + "z" * 7])
+        for k in (1, 3, 6, 7):
+            t = base
+            for _ in range(k):
+                at = rng.choice([rng.randrange(len(t)), rng.randrange(len(t) * 3 // 4, len(t)), 0])
+                t = t[:at] + rng.choice(["", "q", t[at] + "z"]) + t[at + 1 :]
+            texts.add(t)
+    rows = [(i, "u", t) for i, t in enumerate(sorted(t for t in texts if len(t) >= 5))]
+    want = {(a, b) for a, _, t in rows for b, _, u in rows if a < b and dedup.alike(t, u, None)}
+    first = {(a, b) for a, _, t in rows for b, _, u in rows if a < b and dedup.alike(t, u)}
+    assert sorted((r.a, r.b) for r in similar.alike_pairs(spark.createDataFrame(rows, "id long, block string, text string"), None)[1].collect()) == sorted(want)
+    assert len(want) > 80 and len(first - want) > 5
+    for _, _, t in rows[::3]:
+        for _, _, u in rows[::5]:
+            assert similar.few_edits(t, u, 4) == (dedup.edit_distance(t, u, 4) <= 4)
+
+
+def test_long_titles_that_begin_alike_stay_apart(spark):
+    from listwright.schema import conform
+
+    begin = " ".join(f"word{i}" for i in range(40))
+    titles = [begin + " painting for children", begin + " walk along the river.", begin + " pointing for childrens", begin[:205] + "!" + begin[205:] + " singing"]
+    df = conform(spark.createDataFrame([(i, t, "2026-06-15T10:00:00", f"city {i}") for i, t in enumerate(titles)], "ord long, title string, start_date string, city string"))
+    assert len(begin) > 220 and sorted((r.place, r.ord) for r in dedup.greedy(df).collect()) == [(0, 0), (1, 1), (3, 3)]
